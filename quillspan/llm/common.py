@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import os
 import tempfile
 import uuid
 
@@ -67,6 +70,21 @@ def unit_hash(*cols, seed: int) -> F.Column:
     return ((F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))).cast("double")
 
 
+@functools.cache
+def single_threaded_blas() -> None:
+    """Hold numpy's BLAS to one thread: a task has one core, and small products lose by more."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def text_blocks(texts: list, most: int):
     """(first, last) index ranges of consecutive texts with about `most` characters each."""
     start = size = 0

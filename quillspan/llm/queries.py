@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_rules, html_template, language_id, mixing
+from . import compression_rules, html_template, language_id, mixing, packing
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def default_tokenizer() -> str:
+    """The tokenizer file that op3 and the pipeline name; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in the sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_template.extract(table(spark, sf_dir, "pages"))
@@ -32,6 +44,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_mixing": op2_mixing,
+        "op3_packing": op3_packing,
         "op4_html_extraction": op4_html_extraction,
         "op10_quality_rules": op10_quality_rules,
     }
