@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_rules, embedding_join, html_template, language_id, mixing, packing
+from . import compression_rules, embedding_join, html_template, language_id, line_dedup, mixing, packing
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's lines."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
         "op4_html_extraction": op4_html_extraction,
+        "op5_line_dedup": op5_line_dedup,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
