@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_rules, embedding_join, html_template, language_id, line_dedup, mixing, packing, suffix_dedup
+from . import compression_rules, embedding_join, html_template, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-copy component of every document."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 100-byte strings."""
     return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op4_html_extraction": op4_html_extraction,
         "op5_line_dedup": op5_line_dedup,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
