@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_rules, embedding_join, html_template, language_id, line_dedup, mixing, ngram_join, packing, suffix_dedup
+from . import compression_rules, embedding_join, html_template, language_id, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document."""
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -67,6 +72,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_html_extraction": op4_html_extraction,
         "op5_line_dedup": op5_line_dedup,
+        "op6_license_scan": op6_license_scan,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_suffix_dedup": op9_suffix_dedup,
