@@ -107,3 +107,15 @@ def pareto_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int
     mixed = whole.unionByName(edge)
     copies = F.when(F.col("size") > 0, F.least(F.col("certain") + F.col("one_more"), F.lit(int(most)))).otherwise(F.lit(0)).cast("long")
     return mixed.select("doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def mix_documents(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows equal in all columns share what the mix takes of them evenly, rounded.
+    """
+    key = F.xxhash64(*docs.columns)
+    taken = pareto_mix(docs.select(key.alias("doc_id"), "text", "source"), weights, most, seed).groupBy("doc_id")
+    taken = taken.agg(F.round(F.avg("copies")).cast("int").alias("copies__")).filter("copies__ > 0").withColumnRenamed("doc_id", "key__")
+    rows = docs.join(taken, key == F.col("key__"))
+    return rows.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*docs.columns)
