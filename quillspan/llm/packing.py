@@ -19,6 +19,7 @@ one. Other columns are not read. doc_id may be null.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -76,11 +77,17 @@ class WordEncoder:
         return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
 
 
+@functools.cache
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
 
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
