@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LENGTH, GRAM, Q = 100, 36, 25
+LENGTH, GRAM, Q = 100, 24, 25
 HOT = 20_000
 #: Bytes that are hashed or refined at once.
 BLOCK = 1 << 20
@@ -128,7 +128,7 @@ def _scan(batches, length: int, gram: int):
                 doc = np.searchsorted(ends, low, side="right")
                 begin = ends[doc] - sizes[doc]
                 context = two.of(low, high + length) ^ _mix((anchor - low).astype(_U) * _U(_B1) + (high - low).astype(_U))
-                parts.append((one.of(anchor, anchor + gram), context, doc + at, low - begin, high - begin))
+                parts.append((one.of(anchor, anchor + gram) >> _U(16), context >> _U(16), doc + at, low - begin, high - begin))
             at = to
         if not parts:
             continue
@@ -138,7 +138,7 @@ def _scan(batches, length: int, gram: int):
         first = np.ones(len(g), bool)
         first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
         ids, ths = pdf["doc_id"].astype("Int64").array, pdf["th"].to_numpy(np.int64)
-        key = np.where(first, g, _mix(g + low.astype(_U) + doc.astype(_U)))
+        key = np.where(first, g, _mix(g + low.astype(_U) + doc.astype(_U)) >> _U(16))
         out = pd.DataFrame({"g": key.view(np.int64), "c": pd.array(c.view(np.int64), "Int64"), "doc_id": ids[doc], "th": ths[doc], "low": low, "high": high})
         out.loc[~first, "c"] = pd.NA
         yield out
@@ -256,22 +256,33 @@ def _grown(batches):
         yield pd.concat(parts, ignore_index=True)
 
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def document_key() -> F.Column:
+    """One number for (doc_id, th), null or not, to partition by."""
+    return F.xxhash64("doc_id", "th")
+
+
+def same_document() -> F.Column:
+    """The rest of the key's test, written so that it is no join key and asks for no other partitioning."""
+    none = F.lit(-1).cast("long")
+    return (F.coalesce("doc_id", none).bitwiseXOR(F.coalesce("doc_id_", none)) == 0) & (F.col("th").bitwiseXOR(F.col("th_")) == 0) & (F.col("doc_id").isNull().cast("int") - F.col("doc_id_").isNull().cast("int") == 0)
+
+
+def repeated_ranges(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, th, low, high: ranges of window starts whose windows start earlier too.
 
-    keyed: (doc_id, th, text), hash-partitioned by doc_id and th.
+    docs: (doc_id, th, text) as read; keyed: the same with a key, hash-partitioned by it.
     """
-    spark = keyed.sparkSession
+    spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = "doc_id long, th long, low int, high int"
-    runs = keyed.mapInPandas(lambda it: _scan(it, length, gram), f"g long, c long, {run}")
+    runs = docs.mapInPandas(lambda it: _scan(it, length, gram), f"g long, c long, {run}")
     dealt = runs.repartition(n, "g").sortWithinPartitions("g", "c", "doc_id", "th", "low")
     found = materialize(dealt.mapInPandas(_resolve, f"g long, {run}, kind int"), "runs")
     whole = found.filter("kind = 1").select("doc_id", "th", "low", "high")
     open_ = found.filter("kind = 2").drop("kind")
     salts = open_.groupBy("g").count().filter(F.col("count") > hot).select(F.col("g").alias("g_"), F.ceil(F.col("count") / hot).alias("salts"))
     open_ = open_.join(salts, F.col("g") == F.col("g_"), "left").select("g", F.coalesce("salts", F.lit(1)).alias("salts"), "doc_id", "th", "low", "high")
-    by_doc = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("g", "salts", "low", "high")).alias("open"))
+    by_doc = open_.groupBy(document_key().alias("key_"), "doc_id", "th").agg(F.collect_list(F.struct("g", "salts", "low", "high")).alias("open"))
 
     def contexts(batches):
         for pdf in batches:
@@ -281,7 +292,8 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
                 rows += [(x["g"], x["salts"], doc_id, th, x["low"], raw[x["low"] : x["high"] + length]) for x in runs]
             yield pd.DataFrame(rows, columns=["g", "salts", "doc_id", "th", "low", "context"]).astype({"doc_id": "Int64"})
 
-    got = keyed.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "doc_id_", "th": "th_"})
+    got = keyed.join(by_doc, (F.col("key") == F.col("key_")) & same_document())
     got = got.select("doc_id", "th", "text", "open").mapInPandas(contexts, "g long, salts long, doc_id long, th long, low int, context binary")
     got = got.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     got = got.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "doc_id", "th", "low")
@@ -292,9 +304,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """doc_id, text_bytes (what is left), n_bytes, n_removed, n_spans of every row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, different = d.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    keyed = d.withColumn("th", F.lit(0).cast("long") if total == different else F.xxhash64("text"))
-    ranges = repeated_ranges(keyed, length, gram, hot).groupBy(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_")).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    joined = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("th") == F.col("th_")), "left")
+    d = d.withColumn("th", F.lit(0).cast("long") if total == different else F.xxhash64("text"))
+    # the texts are dealt out once, for the contexts and for the cuts
+    keyed = d.select(document_key().alias("key"), "doc_id", "th", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    ranges = repeated_ranges(d, keyed, length, gram, hot)
+    ranges = ranges.groupBy(document_key().alias("key_"), "doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).withColumnsRenamed({"doc_id": "doc_id_", "th": "th_"})
+    joined = keyed.join(ranges, (F.col("key") == F.col("key_")) & same_document(), "left")
 
     def cut(batches):
         for pdf in batches:
