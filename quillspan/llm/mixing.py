@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash, word_count
+from .common import materialize, unit_hash, word_count
 
 #: Documents of a source that share a cell of the ranking key, about.
 CELL = 2000
@@ -62,7 +62,8 @@ def pareto_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int
     weight over the source's word-weighted mean weight, at most `most`.
     """
     weight = F.coalesce(F.greatest(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(1.0)) if weight_col else F.lit(1.0)
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("weight"))
+    # words are counted once; the plans that follow read these few columns
+    d = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("weight")), "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.sum(F.col("size") * F.col("weight")).alias("weighted"))
     targets = source_targets(sizes.drop("weighted"), weights, most).join(sizes.select(F.col("source").alias("source_"), "weighted"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     factor = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(F.lit(0.0))
