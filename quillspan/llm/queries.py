@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import compression_rules, embedding_join, html_template, language_id, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup
 from .common import table
+from .oracle import oracle_sql as oracle_sql
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,3 @@ def queries() -> dict:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
