@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, single_threaded_blas
+from .common import materialize, single_threaded_blas, text_blocks
 
 WIDTH, STEP, END_ID = 2048, 8, 1
 CELL = 5000
-#: Words that a worker's memory of encoded words may hold, and misses encoded at once.
-CACHE, MISSES = 400_000, 2000
+#: Words that a worker's memory of encoded words may hold, misses encoded at once, and characters looked up at once.
+CACHE, MISSES, BLOCK = 900_000, 2000, 1_000_000
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,7 +41,8 @@ class WordEncoder:
     """Token ids of whole texts, as the tokenizer gives them, through a bounded memory of words.
 
     The tokenizer never joins characters across blanks, so a text's ids are its words'
-    ids in order. Texts that may hold one of its special tokens are encoded directly.
+    ids in order. Texts that may hold one of its special tokens are encoded directly. Ids
+    take two bytes, for vocabularies of up to 65,536.
     """
 
     def __init__(self, path: str):
@@ -49,32 +50,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # byte-level vocabularies name each byte by a printable sign: its own, or the next free one from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.byte_signs = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.words: dict[str, bytes] = {"": b""}
+        (self.bar,) = self.model.encode("|", add_special_tokens=False).ids
+        self.words.update(self._encode([".", ","]))
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found = {}
+        """ids of each word.
+
+        Lower-case words of letters below U+0250 are one piece for the tokenizer's model and
+        go to it directly. Others are encoded together, a bar after each, whose own id shows
+        where they end; those with a bar of their own alone.
+        """
+        found, others = {}, []
+        tokenize = self.model.model.tokenize
+        for w in words:
+            if w.isalpha() and w == w.lower() and max(w) < "\u0250":
+                piece = w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_signs)
+                found[w] = np.array([x.id for x in tokenize(piece)], np.uint16).tobytes()
+            elif "|" in w:
+                found[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
+            else:
+                others.append(w)
+        words = others
         for at in range(0, len(words), MISSES):
             some = words[at : at + MISSES]
-            got = self.model.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            begins = np.array([x for x, _ in got.offsets], np.int64)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            cut = np.searchsorted(begins, starts)
-            found.update((w, ids[cut[k] : cut[k + 1]].tobytes()) for k, w in enumerate(some))
+            ids = np.array(self.model.encode(" | ".join(some) + " |", add_special_tokens=False).ids, np.uint16)
+            ends = np.flatnonzero(ids == self.bar).tolist()
+            begin = 0
+            for w, end in zip(some, ends, strict=True):
+                found[w] = ids[begin:end].tobytes()
+                begin = end + 1
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            more = self._encode(missing)
-            if len(known) + len(more) > CACHE:  # the memory is full: these words serve this text only
-                return np.frombuffer(b"".join([more[w] if w in more else known[w] for w in words]), np.uint32)
-            known.update(more)
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        get, found, missing = self.words.get, [], set()
+        for t in texts:
+            if "<|" in t:
+                found.append(None)
+                continue
+            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            known = list(map(get, words))
+            gaps = [i for i, v in enumerate(known) if v is None] if None in known else []
+            names = [words[i] for i in gaps]
+            missing.update(names)
+            found.append((known, gaps, names))
+        stems = {w: self._stem(w) for w in missing}
+        encoded = self._encode(list({s for s, _ in stems.values() if s not in self.words}))
+        more = {w: (encoded[s] if s in encoded else self.words[s]) + self.words[tail] for w, (s, tail) in stems.items()}
+        out = []
+        for t, parts in zip(texts, found, strict=True):
+            if parts is None:
+                out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
+            known, gaps, names = parts
+            for i, w in zip(gaps, names, strict=True):
+                known[i] = more[w]
+            out.append(np.frombuffer(b"".join(known), np.uint16).astype(np.uint32))
+        # stems are kept while there is room, whole words only at first: from a stem they are made quickly
+        if len(self.words) + len(encoded) <= CACHE:
+            self.words.update(encoded)
+        if len(self.words) + len(more) <= CACHE // 3:
+            self.words.update(more)
+        return out
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        """A word whose ids begin the word's own, and a point or comma whose id ends them.
+
+        The tokenizer lowers letters and cuts between a letter and a sign. Only words of
+        letters below U+0250 are touched, for which all lower-casing agrees.
+        """
+        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+            return word, ""
+        word = word.lower()
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return word[:-1], word[-1]
+        return word, ""
 
 
 @functools.cache
@@ -89,12 +147,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame
     def cut(batches):
         encoder = shared_encoder(tokenizer)
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(encoder.ids(text or ""), np.uint32(END_ID)).astype("<u4")
-                for at in range(0, len(ids), width):
-                    piece = ids[at : at + width]
-                    rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+            rows, doc_ids = [], pdf["doc_id"].tolist()
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in text_blocks(texts, BLOCK):
+                for doc_id, ids in zip(doc_ids[a:b], encoder.ids_of(texts[a:b]), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                    for at in range(0, len(ids), width):
+                        piece = ids[at : at + width]
+                        rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
 
