@@ -10,8 +10,12 @@ discarded before their overlap is counted over all shingles of both texts.
 
 Only components are asked for, so a column of m rows is not multiplied out into m^2
 pairs. Each row is paired with its column's first row; linked rows join components; and
-only rows of one column that still are in different components are paired with each
-other. Every link either is tested so, or joins rows that are connected already.
+only rows of one column that still are in different components are held against each
+other, in blocks of bounded size that return the few pairs which three bounds leave:
+the sizes, the column's place in both rows' order (in the first shared column, no more
+entries can be shared than follow), and a sketch with the parity of each row's entries
+in some hundred cells, which differs in no more cells than the rows differ in entries.
+Every link either is tested so, or joins rows that are connected already.
 
 The order of columns comes from counts of the shingles that stand in several documents
 of one batch, over all batches. The order never changes the result, only the number of
@@ -26,6 +30,8 @@ one; further columns are not read. `keep_first` leaves all columns as they are.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,7 +42,9 @@ from .components import components
 from .suffix_dedup import Hashes, _mix
 
 WIDTH, PERCENT = 4, 85
-ORDERED, BLOCK = 1 << 18, 1 << 20
+ORDERED, BLOCK = 1 << 20, 1 << 20
+#: Cells of a sketch for rows of up to SMALL entries (doubled with the entries), rows of a column held against each other at once, ids that may be broadcast.
+CELLS, SMALL, ROWS, FEW = 512, 1500, 2000, 50_000
 _U = np.uint64
 _SEEDS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,8 +102,29 @@ def _blocks(pdf: pd.DataFrame):
         at = to
 
 
+def sketches(owner: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each row the parity of its entries in each cell; long rows have more cells, a power of two times as many."""
+    cells = np.where(n > SMALL, CELLS << np.ceil(np.log2(np.maximum(n, 1) / SMALL)).clip(0).astype(np.int64), CELLS)
+    begin = np.cumsum(cells) - cells
+    odd = np.bincount(begin[owner] + (s.astype(np.int64) & (cells[owner] - 1)), minlength=int(cells.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[x // 8 : (x + c) // 8] for x, c in zip(begin.tolist(), cells.tolist(), strict=True)]
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of entries that only one of two rows has."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    width = len(b) * 8
+    while width > len(a) * 8:  # a longer sketch folds onto a shorter one
+        width //= 2
+        y = (y >> width) ^ (y & ((1 << width) - 1))
+    return (x ^ y).bit_count()
+
+
 def _summarize(batches, width: int):
-    """kind 0: a document's number of shingles and a hash of its set; kind 1: a shingle and its documents in the batch."""
+    """kind 0: a document's number of shingles, a hash and a sketch of its set; kind 1: a shingle and its documents in the batch."""
     for pdf in batches:
         pool, size = [], 0
         ids = pdf["doc_id"].astype("Int64").array
@@ -105,13 +134,13 @@ def _summarize(batches, width: int):
             total = np.concatenate([[_U(0)], np.cumsum(_mix(s * _SEEDS[1]))])
             stop = np.cumsum(n)
             sig = _mix(total[stop] - total[stop - n])
-            yield pd.DataFrame({"kind": 0, "id": ids[at:to], "n": n, "sig": sig.view(np.int64)})
+            yield pd.DataFrame({"kind": 0, "id": ids[at:to], "n": n, "sig": sig.view(np.int64), "sketch": sketches(owner, s, n)})
             pool.append(s)
             size += len(s)
             if size > 3_000_000 or to == len(pdf):
                 shingle, count = np.unique(np.concatenate(pool), return_counts=True)
-                often = count >= 3
-                yield pd.DataFrame({"kind": 1, "id": pd.array(shingle[often].view(np.int64), "Int64"), "n": count[often], "sig": 0})
+                often = count >= 2
+                yield pd.DataFrame({"kind": 1, "id": pd.array(shingle[often].view(np.int64), "Int64"), "n": count[often], "sig": 0, "sketch": None})
                 pool, size = [], 0
 
 
@@ -132,8 +161,48 @@ def _prefixes(batches, width: int, percent: int, shared):
             n = np.bincount(owner)
             start = np.cumsum(n) - n
             prefix = n - (percent * n + 99) // 100 + 1
-            keep = np.arange(len(s)) - start[owner] < prefix[owner]
-            yield pd.DataFrame({"s": (s[keep] >> _U(24)).astype(np.int64), "id": ids[at + owner[keep]]})
+            place = np.arange(len(s)) - start[owner]
+            keep = place < prefix[owner]
+            yield pd.DataFrame({"s": (s[keep] >> _U(24)).astype(np.int64), "id": ids[at + owner[keep]], "place": place[keep] + 1})
+
+
+def _near(percent: int):
+    """From rows of columns, sorted by column and block: pairs that could link and are in different components."""
+
+    def pairs(block: pd.DataFrame):
+        sides = block["side"].to_numpy()
+        rows = list(zip(block["rep"].tolist(), block["n"].tolist(), block["component"].tolist(), block["place"].tolist(), block["sketch"].tolist(), sides.tolist(), strict=True))
+        left = [r for r in rows if r[5] != 2]
+        right = [r for r in rows if r[5] != 1]
+        right.sort(key=lambda r: r[1])
+        sizes = [r[1] for r in right]
+        for a, n, c, p, x, side in left:
+            low = bisect.bisect_left(sizes, -(-percent * n // 100))
+            high = bisect.bisect_right(sizes, 100 * n // percent)
+            for b, m, d, q, y, _ in right[low:high]:
+                if c == d or side == 0 and a >= b:
+                    continue
+                least = -(-percent * (n + m) // (100 + percent))  # entries that must be shared
+                if 1 + min(n - p, m - q) >= least and apart(x, y) <= n + m - 2 * least:
+                    yield min(a, b), max(a, b)
+
+    def scan(batches):
+        rest = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            keys = pdf[["s", "i", "j"]].to_numpy()
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *cut.tolist()]
+            found = set()
+            for k in range(len(bounds) - 1):
+                found.update(pairs(pdf.iloc[bounds[k] : bounds[k + 1]]))
+            rest = pdf.iloc[bounds[-1] :]
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        if rest is not None:
+            yield pd.DataFrame(sorted(set(pairs(rest))), columns=["a", "b"], dtype="int64")
+
+    return scan
 
 
 def _overlaps(percent: int, width: int):
@@ -164,53 +233,67 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = materialize(d.mapInPandas(lambda it: _summarize(it, width), "kind int, id long, n long, sig long"), "sets")
-    sizes = made.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig")
-    top = made.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 6").orderBy(F.desc("n"), "id").limit(ordered).toPandas()
+    made = materialize(d.mapInPandas(lambda it: _summarize(it, width), "kind int, id long, n long, sig long, sketch binary"), "sets")
+    sizes = made.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
+    top = made.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "id").limit(ordered).toPandas()
     shingle = top["id"].to_numpy(np.int64).view(_U)
     order = np.argsort(shingle)
     shared = spark.sparkContext.broadcast((shingle[order], top["n"].to_numpy(np.int64)[order]))  # `ordered` entries at most
     # equal sets are one class, named by its smallest doc_id
     some = sizes.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
-    member = some.join(classes.withColumnsRenamed({"n": "n_", "sig": "sig_"}), (F.col("n") == F.col("n_")) & (F.col("sig") == F.col("sig_")))
+    member = some.drop("sketch").join(classes.withColumnsRenamed({"n": "n_", "sig": "sig_"}), (F.col("n") == F.col("n_")) & (F.col("sig") == F.col("sig_")))
     member = materialize(member.select("doc_id", "n", "rep").distinct(), "classes")
     # columns with two rows or more
-    cells = d.filter("doc_id is not null and text is not null").mapInPandas(lambda it: _prefixes(it, width, percent, shared), "s long, id long")
-    cells = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s")
+    cells = d.filter("doc_id is not null and text is not null").mapInPandas(lambda it: _prefixes(it, width, percent, shared), "s long, id long, place long")
+    cells = materialize(cells, "cells")
     column = cells.groupBy("s").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select(F.col("s").alias("s_"), "first")
-    shared_cells = cells.join(column, F.col("s") == F.col("s_")).select("s", "id", "first")
+    shared_cells = cells.join(column, F.col("s") == F.col("s_")).select("s", "id", "first", "place")
     name = member.select(F.col("doc_id").alias("id_"), F.col("rep"), F.col("n"))
-    named = shared_cells.join(name, F.col("id") == F.col("id_")).select("s", "rep", "n", "first")
-    named = named.join(name.select(F.col("id_").alias("f_"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n")), F.col("first") == F.col("f_")).select("s", "rep", "n", "pivot", "pivot_n").distinct()
+    named = shared_cells.join(name, F.col("id") == F.col("id_")).select("s", "rep", "n", "first", "place")
+    named = named.join(name.select(F.col("id_").alias("f_"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n")), F.col("first") == F.col("f_")).select("s", "rep", "n", "pivot", "pivot_n", "place").distinct()
     named = materialize(named, "columns")
-    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    pairs = materialize(named.filter((F.col("rep") != F.col("pivot")) & sized("n", "pivot_n")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    candidates = named.filter("rep <> pivot").select(F.explode(F.array("rep", "pivot")).alias("c")).distinct()
-    texts = materialize(d.join(candidates, F.col("doc_id") == F.col("c")).select(F.col("c").alias("id"), "text"), "texts")
+    sized = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    pairs = named.filter((F.col("rep") != F.col("pivot")) & sized).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.col("n"), F.col("pivot_n").alias("m")).distinct()
+    sketch = sizes.join(member.filter("doc_id = rep").select(F.col("rep")), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    sketch = materialize(sketch, "sketches")
+
+    @F.pandas_udf("int")
+    def difference(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+
+    pairs = pairs.join(sketch.select(F.col("rep").alias("x_"), F.col("sketch").alias("x")), F.col("a") == F.col("x_")).join(sketch.select(F.col("rep").alias("y_"), F.col("sketch").alias("y")), F.col("b") == F.col("y_"))
+    least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    pairs = materialize(pairs.filter(difference("x", "y") <= F.col("n") + F.col("m") - 2 * least).select("a", "b"), "pairs")
     linked = _overlaps(percent, width)
 
     def links(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
+        few = ids.count() <= FEW  # otherwise both sides are dealt out
+        texts = materialize(d.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("c")).select(F.col("c").alias("id"), "text"), "texts")
         left = pairs.join(texts.withColumnsRenamed({"id": "x", "text": "left"}), F.col("b") == F.col("x")).drop("x")
         both = left.join(texts.withColumnsRenamed({"id": "x", "text": "right"}), F.col("a") == F.col("x"))
-        return both.filter(linked("left", "right")).select("a", "b")
+        return materialize(both.filter(linked("left", "right")).select("a", "b"), "links")
 
-    edges = materialize(links(pairs), "links")
+    edges = links(pairs)
     grouped = components(edges)
     # columns that still hold rows of different components
-    placed = named.join(grouped, F.col("rep") == F.col("node"), "left").select("s", "rep", "n", "pivot", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.filter("rep <> pivot")
-    left_over = open_.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select(F.col("s").alias("s_"))
-    open_ = materialize(open_.join(left_over, F.col("s") == F.col("s_")).select("s", "rep", "n", "component"), "open")
-    x, y = open_, open_.select(F.col("s").alias("s2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    more = x.join(y, (F.col("s") == F.col("s2")) & (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("c2")) & sized("n", "n2"))
-    more = more.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    late = materialize(links(more), "links")
-    if not late.isEmpty():
-        grouped = components(edges.union(late))
+    placed = named.filter("rep <> pivot").join(grouped, F.col("rep") == F.col("node"), "left").select("s", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
+    open_columns = placed.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1").select(F.col("s").alias("s_"), F.ceil(F.col("rows") / ROWS).cast("int").alias("parts"))
+    rows = placed.join(open_columns, F.col("s") == F.col("s_")).join(sketch.withColumnRenamed("rep", "rep_"), F.col("rep") == F.col("rep_")).select("s", "rep", "n", "place", "component", "sketch", "parts")
+    # a long column is cut into parts; each part meets itself (side 0) and every later part (1 on the left, 2 on the right)
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j"), F.when(part == k, 0).when(part < k, 1).otherwise(2).alias("side")))
+    rows = rows.withColumn("meet", F.explode(meets)).select("s", "meet.i", "meet.j", "meet.side", "rep", "n", "place", "component", "sketch")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s", "i", "j").sortWithinPartitions("s", "i", "j")
+    more = materialize(dealt.mapInPandas(_near(percent), "a long, b long").distinct(), "pairs")
+    if not more.isEmpty():
+        late = links(more)
+        if not late.isEmpty():
+            grouped = components(edges.union(late))
     rep = member.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d_"), F.coalesce("component", "rep").alias("component"))
     rep = rep.groupBy("d_").agg(F.min("component").alias("component"))
-    return sizes.join(rep, F.col("doc_id") == F.col("d_"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sizes.drop("sketch").join(rep, F.col("doc_id") == F.col("d_"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
