@@ -22,7 +22,7 @@ of one batch, over all batches. The order never changes the result, only the num
 pairs, so its table is cut to `ORDERED` entries, a fixed size.
 
 Defined cases: null texts and texts without words have no shingle and link with nothing;
-texts of one to three words are one shingle, their whole sequence. Rows that repeat a
+texts with fewer words than a shingle are one shingle, their whole sequence. Rows that repeat a
 doc_id are one document: their texts link it all alike. A null doc_id links with nothing
 and has a null component. Very long texts count whole. An empty table gives an empty
 one; further columns are not read. `keep_first` leaves all columns as they are.
@@ -41,7 +41,7 @@ from .common import materialize
 from .components import components
 from .suffix_dedup import Hashes, _mix
 
-WIDTH, PERCENT = 4, 85
+WIDTH, PERCENT = 5, 80
 ORDERED, BLOCK = 1 << 20, 1 << 20
 #: Cells of a sketch for rows of up to SMALL entries (doubled with the entries), rows of a column held against each other at once, ids that may be broadcast.
 CELLS, SMALL, ROWS, FEW = 512, 1500, 2000, 50_000

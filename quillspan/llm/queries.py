@@ -52,8 +52,8 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingles and near-copy component of every document."""
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    """Shingles of four words and near-copy component (ratio 0.85) of every document."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), percent=85, width=4)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

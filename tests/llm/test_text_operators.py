@@ -158,16 +158,16 @@ def test_line_dedup(messy, messy_rows, empty):
     assert {r["doc_id"] for r in line_dedup.line_report(messy).filter("n_removed > 0").collect()} >= {20, 31, 60}
 
 
-def shingles(text):
+def shingles(text, width=5):
     ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
-    return frozenset(zip(*(ws[k:] for k in range(4)))) if len(ws) >= 4 else frozenset([tuple(ws)] if ws else [])
+    return frozenset(zip(*(ws[k:] for k in range(width)))) if len(ws) >= width else frozenset([tuple(ws)] if ws else [])
 
 
-def jaccard_brute(rows):
+def jaccard_brute(rows, percent=80, width=5):
     sets = defaultdict(set)
     for d, t, *_ in rows:
-        if d is not None and shingles(t):
-            sets[d].add(shingles(t))
+        if d is not None and shingles(t, width):
+            sets[d].add(shingles(t, width))
     up = {d: d for d in sets}
 
     def find(x):
@@ -176,20 +176,21 @@ def jaccard_brute(rows):
         return x
 
     for (a, xs), (b, ys) in itertools.combinations(sets.items(), 2):
-        if any(100 * len(x & y) >= 85 * len(x | y) for x in xs for y in ys):
+        if any(100 * len(x & y) >= percent * len(x | y) for x in xs for y in ys):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     return {d: find(d) for d in sets}
 
 
-def test_ngram_join(messy, messy_rows, empty):
-    want = jaccard_brute(messy_rows)
-    out = ngram_join.jaccard_components(messy).collect()
+@pytest.mark.parametrize("percent,width", [(80, 5), (85, 4)])
+def test_ngram_join(messy, messy_rows, empty, percent, width):
+    want = jaccard_brute(messy_rows, percent, width)
+    out = ngram_join.jaccard_components(messy, percent, width).collect()
     assert len(out) == len(messy_rows)
     for r in out:
         assert r["component_id"] == want.get(r["doc_id"], r["doc_id"])
-    assert Counter((r["doc_id"], r["n_shingles"]) for r in out) == Counter((d, len(shingles(t))) for d, t, *_ in messy_rows)
-    kept = ngram_join.keep_first(messy)
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in out) == Counter((d, len(shingles(t, width))) for d, t, *_ in messy_rows)
+    kept = ngram_join.keep_first(messy, percent, width)
     assert kept.columns == messy.columns
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
     assert sorted(ids) == sorted(d for d in {r[0] for r in messy_rows if r[0] is not None} if want.get(d, d) == d)
