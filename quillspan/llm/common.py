@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: A word, as the contracts define it: a run without space, tab, LF, VT, FF, CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -41,6 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before, and lets several later plans read one result.
     """
     spark = df.sparkSession
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, too much text at once for two workers beside a JVM
+        spark.conf.set(_BATCH, "2000")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append((spark, path))
@@ -85,6 +88,23 @@ def single_threaded_blas() -> None:
                 break
 
 
+@functools.cache
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        found.malloc_trim  # noqa: B018
+        return found
+    except (OSError, AttributeError):
+        return None
+
+
+def trimmed(batches):
+    """The batches of a Python task; at its end the worker gives freed memory back to the system, since it stays alive for other tasks."""
+    yield from batches
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def text_blocks(texts: list, most: int):
     """(first, last) index ranges of consecutive texts with about `most` characters each."""
     start = size = 0

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 GRAM_WORDS, RUN_WORDS = 20, 50
 
@@ -78,7 +78,7 @@ def repeated_ranges(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: in
             yield out.astype({"doc_id": "Int64"})
 
     own = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = materialize(own.mapInPandas(scan, "doc_id long, text_hash long, fingerprint long, window long, low int, high int"), "windows")
+    found = materialize(own.mapInPandas(lambda it: trimmed(scan(it)), "doc_id long, text_hash long, fingerprint long, window long, low int, high int"), "windows")
     place = F.struct("doc_id", "text_hash", "low")
     # fingerprints in two places or more; the places of a fingerprint are its windows' starts
     shared = found.groupBy("fingerprint").agg(F.min("window").alias("w0"), F.max("window").alias("w1"), F.min(place).alias("p0"), F.max(place).alias("p1"))

@@ -18,7 +18,7 @@ in some hundred cells, which differs in no more cells than the rows differ in en
 Every link either is tested so, or joins rows that are connected already.
 
 The order of columns comes from counts of the shingles that stand in several documents
-of one batch, over all batches. The order never changes the result, only the number of
+of those that a task sees together, over all documents. The order never changes the result, only the number of
 pairs, so its table is cut to `ORDERED` entries, a fixed size.
 
 Defined cases: null texts and texts without words have no shingle and link with nothing;
@@ -37,12 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 from .components import components
 from .suffix_dedup import Hashes, _mix
 
 WIDTH, PERCENT = 5, 80
-ORDERED, BLOCK = 1 << 20, 1 << 20
+ORDERED, BLOCK, POOL = 1 << 20, 1 << 18, 1_500_000
 #: Cells of a sketch for rows of up to SMALL entries (doubled with the entries), rows of a column held against each other at once, ids that may be broadcast.
 CELLS, SMALL, ROWS, FEW = 512, 1500, 2000, 50_000
 _U = np.uint64
@@ -124,9 +124,15 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def _summarize(batches, width: int):
-    """kind 0: a document's number of shingles, a hash and a sketch of its set; kind 1: a shingle and its documents in the batch."""
+    """kind 0: a document's number of shingles, a hash and a sketch of its set; kind 1: a shingle and its documents among those seen together (about POOL shingles)."""
+    pool, size = [], 0
+
+    def often():
+        shingle, count = np.unique(np.concatenate(pool), return_counts=True)
+        twice = count >= 2
+        return pd.DataFrame({"kind": 1, "id": pd.array(shingle[twice].view(np.int64), "Int64"), "n": count[twice], "sig": 0, "sketch": None})
+
     for pdf in batches:
-        pool, size = [], 0
         ids = pdf["doc_id"].astype("Int64").array
         for at, to, texts in _blocks(pdf):
             owner, s = shingle_sets(texts, width)
@@ -137,11 +143,11 @@ def _summarize(batches, width: int):
             yield pd.DataFrame({"kind": 0, "id": ids[at:to], "n": n, "sig": sig.view(np.int64), "sketch": sketches(owner, s, n)})
             pool.append(s)
             size += len(s)
-            if size > 3_000_000 or to == len(pdf):
-                shingle, count = np.unique(np.concatenate(pool), return_counts=True)
-                often = count >= 2
-                yield pd.DataFrame({"kind": 1, "id": pd.array(shingle[often].view(np.int64), "Int64"), "n": count[often], "sig": 0, "sketch": None})
+            if size > POOL:
+                yield often()
                 pool, size = [], 0
+    if pool:
+        yield often()
 
 
 def _prefixes(batches, width: int, percent: int, shared):
@@ -214,7 +220,7 @@ def _overlaps(percent: int, width: int):
 
         def of(text):
             if text not in memory:
-                if len(memory) > 500:
+                if len(memory) > 100:
                     memory.clear()
                 memory[text] = shingle_sets([text], width)[1]
             return memory[text]
@@ -233,7 +239,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = materialize(d.mapInPandas(lambda it: _summarize(it, width), "kind int, id long, n long, sig long, sketch binary"), "sets")
+    made = materialize(d.mapInPandas(lambda it: trimmed(_summarize(it, width)), "kind int, id long, n long, sig long, sketch binary"), "sets")
     sizes = made.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
     top = made.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "id").limit(ordered).toPandas()
     shingle = top["id"].to_numpy(np.int64).view(_U)
@@ -245,7 +251,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     member = some.drop("sketch").join(classes.withColumnsRenamed({"n": "n_", "sig": "sig_"}), (F.col("n") == F.col("n_")) & (F.col("sig") == F.col("sig_")))
     member = materialize(member.select("doc_id", "n", "rep").distinct(), "classes")
     # columns with two rows or more
-    cells = d.filter("doc_id is not null and text is not null").mapInPandas(lambda it: _prefixes(it, width, percent, shared), "s long, id long, place long")
+    cells = d.filter("doc_id is not null and text is not null").mapInPandas(lambda it: trimmed(_prefixes(it, width, percent, shared)), "s long, id long, place long")
     cells = materialize(cells, "cells")
     column = cells.groupBy("s").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select(F.col("s").alias("s_"), "first")
     shared_cells = cells.join(column, F.col("s") == F.col("s_")).select("s", "id", "first", "place")

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, single_threaded_blas, text_blocks
+from .common import materialize, single_threaded_blas, text_blocks, trimmed
 
 WIDTH, STEP, END_ID = 2048, 8, 1
 CELL = 5000
 #: Words that a worker's memory of encoded words may hold, misses encoded at once, and characters looked up at once.
-CACHE, MISSES, BLOCK = 900_000, 2000, 1_000_000
+CACHE, MISSES, BLOCK = 250_000, 2000, 1_000_000
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -158,7 +158,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, f"doc_id long, {_PIECE}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: trimmed(cut(it)), f"doc_id long, {_PIECE}")
 
 
 def best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:

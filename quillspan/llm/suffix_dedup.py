@@ -34,12 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 LENGTH, GRAM, Q = 100, 24, 25
 HOT = 20_000
 #: Bytes that are hashed or refined at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _U = np.uint64
 
@@ -50,12 +50,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@functools.lru_cache(maxsize=4)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n, base, _U), np.full(n, inverse, _U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of base and of its inverse, n at least; one table a base, which grows when a longer text comes."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        inverse = pow(base, -1, 1 << 64)
+        up, down = np.full(n, base, _U), np.full(n, inverse, _U)
+        up[0] = down[0] = 1
+        _tables[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _tables[base]
 
 
 @functools.cache
@@ -275,7 +280,7 @@ def repeated_ranges(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gra
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = "doc_id long, th long, low int, high int"
-    runs = docs.mapInPandas(lambda it: _scan(it, length, gram), f"g long, c long, {run}")
+    runs = docs.mapInPandas(lambda it: trimmed(_scan(it, length, gram)), f"g long, c long, {run}")
     dealt = runs.repartition(n, "g").sortWithinPartitions("g", "c", "doc_id", "th", "low")
     found = materialize(dealt.mapInPandas(_resolve, f"g long, {run}, kind int"), "runs")
     whole = found.filter("kind = 1").select("doc_id", "th", "low", "high")
