@@ -8,20 +8,27 @@ and nested by their paths, are the host's template. What the template leaves ope
 slots: text that lies directly in a template container. Slots that hold the article
 are kept; fixed text, link lists and named boilerplate are not.
 
+Inside an article or main element a text is fixed if it lies in a container nested in
+that element and shares a valid class with a container: it stands exactly where a part
+of the template stands. Text directly in the article element itself always stays.
+
 The vectors are never gathered: a vector is the sum of hash(page, count) over pages, so
-hosts of any size are summed with map-side combine. A template is bounded by the tokens
+hosts of any size are summed with map-side combine. Whether the pages of a text differ
+is told by sums too: with a and b the least and the largest number of their open texts,
+the sum of (c - a)(c - b) is 0 unless there is a third. A template is bounded by the tokens
 of a page, since each of its tokens stands in half of the pages.
 
 Defined cases: null and empty html give an empty text, null url the host ''. A host with
 one page has no template: its page is judged by its own elements. Rows that repeat are
-extracted alike (copies of one page do not make its article a template: fixed text
-inside an article element stays, elsewhere three different pages must agree). Unclosed
+extracted alike (copies of one page do not make its article a template: for a text to be
+fixed, three pages that differ in their open text must agree). Unclosed
 tags, a page cut off inside a tag and very long pages are read as far as they go. An
 empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -50,6 +57,8 @@ _NAMED = re.compile(
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 #: Tasks that the pages of one host may be dealt to.
 SALTS = 64
+#: Numbers that the open texts of pages are hashed to; their squares are summed, so that 2^27 pages of a host fit a long.
+CONTENTS = 1 << 18
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
@@ -159,8 +168,24 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     return paths, blocks
 
 
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _in_main(path: str) -> bool:
+    return any(x.split(".")[0] in _MAIN for x in path.split("/"))
+
+
+def _fixed_key(b: Block) -> str | None:
+    """The token of a text that may be fixed; None for text directly in an article element."""
+    if not b.main:
+        return "o" + b.text[:200]
+    return "m" + _hash(b.text) if b.path.rsplit("/", 1)[-1].split(".")[0] not in _MAIN else None
+
+
 def _tokens(host: str, page_id, page: str | None) -> Iterator[tuple]:
     paths, blocks = parse(page)
+    content = int(_hash("\n".join(b.text for b in blocks if not b.chrome)), 16) % CONTENTS
     seen: dict[str, list] = {}
     for at, p in enumerate(paths):
         seen.setdefault(p, [0, at, 0, 0])[0] += 1
@@ -168,10 +193,11 @@ def _tokens(host: str, page_id, page: str | None) -> Iterator[tuple]:
         own = seen.setdefault(b.path, [0, len(paths), 0, 0])
         own[2] += len(b.text)
         own[3] += b.link
-        if not b.main and not b.chrome:
-            seen.setdefault("=" + b.text[:200], [0, len(paths), 0, 0])[0] += 1
+        key = None if b.chrome else _fixed_key(b)
+        if key:
+            seen.setdefault("=" + key, [0, len(paths), 0, 0])[0] += 1
     for token, (n, at, chars, link) in seen.items():
-        yield host, page_id, token, n, at, chars, link
+        yield host, page_id, token, n, at, chars, link, content
 
 
 def host_of(url) -> F.Column:
@@ -182,25 +208,32 @@ def host_templates(pages: DataFrame) -> DataFrame:
     """host, template: array of (token, class_id, chars, link) in page order."""
 
     def scan(batches):
-        names = ["host", "page", "token", "n", "at", "chars", "link"]
+        names = ["host", "page", "token", "n", "at", "chars", "link", "content"]
         for pdf in batches:
             yield pd.DataFrame([t for row in zip(pdf["host"], pdf["page"], pdf["html"], strict=True) for t in _tokens(*row)], columns=names)
 
     own = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
-    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, chars long, link long")
+    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, chars long, link long, content long")
     tokens = rows.groupBy("host", "token").agg(
         F.expr("sum(cast(xxhash64(page, n) as decimal(20,0)))").alias("vector"),
         F.count("*").alias("support"),
-        F.approx_count_distinct("page").alias("different"),
+        F.min("content").alias("a"),
+        F.max("content").alias("b"),
+        F.sum("content").alias("sum_1"),
+        F.sum(F.col("content") * F.col("content")).alias("sum_2"),
         F.avg("at").alias("at"),
         F.avg("chars").alias("chars"),
         F.avg("link").alias("link"),
     )
-    n = own.groupBy("host").agg(F.count("*").alias("pages"), F.approx_count_distinct("page").alias("kinds"))
-    valid = tokens.join(n, "host").filter((F.col("support") >= 2) & (2 * F.col("support") >= F.col("pages")))
-    valid = valid.filter(~F.col("token").startswith("=") | (F.col("different") >= 3))
+    n = own.groupBy("host").agg(F.count("*").alias("pages"))
+    valid = tokens.filter(F.col("support") >= 2).join(n, "host").filter(2 * F.col("support") >= F.col("pages"))
+    text = F.col("token").startswith("=")
+    third = F.col("sum_2") - (F.col("a") + F.col("b")) * F.col("sum_1") + F.col("a") * F.col("b") * F.col("support") != 0
+    valid = valid.filter(~text | third)
     # tokens with one vector are one class; classes are numbered by where they begin
-    classes = valid.withColumn("class_at", F.min("at").over(Window.partitionBy("host", "vector")))
+    own_class = Window.partitionBy("host", "vector")
+    classes = valid.withColumn("class_at", F.min("at").over(own_class)).withColumn("built", F.max(~text).over(own_class))
+    classes = classes.filter(~F.col("token").startswith("=m") | F.col("built"))
     made = F.sort_array(F.collect_list(F.struct("class_at", "at", "token", "chars", "link")))
     return classes.groupBy("host").agg(F.transform(made, lambda x: F.struct(x["token"].alias("token"), x["class_at"].alias("class_id"), x["chars"].alias("chars"), x["link"].alias("link"))).alias("template"))
 
@@ -209,7 +242,7 @@ def content_slots(template) -> tuple[set[str], set[str]]:
     """Of a host's template: paths of the containers whose slots hold the article, and the fixed texts."""
     slots = {t["token"]: (t["chars"] or 0.0, t["link"] or 0.0) for t in template if not t["token"].startswith("=")}
     fixed = {t["token"][1:] for t in template if t["token"].startswith("=")}
-    main = {p for p in slots if any(x.split(".")[0] in _MAIN for x in p.split("/"))}
+    main = {p for p in slots if _in_main(p)}
     if main:
         return main, fixed
     most = max((c for c, _ in slots.values()), default=0.0)
@@ -220,12 +253,13 @@ def main_text(page: str | None, template) -> str:
     """The article of one page, its blocks joined by a blank line."""
     _, blocks = parse(page)
     open_blocks = [b for b in blocks if not b.chrome]
-    chosen = [b for b in open_blocks if b.main]
-    if not chosen and template is not None and len(template):
-        slots, fixed = content_slots(template)
-        free = [b for b in open_blocks if b.text[:200] not in fixed]
+    slots, fixed = content_slots(template) if template is not None and len(template) else (set(), set())
+    free = [b for b in open_blocks if _fixed_key(b) not in fixed]
+    if any(b.main for b in open_blocks):
+        chosen = [b for b in free if b.main]
+    elif template is not None and len(template):
         chosen = [b for b in free if any(b.path == s or b.path.startswith(s + "/") for s in slots)] or free
-    elif not chosen:
+    else:
         chosen = [b for b in open_blocks if b.link <= 0.5 * len(b.text)]
     return "\n\n".join(b.text for b in chosen)
 

@@ -82,6 +82,17 @@ def test_html_extraction(spark):
     assert html_template.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_decides_inside_the_article(spark):
+    page = "<html><body><article><h1>Title {0}</h1><div class=x1><p>Body {0} of the page.</p></div><div class=x2>Tell your friends about us</div><div class=x3>Own {0}</div></article></body></html>"
+    rows = [(k, f"http://t.example/{k}", page.replace("{0}", str(k))) for k in range(5)]
+    copied = "<html><body><article><div class=x1><p>{0} same words</p></div></article></body></html>"
+    rows += [(20 + k, f"http://copies.example/{k}", copied.replace("{0}", "B" if k == 4 else "A")) for k in range(5)]
+    by = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert by[k] == f"Title {k}\n\nBody {k} of the page.\n\nOwn {k}"
+        assert by[20 + k] == ("B same words" if k == 4 else "A same words")
+
+
 def test_license_scan(spark):
     texts = {
         1: "Some words here.\nLicensed under the Apache License, Version 2.0.\nMore.",
