@@ -1,13 +1,14 @@
 """Quality rules: compression bands.
 
-Zstandard ratios (bytes over compressed bytes) of the whole document and of fixed
-chunks are held against limits that depend on the length: above the upper limit a
+Zstandard ratios (bytes over compressed bytes) of the whole document and of its
+chunks, the last one shorter, are held against limits that depend on the length: above the upper limit a
 text repeats itself, below the lower one it is noise (encoded blobs, random letters).
 Word, symbol, line and repetition counts come with them as base rules.
 
 Defined cases: null and empty texts have no words, fail the base rules and are not
 kept. Repeated rows and ties are judged alike, each by its own text. Very long texts
-are compressed whole, and chunk by chunk besides. An empty table gives an empty one.
+are compressed whole, and chunk by chunk besides; a text of one chunk is compressed once.
+A rest too short for the limits' table is part of the chunk before it. An empty table gives an empty one.
 Other columns, whatever their names, pass through `keep_compressible` untouched.
 """
 
@@ -43,7 +44,7 @@ class Bands:
     chunk: int = 4096
     chunk_lowest: float = 1.4
     chunk_highest: float = 2.6
-    bad_chunk_share: float = 0.25
+    bad_chunk_share: float = 0.25  # of the bytes
 
     @staticmethod
     def _at(limits: tuple, n: int) -> float:
@@ -53,6 +54,16 @@ class Bands:
     def limits(self, n: int) -> tuple[float, float]:
         return self._at(self.lowest, n), self._at(self.highest, n)
 
+    def chunk_limits(self, n: int) -> tuple[float, float]:
+        return self.limits(n) if n < self.chunk else (self.chunk_lowest, self.chunk_highest)
+
+    def chunks(self, n: int) -> list[tuple[int, int]]:
+        """(first byte, end) of the chunks that n bytes fall into."""
+        starts = list(range(0, n, self.chunk))
+        if len(starts) > 1 and n - starts[-1] < 1 << self.lowest[0][0]:
+            starts.pop()
+        return list(zip(starts, [*starts[1:], n], strict=False))
+
 
 def repeated_words(words: list[bytes], n: int = 3) -> int:
     """Words that stand in a window of n words found twice or more."""
@@ -86,17 +97,20 @@ def judge(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> tup
             seen.add(line)
     repeats = repeated_words(words)
     base_failed = n_words < 50 or 100 * repeats > 50 * n_words
-    ratio, chunks, bad = 0.0, 0, 0
+    ratio, bad, bad_bytes = 0.0, 0, 0
+    chunks = bands.chunks(len(raw))
     if raw:
         ratio = len(raw) / len(zstd.compress(raw))
-        for at in range(0, len(raw) - bands.chunk + 1, bands.chunk):
-            chunks += 1
-            r = bands.chunk / len(zstd.compress(raw[at : at + bands.chunk]))
-            bad += not bands.chunk_lowest <= r <= bands.chunk_highest
+        for at, end in chunks:
+            r = (end - at) / len(zstd.compress(raw[at:end])) if len(chunks) > 1 else ratio
+            low, high = bands.chunk_limits(end - at)
+            if not low <= r <= high:
+                bad += 1
+                bad_bytes += end - at
     low, high = bands.limits(max(1, len(raw)))
-    kept = not base_failed and low <= ratio <= high and bad <= bands.bad_chunk_share * chunks
+    kept = not base_failed and low <= ratio <= high and bad_bytes <= bands.bad_chunk_share * len(raw)
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    return n_words, word_chars, symbols, dup_lines, repeats, base_failed, kept, len(raw), ratio, chunks, bad
+    return n_words, word_chars, symbols, dup_lines, repeats, base_failed, kept, len(raw), ratio, len(chunks), bad
 
 
 def quality_column(text, bands: Bands = Bands()) -> F.Column:

@@ -53,6 +53,27 @@ def test_bands_reject_noise_and_repetition():
     assert compression_rules.judge(prose, bands, z)[6]
 
 
+def test_bands_look_at_the_last_partial_chunk():
+    import base64
+    import random
+
+    import zstandard
+
+    rng = random.Random(6)
+    z, bands = zstandard.ZstdCompressor(level=3), compression_rules.Bands()
+    syllables = "an be co di el fo ga hi in ju ka lo mi ne or pa qui re su ti un ve wa yo".split()
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    prose = " ".join(vocabulary[int(3000 * rng.random() ** 2)] for _ in range(3000))
+    noise = " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(700))
+    assert compression_rules.judge(prose[:8176], bands, z)[6] and compression_rules.judge(prose[:4196], bands, z)[6]
+    for tail in (4080, 1800):
+        text = prose[:4096] + noise[:tail]
+        low, high = bands.limits(len(text))
+        got = compression_rules.judge(text, bands, z)
+        assert low <= got[8] <= high and got[9:] == (2, 1) and not got[6]
+    assert bands.chunks(0) == [] and bands.chunks(4100) == [(0, 4100)] and bands.chunks(8192 + 64) == [(0, 4096), (4096, 8192), (8192, 8256)]
+
+
 def test_mixing(messy, empty):
     out = mixing.pareto_mix(messy).toPandas()
     assert len(out) == messy.count()
