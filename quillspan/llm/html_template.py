@@ -179,7 +179,7 @@ def _in_main(path: str) -> bool:
 def _fixed_key(b: Block) -> str | None:
     """The token of a text that may be fixed; None for text directly in an article element."""
     if not b.main:
-        return "o" + b.text[:200]
+        return "o" + _hash(b.text)
     return "m" + _hash(b.text) if b.path.rsplit("/", 1)[-1].split(".")[0] not in _MAIN else None
 
 

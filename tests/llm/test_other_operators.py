@@ -93,6 +93,14 @@ def test_html_template_decides_inside_the_article(spark):
         assert by[20 + k] == ("B same words" if k == 4 else "A same words")
 
 
+def test_html_fixed_text_is_told_by_the_whole_block(spark):
+    opening = "The following report was sent by our correspondents and is printed without any change of their words. " * 3
+    page = "<html><body><div class=story><p>{1}It tells of place {0}.</p><p>More of {0}.</p></div><div class=legal>{1}</div></body></html>"
+    rows = [(k, f"http://wire.example/{k}", page.replace("{0}", str(k)).replace("{1}", opening)) for k in range(5)]
+    by = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by == {k: f"{opening}It tells of place {k}.\n\nMore of {k}." for k in range(5)}
+
+
 def test_license_scan(spark):
     texts = {
         1: "Some words here.\nLicensed under the Apache License, Version 2.0.\nMore.",
