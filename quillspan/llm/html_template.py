@@ -5,8 +5,11 @@ blocks. Over all pages of a host, tokens with the same occurrence vector (how of
 which page) form an equivalence class; a class is valid if it stands in at least half
 of the host's pages and in two or more. Valid classes, in the order of their positions
 and nested by their paths, are the host's template. What the template leaves open are
-slots: text that lies directly in a template container. Slots that hold the article
-are kept; fixed text, link lists and named boilerplate are not.
+slots: text that lies directly in a container. Inside an article or main element, or on
+pages without one everywhere, slots of any size are kept; fixed text, named boilerplate
+and, outside these elements, link lists are not. A container is a link list if it has two
+links or more and links hold `LIST_SHARE` of its letters, in the mean over the pages of a
+template, or on the page itself where its host has none.
 
 Inside an article or main element a text is fixed if it lies in a container nested in
 that element and shares a valid class with a container: it stands exactly where a part
@@ -59,15 +62,22 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 SALTS = 64
 #: Numbers that the open texts of pages are hashed to; their squares are summed, so that 2^27 pages of a host fit a long.
 CONTENTS = 1 << 18
+#: Letters in links, of a link list's letters.
+LIST_SHARE = 0.8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Block:
-    __slots__ = ("chrome", "link", "main", "path", "text")
+    __slots__ = ("chrome", "letters", "link", "links", "main", "path", "text")
 
-    def __init__(self, text: str, path: str, main: bool, chrome: bool, link: int):
-        self.text, self.path, self.main, self.chrome, self.link = text, path, main, chrome, link
+    def __init__(self, text: str, path: str, main: bool, chrome: bool, link: int, links: int):
+        self.text, self.path, self.main, self.chrome, self.link, self.links = text, path, main, chrome, link, links
+        self.letters = _letters(text) if links else len(text)
+
+
+def _letters(text: str) -> int:
+    return sum(map(str.isalnum, text))
 
 
 def _chrome(tag: str, attrs: str, in_main: bool) -> bool:
@@ -91,14 +101,15 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     """Paths of the containers in page order, and the text blocks in page order."""
     paths: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path of the container, in main, in chrome, in a link
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path of the container, in main, in chrome, end of the tag of a link or 0
     parts: list[str] = []
     linked = 0
+    links: set[int] = set()
     at, end = 0, len(page or "")
     page = page or ""
 
     def top():
-        return stack[-1] if stack else ("", "", False, False, False)
+        return stack[-1] if stack else ("", "", False, False, 0)
 
     def flush() -> None:
         nonlocal linked
@@ -106,16 +117,18 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 _, path, main, chrome, _ = top()
-                blocks.append(Block(text, path, main, chrome, linked))
+                blocks.append(Block(text, path, main, chrome, linked, len(links)))
             parts.clear()
         linked = 0
+        links.clear()
 
     def text(value: str) -> None:
         nonlocal linked
         if value:
             parts.append(value)
-            if top()[4]:
-                linked += len(value.strip())
+            if top()[4] and value.strip():
+                linked += _letters(html.unescape(value))
+                links.add(top()[4])
 
     while at < end:
         m = _TAG.search(page, at)
@@ -163,7 +176,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
             path = f"{path}/{_label(tag, attrs)}"
             paths.append(path)
         chrome = chrome or _chrome(tag, attrs, main)
-        stack.append((tag, path, main or tag in _MAIN, chrome, link or tag == "a"))
+        stack.append((tag, path, main or tag in _MAIN, chrome, link or (at if tag == "a" else 0)))
     flush()
     return paths, blocks
 
@@ -172,10 +185,6 @@ def _hash(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def _in_main(path: str) -> bool:
-    return any(x.split(".")[0] in _MAIN for x in path.split("/"))
-
-
 def _fixed_key(b: Block) -> str | None:
     """The token of a text that may be fixed; None for text directly in an article element."""
     if not b.main:
@@ -188,16 +197,17 @@ def _tokens(host: str, page_id, page: str | None) -> Iterator[tuple]:
     content = int(_hash("\n".join(b.text for b in blocks if not b.chrome)), 16) % CONTENTS
     seen: dict[str, list] = {}
     for at, p in enumerate(paths):
-        seen.setdefault(p, [0, at, 0, 0])[0] += 1
+        seen.setdefault(p, [0, at, 0, 0, 0])[0] += 1
     for b in blocks:
-        own = seen.setdefault(b.path, [0, len(paths), 0, 0])
-        own[2] += len(b.text)
+        own = seen.setdefault(b.path, [0, len(paths), 0, 0, 0])
+        own[2] += b.letters
         own[3] += b.link
+        own[4] += b.links
         key = None if b.chrome else _fixed_key(b)
         if key:
-            seen.setdefault("=" + key, [0, len(paths), 0, 0])[0] += 1
-    for token, (n, at, chars, link) in seen.items():
-        yield host, page_id, token, n, at, chars, link, content
+            seen.setdefault("=" + key, [0, len(paths), 0, 0, 0])[0] += 1
+    for token, (n, at, letters, link, links) in seen.items():
+        yield host, page_id, token, n, at, letters, link, links, content
 
 
 def host_of(url) -> F.Column:
@@ -205,15 +215,15 @@ def host_of(url) -> F.Column:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """host, template: array of (token, class_id, chars, link) in page order."""
+    """host, template: array of (token, class_id, letters, link, links) in page order."""
 
     def scan(batches):
-        names = ["host", "page", "token", "n", "at", "chars", "link", "content"]
+        names = ["host", "page", "token", "n", "at", "letters", "link", "links", "content"]
         for pdf in batches:
             yield pd.DataFrame([t for row in zip(pdf["host"], pdf["page"], pdf["html"], strict=True) for t in _tokens(*row)], columns=names)
 
     own = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
-    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, chars long, link long, content long")
+    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, letters long, link long, links long, content long")
     tokens = rows.groupBy("host", "token").agg(
         F.expr("sum(cast(xxhash64(page, n) as decimal(20,0)))").alias("vector"),
         F.count("*").alias("support"),
@@ -222,8 +232,9 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.sum("content").alias("sum_1"),
         F.sum(F.col("content") * F.col("content")).alias("sum_2"),
         F.avg("at").alias("at"),
-        F.avg("chars").alias("chars"),
+        F.avg("letters").alias("letters"),
         F.avg("link").alias("link"),
+        F.avg("links").alias("links"),
     )
     n = own.groupBy("host").agg(F.count("*").alias("pages"))
     valid = tokens.filter(F.col("support") >= 2).join(n, "host").filter(2 * F.col("support") >= F.col("pages"))
@@ -234,33 +245,42 @@ def host_templates(pages: DataFrame) -> DataFrame:
     own_class = Window.partitionBy("host", "vector")
     classes = valid.withColumn("class_at", F.min("at").over(own_class)).withColumn("built", F.max(~text).over(own_class))
     classes = classes.filter(~F.col("token").startswith("=m") | F.col("built"))
-    made = F.sort_array(F.collect_list(F.struct("class_at", "at", "token", "chars", "link")))
-    return classes.groupBy("host").agg(F.transform(made, lambda x: F.struct(x["token"].alias("token"), x["class_at"].alias("class_id"), x["chars"].alias("chars"), x["link"].alias("link"))).alias("template"))
+    made = F.sort_array(F.collect_list(F.struct("class_at", "at", "token", "letters", "link", "links")))
+    return classes.groupBy("host").agg(F.transform(made, lambda x: F.struct(x["token"].alias("token"), x["class_at"].alias("class_id"), x["letters"].alias("letters"), x["link"].alias("link"), x["links"].alias("links"))).alias("template"))
+
 
+def _is_list(letters: float, link: float, links: float) -> bool:
+    return links >= 2 and link >= LIST_SHARE * letters
 
-def content_slots(template) -> tuple[set[str], set[str]]:
-    """Of a host's template: paths of the containers whose slots hold the article, and the fixed texts."""
-    slots = {t["token"]: (t["chars"] or 0.0, t["link"] or 0.0) for t in template if not t["token"].startswith("=")}
-    fixed = {t["token"][1:] for t in template if t["token"].startswith("=")}
-    main = {p for p in slots if _in_main(p)}
-    if main:
-        return main, fixed
-    most = max((c for c, _ in slots.values()), default=0.0)
-    return {p for p, (c, link) in slots.items() if c and c >= 0.2 * most and link <= 0.3 * c}, fixed
+
+def content_slots(template) -> tuple[dict[str, bool], set[str]]:
+    """Of a host's template: its containers, with whether their slots are open, and the fixed texts."""
+    slots = {t["token"]: not _is_list(t["letters"], t["link"], t["links"]) for t in template if not t["token"].startswith("=")}
+    return slots, {t["token"][1:] for t in template if t["token"].startswith("=")}
+
+
+def own_slots(blocks: list[Block]) -> dict[str, bool]:
+    """The containers of one page's blocks, with whether their slots are open."""
+    sums: dict[str, list[int]] = {}
+    for b in blocks:
+        own = sums.setdefault(b.path, [0, 0, 0])
+        own[0] += b.letters
+        own[1] += b.link
+        own[2] += b.links
+    return {p: not _is_list(*x) for p, x in sums.items()}
 
 
 def main_text(page: str | None, template) -> str:
     """The article of one page, its blocks joined by a blank line."""
     _, blocks = parse(page)
     open_blocks = [b for b in blocks if not b.chrome]
-    slots, fixed = content_slots(template) if template is not None and len(template) else (set(), set())
+    slots, fixed = content_slots(template) if template is not None else ({}, set())
     free = [b for b in open_blocks if _fixed_key(b) not in fixed]
     if any(b.main for b in open_blocks):
         chosen = [b for b in free if b.main]
-    elif template is not None and len(template):
-        chosen = [b for b in free if any(b.path == s or b.path.startswith(s + "/") for s in slots)] or free
     else:
-        chosen = [b for b in open_blocks if b.link <= 0.5 * len(b.text)]
+        slots = own_slots(open_blocks) | slots  # the template's word counts where it has the container
+        chosen = [b for b in free if slots[b.path]]
     return "\n\n".join(b.text for b in chosen)
 
 

@@ -101,6 +101,14 @@ def test_html_fixed_text_is_told_by_the_whole_block(spark):
     assert by == {k: f"{opening}It tells of place {k}.\n\nMore of {k}." for k in range(5)}
 
 
+def test_html_slots_of_any_size_stay(spark):
+    long = "The story of {0} is told here at great length and with many words. " * 20
+    page = f"<html><body><div class=lead>Lead {{0}}</div><div class=story><p>{long}</p></div><div class=more><p><a href=/r>The whole report {{0}} as a file</a></p></div><div class=links><a href=/1>A {{0}}</a> | <a href=/2>B {{0}}</a> | <a href=/3>C</a></div></body></html>"
+    rows = [(k, f"http://{'lone' if k == 9 else 'many'}.example/{k}", page.replace("{0}", str(k))) for k in (0, 1, 2, 3, 9)]
+    by = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by == {k: f"Lead {k}\n\n{long.replace('{0}', str(k)).strip()}\n\nThe whole report {k} as a file" for k in (0, 1, 2, 3, 9)}
+
+
 def test_license_scan(spark):
     texts = {
         1: "Some words here.\nLicensed under the Apache License, Version 2.0.\nMore.",
