@@ -130,6 +130,16 @@ def test_license_scan(spark):
     assert license_scan.scan_documents(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_everyday_words(spark):
+    texts = {
+        1: "Released under MIT",
+        2: "Some words.\nObtaining a copy of this software and associated documentation files\nMore of the words.",
+        3: "It is one of the best.\nmit\nof the\nTo the public it was free of charge.",
+    }
+    got = {r["doc_id"]: (r["family"], r["n_scanned"]) for r in license_scan.scan_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1), 2: ("mit", 1), 3: ("none", 0)}
+
+
 def test_license_model_on_held_out_framings():
     model = license_scan.train()
     right = total = 0
