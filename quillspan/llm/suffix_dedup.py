@@ -11,9 +11,9 @@ strings are judged on the input.
    removed as a whole. Anchors with one context are done; the first places of contexts
    that share an anchor with other contexts are left open.
 3. The suffixes of open runs are refined: initial buckets of `Q`-byte strings are ranked,
-   and sorted again by the pair of bucket numbers at p and at p + Q, p + 2Q and so on,
-   each time using the last round's numbers, until buckets are equal over all `length`
-   bytes. Only suffixes in buckets of two or more go on. All but a bucket's first place
+   and sorted again by the pair of the last round's number at p and the initial bucket
+   number at p + Q, p + 2Q and so on, until buckets are equal over all `length` bytes.
+   The recursive update, refined numbers used at the later offsets, is left out. Only suffixes in buckets of two or more go on. All but a bucket's first place
    are removed.
 
 Hot contexts (copies, common passages) are cut to one row for each batch before the
