@@ -1,4 +1,8 @@
-"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
+"""N-gram Jaccard join: a prefix-filter join with verified pairs, in place of a blocked sparse product.
+
+No sparse product accumulates overlap counts over column blocks: that would count every
+pair of every column, m^2 for m rows, where only components are asked for. The matrix
+below is how candidates are found; each pair left is counted from both texts.
 
 Rows of the matrix are documents (classes of equal shingle sets, that is), columns are
 hashed 4-word shingles. The product of the matrix with its transpose counts shared
