@@ -9,7 +9,10 @@ rest of the target. With a weight column the probabilities differ within a sourc
 
 All of it is built-in columns. Ranks are never formed by sorting a whole source: the
 ranking key is cut into cells of about `CELL` documents per source, cells are summed
-with map-side combine, and only the cell in which a source's rest runs out is ordered.
+with map-side combine, and only the cell in which a source's rest runs out is ordered,
+if a word is left for it. Cells are cut at even steps of the key's own distribution in
+the source, so that they are alike for every p; documents whose weights differ within a
+source are spread by the distribution for weight 1, and cells can be larger there.
 
 Defined cases: a null source is a source of its own, last in order; null or empty
 texts have size 0 and are never taken; sources of size 0 have target 0; an empty
@@ -54,6 +57,18 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> Da
     return s.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def _one_more(expected) -> F.Column:
+    """The probability of one copy more than the certain ones."""
+    return F.least(F.greatest(expected - F.floor(expected + F.lit(1e-12)), F.lit(1e-9)), F.lit(1 - 1e-9))
+
+
+def _place(odds, expected) -> F.Column:
+    """Grows with the ranking odds u/(1-u) over p/(1-p); with this p of `expected` it is u itself, even between 0 and 1."""
+    p = _one_more(expected)
+    u_odds = odds * (p / (1 - p))
+    return u_odds / (1 + u_odds)
+
+
 def pareto_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int = 17, weight_col: str | None = None) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, copies.
 
@@ -72,13 +87,13 @@ def pareto_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int
     # whole copies first, then the probability of one more
     expected = F.least(F.col("factor") * F.col("weight"), F.lit(float(most)))
     d = d.withColumn("certain", F.floor(expected + F.lit(1e-12)))
-    d = d.withColumn("p", F.least(F.greatest(expected - F.col("certain"), F.lit(1e-9)), F.lit(1 - 1e-9)))
+    d = d.withColumn("p", _one_more(expected))
     u = unit_hash(F.col("doc_id"), F.col("size"), F.col("source"), seed=seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     d = d.withColumn("key", odds / (1 + odds))  # the same order, between 0 and 1
     open_ = (F.col("size") > 0) & (F.col("certain") < F.lit(float(most)))
     d = d.withColumn("extra", open_).withColumn("cells", F.ceil(F.col("n_docs") / CELL))
-    d = d.withColumn("cell", F.least(F.floor(F.col("key") * F.col("cells")), F.col("cells") - 1))
+    d = d.withColumn("cell", F.least(F.floor(_place(odds, F.least(F.col("factor"), F.lit(float(most)))) * F.col("cells")), F.col("cells") - 1))
     # what the certain copies leave of each target, and the cell in which it runs out
     cells = d.groupBy("source", "cell").agg(
         F.sum(F.col("certain") * F.col("size")).alias("sure"),
@@ -92,7 +107,8 @@ def pareto_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: int
     last = last.select(F.col("source").alias("source_"), F.col("last.cell").alias("last_cell"), F.col("last.room").alias("room"))
     d = d.join(last, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     inside = F.col("extra") & (F.col("last_cell").isNull() | (F.col("cell") < F.col("last_cell")))
-    at_edge = F.col("extra") & F.coalesce(F.col("cell") == F.col("last_cell"), F.lit(False))
+    # sizes are whole words: nothing fits a room below 1
+    at_edge = F.col("extra") & F.coalesce((F.col("cell") == F.col("last_cell")) & (F.col("room") >= 1), F.lit(False))
     cols = ["doc_id", "source", "size", "source_size", "target", "certain"]
     whole = d.filter(~at_edge).select(*cols, inside.cast("long").alias("one_more"))
     # the edge cell, in rank order: each document that still fits the room is taken

@@ -104,6 +104,21 @@ def test_mixing(messy, empty):
     assert mixing.pareto_mix(empty).count() == 0
 
 
+def test_mixing_cells_stay_even(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "CELL", 50)
+    for expected in (1.0, 1.000001, 1.5, 1.999999, 3.0):
+        p = min(max(expected - int(expected + 1e-12), 1e-9), 1 - 1e-9)
+        u = mixing.unit_hash(F.col("id"), seed=17)
+        place = mixing._place((u / (1 - u)) / (F.lit(p) / (1 - F.lit(p))), F.lit(expected))
+        cells = [r["count"] for r in spark.range(2000).groupBy(F.floor(place * 40).alias("cell")).count().collect()]
+        assert len(cells) == 40 and max(cells) < 100
+    docs = spark.createDataFrame([(k, "word " * (1 + k % 7), "one") for k in range(2000)], "doc_id long, text string, source string")
+    out = mixing.pareto_mix(docs).toPandas()
+    assert len(out) == 2000 and (out.copies == 1).all()
+
+
 def test_packing(messy, messy_rows, empty):
     from tokenizers import Tokenizer
 
