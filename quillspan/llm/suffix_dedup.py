@@ -7,18 +7,18 @@ strings are judged on the input.
 1. Of every window of `length` bytes the least of its `gram`-byte hashes is the anchor.
    Windows that follow each other and share an anchor are one run; equal windows have
    equal anchors. So a run with its bytes (its context) stands for 30 suffixes or so.
-2. Runs are dealt out by anchor and sorted. A run whose context also stands earlier is
-   removed as a whole. Anchors with one context are done; the first places of contexts
-   that share an anchor with other contexts are left open.
-3. The suffixes of open runs are refined: initial buckets of `Q`-byte strings are ranked,
-   and sorted again by the pair of the last round's number at p and the initial bucket
-   number at p + Q, p + 2Q and so on, until buckets are equal over all `length` bytes.
-   The recursive update, refined numbers used at the later offsets, is left out. Only suffixes in buckets of two or more go on. All but a bucket's first place
-   are removed.
+2. Runs are dealt out by anchor and sorted. Contexts equal in two hashes, 128 bits, beside
+   the anchor's 48 are one class, whose later places are removed as a whole; anchors with
+   one class are done. The first places of classes that share an anchor are left open.
+3. The suffixes of open runs are refined: initial buckets hold equal `Q`-byte strings, and
+   each round sorts a bucket's suffixes by the bucket numbers at a later offset. Numbers
+   refined in one round are the ones that the next round reads there, so that a round
+   doubles the bytes that a number stands for: Q, 2Q, and so on to `length`. Only suffixes
+   in buckets of two or more go on. All but a bucket's first place are removed.
 
 Hot contexts (copies, common passages) are cut to one row for each batch before the
-shuffle. Anchors with more than `HOT` open contexts are salted by the hash of the window,
-so that none is resolved in a single task; a task streams through its contexts.
+shuffle. Anchors with more than `HOT` open contexts are cut into single windows, dealt out
+by the hash of the window: rows grow in proportion, and none is resolved in a single task.
 
 Defined cases: null texts are empty. Texts shorter than `length` lose nothing. Null
 doc_ids come first. Rows equal in doc_id and text are one document. Repeated windows that
@@ -31,6 +31,7 @@ import functools
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,9 +113,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return lows, highs, at[lows], one, two
 
 
-_RUN = ["g", "c", "doc_id", "th", "low", "high"]
-
-
 def _scan(batches, length: int, gram: int):
     """Runs of a batch's documents: the first of each context in the batch, the others as removed (c null)."""
     for pdf in batches:
@@ -132,19 +130,19 @@ def _scan(batches, length: int, gram: int):
             if len(low):
                 doc = np.searchsorted(ends, low, side="right")
                 begin = ends[doc] - sizes[doc]
-                context = two.of(low, high + length) ^ _mix((anchor - low).astype(_U) * _U(_B1) + (high - low).astype(_U))
-                parts.append((one.of(anchor, anchor + gram) >> _U(16), context >> _U(16), doc + at, low - begin, high - begin))
+                shape = _mix((anchor - low).astype(_U) * _U(_B1) + (high - low).astype(_U))
+                parts.append((one.of(anchor, anchor + gram) >> _U(16), two.of(low, high + length) ^ shape, one.of(low, high + length) + shape, doc + at, low - begin, high - begin))
             at = to
         if not parts:
             continue
-        g, c, doc, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((low, doc, c, g))
-        g, c, doc, low, high = (x[order] for x in (g, c, doc, low, high))
+        g, c, c2, doc, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((low, doc, c2, c, g))
+        g, c, c2, doc, low, high = (x[order] for x in (g, c, c2, doc, low, high))
         first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
         ids, ths = pdf["doc_id"].astype("Int64").array, pdf["th"].to_numpy(np.int64)
         key = np.where(first, g, _mix(g + low.astype(_U) + doc.astype(_U)) >> _U(16))
-        out = pd.DataFrame({"g": key.view(np.int64), "c": pd.array(c.view(np.int64), "Int64"), "doc_id": ids[doc], "th": ths[doc], "low": low, "high": high})
+        out = pd.DataFrame({"g": key.view(np.int64), "c": pd.array(c.view(np.int64), "Int64"), "c2": np.where(first, c2.view(np.int64), 0), "doc_id": ids[doc], "th": ths[doc], "low": low, "high": high})
         out.loc[~first, "c"] = pd.NA
         yield out
 
@@ -156,33 +154,33 @@ def _resolve(batches):
     for pdf in batches:
         plain = pdf["c"].isna().to_numpy()
         if plain.any():
-            yield pdf[plain].drop(columns="c").assign(kind=1)
+            yield pdf[plain].drop(columns=["c", "c2"]).assign(kind=1)
         pdf = pdf[~plain]
         if not len(pdf):
             continue
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
-        g, c = pdf["g"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+        g, c, c2 = pdf["g"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), pdf["c2"].to_numpy(np.int64)
         new_g = np.ones(len(g), bool)
         new_g[1:] = g[1:] != g[:-1]
         first = new_g.copy()
-        first[1:] |= c[1:] != c[:-1]
+        first[1:] |= (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
         starts = np.flatnonzero(first)
         run = np.cumsum(first) - 1
         lead = starts[run]  # the first place of each row's context
         doc, blank = pdf["doc_id"].fillna(0).to_numpy(np.int64), pdf["doc_id"].isna().to_numpy()
         th, low = pdf["th"].to_numpy(np.int64), pdf["low"].to_numpy(np.int64)
         same = (doc == doc[lead]) & (blank == blank[lead]) & (th == th[lead]) & (low == low[lead])
-        yield pdf[~same].drop(columns="c").assign(kind=1)
+        yield pdf[~same].drop(columns=["c", "c2"]).assign(kind=1)
         shares = ~new_g[starts]  # has a context before it in its anchor
         is_open = shares.copy()
         is_open[:-1] |= shares[1:]
         if held is not None:
             is_open[0] |= held_open
-        yield pdf.iloc[starts[:-1][is_open[:-1]]].drop(columns="c").assign(kind=2)
+        yield pdf.iloc[starts[:-1][is_open[:-1]]].drop(columns=["c", "c2"]).assign(kind=2)
         held, held_open = pdf.iloc[[starts[-1]]], bool(is_open[-1])
     if held is not None and held_open:
-        yield held.drop(columns="c").assign(kind=2)
+        yield held.drop(columns=["c", "c2"]).assign(kind=2)
 
 
 def refine(data: np.ndarray, group: np.ndarray, starts: np.ndarray, length: int = LENGTH, q: int = Q) -> np.ndarray:
@@ -190,23 +188,30 @@ def refine(data: np.ndarray, group: np.ndarray, starts: np.ndarray, length: int
 
     Singletons get numbers of their own. group: of each start.
     """
-    offsets = np.unique(np.minimum(np.arange(0, length, q), length - q))
-    # initial buckets: q-byte strings at all places that matter
-    places, back = np.unique((starts[:, None] + offsets).ravel(), return_inverse=True)
-    bucket = np.unique(Hashes(data, _B1).of(places, places + q), return_inverse=True)[1]
-    pointer = bucket[back].reshape(len(starts), len(offsets))
-    number = np.unique(group, return_inverse=True)[1].astype(np.int64)
-    live = np.arange(len(starts))
-    out = np.arange(len(starts), dtype=np.int64) + len(starts)  # numbers of those that are alone
-    for k in range(len(offsets)):
-        # sort by the pair of this round's number and the bucket number at the next offset
-        number = np.unique(number * (int(pointer.max(initial=0)) + 1) + pointer[:, k], return_inverse=True)[1]
-        many = np.bincount(number)[number] > 1
-        live, number, pointer = live[many], number[many], pointer[many]
-        if not len(live):
-            return out
-    out[live] = number
-    return out
+    # how many bytes a bucket number stands for in each round; the last two numbers may overlap
+    spans = [min(q, length)]
+    while spans[-1] < length:
+        spans.append(min(2 * spans[-1], length))
+    # which places a round must number: those at which the rounds after it read
+    places = [np.unique(starts)]
+    for span, wide in zip(spans[-2::-1], spans[:0:-1], strict=True):
+        places.append(np.unique(np.concatenate([places[-1], places[-1] + (wide - span)])))
+    places.reverse()
+    # initial buckets
+    bucket = np.unique(Hashes(data, _B1).of(places[0], places[0] + spans[0]), return_inverse=True)[1].astype(np.int64)
+    for k in range(1, len(spans)):
+        # refine: sort by the pair of a place's number and the number, as refined by now, at the later offset
+        here = np.searchsorted(places[k - 1], places[k])
+        later = np.searchsorted(places[k - 1], places[k] + (spans[k] - spans[k - 1]))
+        pair = bucket[here] * (len(places[k - 1]) + 1) + bucket[later]
+        many = np.bincount(bucket, minlength=1)[bucket[here]] > 1  # a place alone in its bucket is settled
+        refined = np.arange(len(pair), dtype=np.int64)
+        numbers = np.unique(pair[many], return_inverse=True)[1]
+        refined[many] = len(pair) + numbers
+        bucket = np.unique(refined, return_inverse=True)[1].astype(np.int64)
+    number = bucket[np.searchsorted(places[-1], starts)]
+    own = np.unique(group, return_inverse=True)[1].astype(np.int64)
+    return np.unique(own * (int(number.max(initial=0)) + 1) + number, return_inverse=True)[1].astype(np.int64)
 
 
 def _refine(batches, length: int):
@@ -222,10 +227,7 @@ def _refine(batches, length: int):
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = (ends - sizes)[row] + within
         h = Hashes(data, _B2).of(at, at + length)
-        salts, salt = pdf["salts"].to_numpy(np.int64), pdf["salt"].to_numpy(np.int64)
-        own = (h % salts[row].astype(_U)).astype(np.int64) == salt[row]
-        row, within, at, h = row[own], within[own], at[own], h[own]
-        key = _mix(pdf["g"].to_numpy(np.int64).view(_U)) + salt.astype(_U)
+        key = _mix(pdf["g"].to_numpy(np.int64).view(_U)) + pdf["salt"].to_numpy(np.int64).astype(_U)
         bucket = refine(data, key[row], at, length)
         order = np.argsort(bucket, kind="stable")
         again = np.zeros(len(row), bool)
@@ -280,13 +282,16 @@ def repeated_ranges(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gra
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = "doc_id long, th long, low int, high int"
-    runs = docs.mapInPandas(lambda it: trimmed(_scan(it, length, gram)), f"g long, c long, {run}")
-    dealt = runs.repartition(n, "g").sortWithinPartitions("g", "c", "doc_id", "th", "low")
+    runs = docs.mapInPandas(lambda it: trimmed(_scan(it, length, gram)), f"g long, c long, c2 long, {run}")
+    dealt = runs.repartition(n, "g").sortWithinPartitions("g", "c", "c2", "doc_id", "th", "low")
     found = materialize(dealt.mapInPandas(_resolve, f"g long, {run}, kind int"), "runs")
     whole = found.filter("kind = 1").select("doc_id", "th", "low", "high")
     open_ = found.filter("kind = 2").drop("kind")
-    salts = open_.groupBy("g").count().filter(F.col("count") > hot).select(F.col("g").alias("g_"), F.ceil(F.col("count") / hot).alias("salts"))
-    open_ = open_.join(salts, F.col("g") == F.col("g_"), "left").select("g", F.coalesce("salts", F.lit(1)).alias("salts"), "doc_id", "th", "low", "high")
+    salts = materialize(open_.groupBy("g").count().filter(F.col("count") > hot).select(F.col("g").alias("g_"), F.ceil(F.col("count") / hot).alias("salts")), "hot")
+    if salts.isEmpty():
+        open_ = open_.withColumn("salts", F.lit(1).cast("long"))
+    else:
+        open_ = open_.join(salts, F.col("g") == F.col("g_"), "left").select("g", F.coalesce("salts", F.lit(1)).alias("salts"), "doc_id", "th", "low", "high")
     by_doc = open_.groupBy(document_key().alias("key_"), "doc_id", "th").agg(F.collect_list(F.struct("g", "salts", "low", "high")).alias("open"))
 
     def contexts(batches):
@@ -294,13 +299,24 @@ def repeated_ranges(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gra
             rows = []
             for doc_id, th, text, runs in zip(pdf["doc_id"], pdf["th"], pdf["text"], pdf["open"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(x["g"], x["salts"], doc_id, th, x["low"], raw[x["low"] : x["high"] + length]) for x in runs]
-            yield pd.DataFrame(rows, columns=["g", "salts", "doc_id", "th", "low", "context"]).astype({"doc_id": "Int64"})
+                for x in runs:
+                    if x["salts"] == 1:
+                        rows.append((x["g"], 0, doc_id, th, x["low"], raw[x["low"] : x["high"] + length]))
+                    else:
+                        for at in range(x["low"], x["high"] + 1):
+                            window = raw[at : at + length]
+                            rows.append((x["g"], xxhash.xxh32_intdigest(window) % x["salts"], doc_id, th, at, window))
+                    if len(rows) >= 20_000:
+                        yield frame(rows)
+                        rows = []
+            yield frame(rows)
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["g", "salt", "doc_id", "th", "low", "context"]).astype({"doc_id": "Int64"})
 
     by_doc = by_doc.withColumnsRenamed({"doc_id": "doc_id_", "th": "th_"})
     got = keyed.join(by_doc, (F.col("key") == F.col("key_")) & same_document())
-    got = got.select("doc_id", "th", "text", "open").mapInPandas(contexts, "g long, salts long, doc_id long, th long, low int, context binary")
-    got = got.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    got = got.select("doc_id", "th", "text", "open").mapInPandas(contexts, "g long, salt long, doc_id long, th long, low int, context binary")
     got = got.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "doc_id", "th", "low")
     return whole.union(got.mapInPandas(lambda it: _refine(it, length), run))
 
