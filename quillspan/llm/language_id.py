@@ -10,11 +10,14 @@ the rate f**K, which is taken off, and the counts are divided by the language's
 hit rate in training. The largest decides.
 
 Training may use a bounded sample: about `DOCS_PER_LANG` documents of each language,
-picked by a hash of doc_id. Prediction reads every text as a whole, in blocks.
+picked by a hash of doc_id; every language is learned. Prediction reads every text as a
+whole: long ones in blocks that overlap by the longest n-gram less one sign, so that each
+n-gram is counted once.
 
 Defined cases: null texts and texts without a letter get `und` and score 0. Texts in
 no learned language get the learned language with the largest count, or the first by
-name when no n-gram is known. Without any training text all predictions are `und`.
+name when no n-gram is known. Without any training text that holds a letter all
+predictions are `und`.
 Ties go to the language first by name. Null doc_ids are never held out and never
 trained on. Rows that repeat are predicted alike. Only doc_id, text and lang are read.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import text_blocks
 
 #: Bounds of the training sample and the model.
-DOCS_PER_LANG, TOP, SIZES, K, MAX_LANGS = 2000, 4000, (2, 3, 4), 3, 256
+DOCS_PER_LANG, TOP, SIZES, K = 2000, 4000, (2, 3, 4), 3
 #: Share of an n-gram's highest rate in any language that makes it a language's own.
 BORROWED = 0.3
 _BLOCK = 500_000
@@ -44,12 +47,19 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case letters of a text as code points, anything else as blanks."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(lowered: str) -> np.ndarray:
+    """Letters of a text in lower case as code points, anything else as blanks."""
+    code = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(_letters()[code], code, 0)
 
 
+def _blocks_of(texts: list[str]):
+    """(first place, codes, last start) of blocks of all texts, a blank on both sides of each; an n-gram starts in one block only."""
+    lowered = " " + " ".join(t.lower() for t in texts) + " "
+    for at in range(0, len(lowered), _BLOCK):
+        yield at, _codes(lowered[at : at + _BLOCK + max(SIZES) - 1]), _BLOCK
+
+
 def ngram_hashes(code: np.ndarray, sizes=SIZES):
     """For each size: (start positions of n-grams that hold no inner blank, their hashes)."""
     wide = code.astype(np.uint64) + np.uint64(1)
@@ -69,6 +79,10 @@ def ngram_hashes(code: np.ndarray, sizes=SIZES):
         yield at, h[at]
 
 
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class Filters:
     """The bit-sliced Bloom filter: slots x languages, packed in 64-bit words."""
 
@@ -100,17 +114,16 @@ class Filters:
         """n-grams of each text, and how many of them each language contains as measured."""
         n = np.zeros(len(texts), np.int64)
         hits = np.zeros((len(texts), len(self.langs)), np.int64)
-        # one array for all texts of a block, a blank on both sides of each
-        code = _codes(" " + " ".join(texts) + " ")
-        length = np.array([len(t.lower()) + 1 for t in texts])
-        ends = np.cumsum(length)
-        for at, h in ngram_hashes(code):
-            owner = np.minimum(np.searchsorted(ends, at, side="right"), len(texts) - 1)
-            n += np.bincount(owner, minlength=len(texts))
-            mask = self.masks(h)
-            for i in range(len(self.langs)):
-                got = (mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits[:, i] += np.bincount(owner, weights=got, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum([len(t.lower()) + 1 for t in texts])
+        for first, code, stop in _blocks_of(texts):
+            for at, h in ngram_hashes(code):
+                at, h = at[at < stop], h[at < stop]
+                owner = np.minimum(np.searchsorted(ends, at + first, side="right"), len(texts) - 1)
+                n += np.bincount(owner, minlength=len(texts))
+                mask = self.masks(h)
+                for i in range(len(self.langs)):
+                    got = (mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                    hits[:, i] += np.bincount(owner, weights=got, minlength=len(texts)).astype(np.int64)
         return n, hits
 
     def predict(self, n: np.ndarray, hits: np.ndarray) -> tuple[list[str], list[float]]:
@@ -121,33 +134,24 @@ class Filters:
         return [self.langs[i] for i in best], score.tolist()
 
 
-def _pieces(text: str):
-    """A very long text in pieces; the few n-grams across a cut count as word edges."""
-    for at in range(0, len(text), _BLOCK):
-        yield text[at : at + _BLOCK]
-
-
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, top: int = TOP) -> Filters | None:
     """Fit the filters on (doc_id, text, lang) rows; bounded by docs_per_lang and top for each language."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not per_lang:
-        return None
-    share = F.lit(0.0)
-    for r in per_lang:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))).otherwise(share)
+    share = F.lit(float(docs_per_lang)) / F.col("n_docs")
+    per_lang = rows.groupBy(F.col("lang").alias("lang_")).agg(F.count("*").alias("n_docs"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(unit < share).select("lang", "text")
+    sample = rows.join(per_lang, F.col("lang") == F.col("lang_")).filter(unit < share).select("lang", "text")
 
     def count(batches):
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
                 texts = list(texts)
                 for a, b in text_blocks(texts, _BLOCK):
-                    found = [h for _, h in ngram_hashes(_codes(" " + " ".join(texts[a:b]) + " "))]
-                    if found:
-                        grams, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
+                    for _, code, stop in _blocks_of(texts[a:b]):
+                        found = [h[at < stop] for at, h in ngram_hashes(code)]
+                        if found:
+                            grams, n = np.unique(np.concatenate(found), return_counts=True)
+                            yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
 
     counted = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
@@ -156,6 +160,8 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, top: int = TOP) -
     counted = counted.withColumn("own", F.col("rate") >= BORROWED * F.max("rate").over(Window.partitionBy("gram")))
     ranked = counted.filter("own").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= top)
     pdf = ranked.select("lang", "gram", "n", "all").toPandas()  # at most top rows for each language
+    if not len(pdf):
+        return None
     langs = sorted(pdf["lang"].unique())
     parts = [pdf[pdf["lang"] == x] for x in langs]
     return Filters(langs, [p["gram"].to_numpy(np.int64).view(np.uint64) for p in parts], [p["n"].sum() / p["all"].iloc[0] for p in parts])
@@ -175,15 +181,10 @@ def predict_column(spark, model: Filters | None, text) -> F.Column:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if own is None:
             return pd.DataFrame({"lang_pred": langs, "score": scores})
-        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        known = [i for i, t in enumerate(texts) if t and _has_letter(t)]
         values = [texts.iloc[i] for i in known]
         for a, b in text_blocks(values, _BLOCK):
-            block = values[a:b]
-            if len(block) == 1 and len(block[0]) > _BLOCK:
-                n, hits = (sum(x) for x in zip(*(own.counts([p]) for p in _pieces(block[0])), strict=True))
-            else:
-                n, hits = own.counts(block)
-            for i, lang, score in zip(known[a:b], *own.predict(n, hits), strict=True):
+            for i, lang, score in zip(known[a:b], *own.predict(*own.counts(values[a:b])), strict=True):
                 langs[i], scores[i] = lang, score
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
