@@ -5,6 +5,36 @@ from __future__ import annotations
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: One chain of windows a source: the certain copies, the ranking, and the three documents that fill the room.
+OP2 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s0),
+s2 AS (SELECT *, [1.0, 2.0, 3.0][(k % 3 + 1)::INTEGER]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS (SELECT *, (SELECT arg_min(level, (cap / w, k)) FROM s3 WHERE NOT level * w > cap) AS open_level FROM s3),
+s AS (SELECT source, source_size, least(cap, coalesce(open_level * w, cap)) AS target FROM s4),
+c0 AS (SELECT source, length(bin(size))::DOUBLE AS weight, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+c1 AS (SELECT c0.*, source_size, target, sum(words * weight) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shared,
+  coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM c0 JOIN s ON c0.source IS NOT DISTINCT FROM s.source),
+c2 AS (SELECT *, CASE WHEN shared > 0 THEN (target - 3.0::DOUBLE * before) / shared ELSE 0 END AS level FROM c1),
+c3 AS (SELECT source, arg_max(level, weight) AS level FROM c2 WHERE level * weight <= 3 GROUP BY source),
+c AS (SELECT c2.source, c2.weight, source_size, target, greatest(0, least(3.0::DOUBLE, coalesce(c3.level * weight, 3.0::DOUBLE))) AS expected FROM c2 LEFT JOIN c3 ON c2.source IS NOT DISTINCT FROM c3.source),
+e AS (SELECT uid, doc_id, d.source, size, source_size, target, floor(expected + 1e-9::DOUBLE)::BIGINT AS certain, expected - floor(expected + 1e-9::DOUBLE) AS p,
+  (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '~') || '|' || size || '|' || coalesce(d.source, '~')), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND length(bin(size)) = c.weight),
+o AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds, size > 0 AND p > 1e-9::DOUBLE AS open FROM e),
+r AS (SELECT *, least(floor(odds / (1 + odds) * {1 << 52}::DOUBLE), {(1 << 52) - 1})::BIGINT AS key FROM o WHERE open),
+rest AS (SELECT source, any_value(target) - sum(certain * size)::DOUBLE AS room FROM o GROUP BY source),
+t AS MATERIALIZED (SELECT r.*, rest.room, sum(size) OVER (PARTITION BY r.source ORDER BY key, uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest.room + 1e-6::DOUBLE AS taken FROM r JOIN rest ON r.source IS NOT DISTINCT FROM rest.source),
+r0 AS (SELECT rest.source, rest.room - coalesce(sum(size) FILTER (taken), 0)::DOUBLE AS room FROM rest LEFT JOIN t ON rest.source IS NOT DISTINCT FROM t.source GROUP BY rest.source, rest.room),
+""" + ",\n".join(
+    f"""p{k} AS MATERIALIZED (SELECT t.source, arg_max(uid, (size, -key, uid)) AS uid, max(size) AS size FROM t JOIN r{k} ON t.source IS NOT DISTINCT FROM r{k}.source
+  WHERE NOT taken AND size <= r{k}.room + 1e-6::DOUBLE {" ".join(f"AND NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.uid = t.uid)" for j in range(k))} GROUP BY t.source),
+r{k + 1} AS (SELECT r{k}.source, room - coalesce(size, 0) AS room FROM r{k} LEFT JOIN p{k} ON r{k}.source IS NOT DISTINCT FROM p{k}.source)"""
+    for k in range(3)
+) + """,
+more AS (SELECT uid FROM t WHERE taken UNION ALL SELECT uid FROM p0 UNION ALL SELECT uid FROM p1 UNION ALL SELECT uid FROM p2)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN least(certain + (more.uid IS NOT NULL)::INTEGER, 3) * size ELSE 0 END::BIGINT AS taken FROM o LEFT JOIN more USING (uid)"""
+
 OP5 = rf"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
 l0 AS (SELECT doc_id, unnest(range(len(a))) AS n, unnest(a) AS line FROM d),
 l1 AS (SELECT *, len(list_filter(regexp_split_to_array(line, '{_WORD_GAP}'), lambda x: x <> '')) AS w FROM l0),
@@ -49,4 +79,4 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_dedup": OP9}
+    return {"op2_mixing": OP2, "op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_dedup": OP9}
