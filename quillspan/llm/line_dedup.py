@@ -1,18 +1,20 @@
 """Line dedup: winnowing over line hashes.
 
-A line's hash is that of its stripped bytes; lines without a word are skipped. From
-every line runs the shortest gram of whole lines with `gram_words` words or more, and
-the shortest window with `run_words` or more. Each window selects its least gram hash as
-its fingerprint. A run of `run_words` that two places share holds a whole window, so
-both places select the same fingerprint: no such run is missed.
-
-Positions are joined through fingerprints that stand in two places or more. Around a
-joined fingerprint the match is extended both ways over the windows that begin at each
-line and those that end at each line, as long as a window's lines equal an earlier
-place's; together these windows cover exactly the runs of `run_words` words or more that
-also start at an earlier place (smaller doc_id, or the same document, further up). The
-covered lines of all places but the first are deleted, with blank lines between them.
-
+A line's hash is that of its stripped bytes, 128 bits; lines without a word are skipped.
+From every line runs the shortest gram of whole lines with `gram_words` words or more, and
+the shortest window with `run_words` or more. Each window selects its least gram hash, the
+first of equal ones, as its fingerprint. A run of `run_words` that two places share holds
+a whole window, so both places select the same fingerprint: no such run is missed.
+
+Only the selected fingerprints and their positions are joined. Where one stands in two
+places or more, the match is extended both ways over the line hashes: to the windows that
+selected it, those that begin at an earlier line and those that end at a later one, as
+long as a window's lines equal an earlier place's. These windows cover exactly the
+runs of `run_words` words or more that also start at an earlier place (smaller doc_id, or
+the same document, further up). The covered lines of all places but the first are deleted,
+with blank lines between them. Windows are equal if 128 bits over their line hashes are.
+
+Texts are read twice, for the hashes and for the cut; all between works on line hashes.
 Hot lines (in a third of all documents, say) are summed with map-side combine: only the
 first position of a window is kept, and occurrences meet it in a join that adaptive
 execution may split. Pairs of occurrences are never formed.
@@ -35,57 +37,84 @@ from pyspark.sql import functions as F
 from .common import materialize, trimmed
 
 GRAM_WORDS, RUN_WORDS = 20, 50
+_BLANKS = b" \t\n\r\x0b\x0c"
 
 
-def windows(text: str, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, hash, first line, last line) of the windows of one text."""
+def line_hashes(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """128-bit hashes, word counts and numbers of the lines that have a word."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = [len(line.split()) for line in lines]
-    at = [i for i, n in enumerate(words) if n]
-    total = np.concatenate([[0], np.cumsum([words[i] for i in at])]).astype(np.int64)
-    if total[-1] < run_words:
-        return []
-    hashes = np.array([xxhash.xxh64_intdigest(lines[i].strip(b" \t\n\r\x0b\x0c")) for i in at], np.uint64)
-    m = len(at)
-
-    def digest(i: int, j: int) -> int:
-        return xxhash.xxh64_intdigest(hashes[i:j].tobytes())
-
-    gram_end = np.searchsorted(total, total[:-1] + gram_words)
-    grams = [digest(i, j) if j <= m else None for i, j in enumerate(gram_end.tolist())]
-    ahead = np.searchsorted(total, total[:-1] + run_words).tolist()
-    back = (np.searchsorted(total, total[1:] - run_words, side="right") - 1).tolist()
-    spans = {(i, j) for i, j in enumerate(ahead) if j <= m} | {(i, j + 1) for j, i in enumerate(back) if i >= 0}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    out = []
-    for i, j in sorted(spans):
-        k, fingerprint = i, None
-        while k < j and gram_end[k] <= j:
-            if fingerprint is None or grams[k] < fingerprint:
-                fingerprint = grams[k]
+    words = np.array([len(line.split()) for line in lines], np.int32)
+    at = np.flatnonzero(words).astype(np.int32)
+    return b"".join(xxhash.xxh3_128_digest(lines[i].strip(_BLANKS)) for i in at.tolist()), words[at], at
+
+
+def spans(words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest runs of lines with `least` words: one that begins and one that ends at each line."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ahead = np.searchsorted(total, total[:-1] + least).tolist()
+    back = (np.searchsorted(total, total[1:] - least, side="right") - 1).tolist()
+    return sorted({(i, j) for i, j in enumerate(ahead) if j <= len(words)} | {(i, j + 1) for j, i in enumerate(back) if i >= 0})
+
+
+def select(hashes: bytes, words: np.ndarray, gram_words: int, run_words: int) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """(first line, end, selected position) of every window, and the gram hash at each selected position."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(total, total[:-1] + gram_words).tolist()
+    grams = [xxhash.xxh3_64_intdigest(hashes[16 * i : 16 * j]) if j <= len(words) else None for i, j in enumerate(ends)]
+    found, picked = [], {}
+    for i, j in spans(words, run_words):
+        at, k = i, i + 1
+        while k < j and ends[k] <= j:
+            if grams[k] < grams[at]:
+                at = k
             k += 1
-        out.append((signed(fingerprint), signed(digest(i, j)), at[i], at[j - 1]))
-    return out
+        found.append((i, j, at))
+        picked[at] = grams[at]
+    return found, picked
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def repeated_ranges(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, text_hash, ranges: line ranges (low, high) of each document that repeat an earlier place."""
 
     def scan(batches):
+        names = ["doc_id", "text_hash", "hashes", "words", "lines", "picks"]
+        for pdf in batches:
+            rows = []
+            for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
+                hashes, words, at = line_hashes(t)
+                if words.sum() >= run_words:
+                    picked = select(hashes, words, gram_words, run_words)[1]
+                    rows.append((d, h, hashes, words.tobytes(), at.tobytes(), [{"fingerprint": _signed(f), "at": i} for i, f in picked.items()]))
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    def extend(batches):
         for pdf in batches:
-            rows = [(d, h, *w) for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True) for w in windows(t, gram_words, run_words)]
-            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "fingerprint", "window", "low", "high"])
-            yield out.astype({"doc_id": "Int64"})
+            rows = []
+            for d, h, hashes, words, at, joined in zip(pdf["doc_id"], pdf["text_hash"], pdf["hashes"], pdf["words"], pdf["lines"], pdf["joined"], strict=True):
+                joined, at = set(joined.tolist()), np.frombuffer(at, np.int32)
+                for i, j, k in select(hashes, np.frombuffer(words, np.int32), gram_words, run_words)[0]:
+                    if k in joined:
+                        x = xxhash.xxh3_128_intdigest(hashes[16 * i : 16 * j])
+                        rows.append((_signed(x >> 64), _signed(x & (1 << 64) - 1), d, h, at[i], at[j - 1]))
+            yield pd.DataFrame(rows, columns=["w1", "w2", "doc_id", "text_hash", "low", "high"]).astype({"doc_id": "Int64"})
 
     own = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = materialize(own.mapInPandas(lambda it: trimmed(scan(it)), "doc_id long, text_hash long, fingerprint long, window long, low int, high int"), "windows")
+    picks = "array<struct<fingerprint: long, at: int>>"
+    lines = materialize(own.mapInPandas(lambda it: trimmed(scan(it)), f"doc_id long, text_hash long, hashes binary, words binary, lines binary, picks {picks}"), "lines")
+    # fingerprints that stand in two places or more
+    placed = lines.select("doc_id", "text_hash", F.explode("picks").alias("x")).select("doc_id", "text_hash", "x.fingerprint", "x.at")
+    place = F.struct("doc_id", "text_hash", "at")
+    shared = placed.groupBy("fingerprint").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 <> p1").select(F.col("fingerprint").alias("fingerprint_"))
+    joined = placed.join(shared, F.col("fingerprint") == F.col("fingerprint_")).groupBy(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_")).agg(F.collect_set("at").alias("joined"))
+    met = lines.join(joined, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))).select("doc_id", "text_hash", "hashes", "words", "lines", "joined")
+    found = materialize(met.mapInPandas(lambda it: trimmed(extend(it)), "w1 long, w2 long, doc_id long, text_hash long, low int, high int"), "windows")
     place = F.struct("doc_id", "text_hash", "low")
-    # fingerprints in two places or more; the places of a fingerprint are its windows' starts
-    shared = found.groupBy("fingerprint").agg(F.min("window").alias("w0"), F.max("window").alias("w1"), F.min(place).alias("p0"), F.max(place).alias("p1"))
-    shared = shared.filter((F.col("w0") != F.col("w1")) | (F.col("p0") != F.col("p1"))).select(F.col("fingerprint").alias("fingerprint_"))
-    joined = found.join(shared, F.col("fingerprint") == F.col("fingerprint_")).drop("fingerprint_")
-    first = joined.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(F.col("window").alias("window_"), "first")
-    later = joined.join(first, F.col("window") == F.col("window_")).filter(~place.eqNullSafe(F.col("first")))
+    first = found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"), "first")
+    later = found.join(first, (F.col("w1") == F.col("w1_")) & (F.col("w2") == F.col("w2_"))).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
 
