@@ -1,25 +1,25 @@
-"""N-gram Jaccard join: a prefix-filter join with verified pairs, in place of a blocked sparse product.
-
-No sparse product accumulates overlap counts over column blocks: that would count every
-pair of every column, m^2 for m rows, where only components are asked for. The matrix
-below is how candidates are found; each pair left is counted from both texts.
-
-Rows of the matrix are documents (classes of equal shingle sets, that is), columns are
-hashed 4-word shingles. The product of the matrix with its transpose counts shared
-shingles; a pair can only reach the ratio t if it shares at least t times the larger
-size. So a row needs only its first n - ceil(t n) + 1 entries in an order that all rows
-share (rare shingles first): two rows that reach t meet in one of those columns at
-least. Columns are dealt out as blocks, and pairs whose sizes alone rule them out are
-discarded before their overlap is counted over all shingles of both texts.
+"""N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence, under a mask.
+
+Rows of the matrix are documents (classes of equal shingle sets, that is: equal in size and
+in 128 bits of hash), columns are 64-bit hashes of shingles. The product of the matrix with
+its transpose counts shared shingles. It is taken in blocks: a row's columns are cut into
+slices of about `SLICE` entries, the rows that meet one row are dealt into tiles, each tile
+counts what its rows share with that row in one slice, and the counts of the slices are
+summed by pair. A pair links if the sum reaches the ratio t.
+
+Only cells of the product that size-derived bounds leave open are counted. A pair needs at
+least t times the larger size, so a row needs only its first n - ceil(t n) + 1 entries in
+an order that all rows share (rare shingles first): two rows that reach t meet in one of
+those columns at least. A pair that meets is discarded by its sizes alone, by the column's
+place in both rows' order (in the first shared column, no more entries can be shared than
+follow), or by a sketch with the parity of each row's entries in some hundred cells, which
+differs in no more cells than the rows differ in entries.
 
 Only components are asked for, so a column of m rows is not multiplied out into m^2
-pairs. Each row is paired with its column's first row; linked rows join components; and
+pairs. Each row is multiplied with its column's first row; linked rows join components; and
 only rows of one column that still are in different components are held against each
-other, in blocks of bounded size that return the few pairs which three bounds leave:
-the sizes, the column's place in both rows' order (in the first shared column, no more
-entries can be shared than follow), and a sketch with the parity of each row's entries
-in some hundred cells, which differs in no more cells than the rows differ in entries.
-Every link either is tested so, or joins rows that are connected already.
+other, in blocks of bounded size, for the bounds to leave the few pairs that are multiplied.
+Every link either is counted so, or joins rows that are connected already.
 
 The order of columns comes from counts of the shingles that stand in several documents
 of those that a task sees together, over all documents. The order never changes the result, only the number of
@@ -34,8 +34,6 @@ one; further columns are not read. `keep_first` leaves all columns as they are.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +45,8 @@ from .suffix_dedup import Hashes, _mix
 
 WIDTH, PERCENT = 5, 80
 ORDERED, BLOCK, POOL = 1 << 20, 1 << 18, 1_500_000
+#: Entries of a slice, about, and tiles that the rows which meet one row are dealt into.
+SLICE, TILES = 4096, 256
 #: Cells of a sketch for rows of up to SMALL entries (doubled with the entries), rows of a column held against each other at once, ids that may be broadcast.
 CELLS, SMALL, ROWS, FEW = 512, 1500, 2000, 50_000
 _U = np.uint64
@@ -115,6 +115,15 @@ def sketches(owner: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [packed[x // 8 : (x + c) // 8] for x, c in zip(begin.tolist(), cells.tolist(), strict=True)]
 
 
+def signatures(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart: two sums over each set's entries."""
+    stop, out = np.cumsum(n), []
+    for seed in (_SEEDS[1], _SEEDS[2]):
+        total = np.concatenate([[_U(0)], np.cumsum(_mix((s + seed) * seed))])
+        out.append(_mix(total[stop] - total[stop - n]).view(np.int64))
+    return out[0], out[1]
+
+
 def apart(a: bytes, b: bytes) -> int:
     """A lower bound of the number of entries that only one of two rows has."""
     if len(a) > len(b):
@@ -134,17 +143,15 @@ def _summarize(batches, width: int):
     def often():
         shingle, count = np.unique(np.concatenate(pool), return_counts=True)
         twice = count >= 2
-        return pd.DataFrame({"kind": 1, "id": pd.array(shingle[twice].view(np.int64), "Int64"), "n": count[twice], "sig": 0, "sketch": None})
+        return pd.DataFrame({"kind": 1, "id": pd.array(shingle[twice].view(np.int64), "Int64"), "n": count[twice], "sig": 0, "sig2": 0, "sketch": None})
 
     for pdf in batches:
         ids = pdf["doc_id"].astype("Int64").array
         for at, to, texts in _blocks(pdf):
             owner, s = shingle_sets(texts, width)
             n = np.bincount(owner, minlength=to - at)
-            total = np.concatenate([[_U(0)], np.cumsum(_mix(s * _SEEDS[1]))])
-            stop = np.cumsum(n)
-            sig = _mix(total[stop] - total[stop - n])
-            yield pd.DataFrame({"kind": 0, "id": ids[at:to], "n": n, "sig": sig.view(np.int64), "sketch": sketches(owner, s, n)})
+            sig, sig2 = signatures(s, n)
+            yield pd.DataFrame({"kind": 0, "id": ids[at:to], "n": n, "sig": sig, "sig2": sig2, "sketch": sketches(owner, s, n)})
             pool.append(s)
             size += len(s)
             if size > POOL:
@@ -176,83 +183,146 @@ def _prefixes(batches, width: int, percent: int, shared):
             yield pd.DataFrame({"s": (s[keep] >> _U(24)).astype(np.int64), "id": ids[at + owner[keep]], "place": place[keep] + 1})
 
 
-def _near(percent: int):
-    """From rows of columns, sorted by column and block: pairs that could link and are in different components."""
-
-    def pairs(block: pd.DataFrame):
-        sides = block["side"].to_numpy()
-        rows = list(zip(block["rep"].tolist(), block["n"].tolist(), block["component"].tolist(), block["place"].tolist(), block["sketch"].tolist(), sides.tolist(), strict=True))
-        left = [r for r in rows if r[5] != 2]
-        right = [r for r in rows if r[5] != 1]
-        right.sort(key=lambda r: r[1])
-        sizes = [r[1] for r in right]
-        for a, n, c, p, x, side in left:
-            low = bisect.bisect_left(sizes, -(-percent * n // 100))
-            high = bisect.bisect_right(sizes, 100 * n // percent)
-            for b, m, d, q, y, _ in right[low:high]:
-                if c == d or side == 0 and a >= b:
-                    continue
-                least = -(-percent * (n + m) // (100 + percent))  # entries that must be shared
-                if 1 + min(n - p, m - q) >= least and apart(x, y) <= n + m - 2 * least:
-                    yield min(a, b), max(a, b)
-
-    def scan(batches):
-        rest = None
-        for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            keys = pdf[["s", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            bounds = [0, *cut.tolist()]
-            found = set()
-            for k in range(len(bounds) - 1):
-                found.update(pairs(pdf.iloc[bounds[k] : bounds[k + 1]]))
-            rest = pdf.iloc[bounds[-1] :]
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-        if rest is not None:
-            yield pd.DataFrame(sorted(set(pairs(rest))), columns=["a", "b"], dtype="int64")
-
-    return scan
-
+def _folded(sketch: bytes) -> np.ndarray:
+    """A sketch folded onto CELLS cells, as 64-bit words; still a lower bound."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, _U).reshape(-1, CELLS // 64), axis=0)
 
-def _overlaps(percent: int, width: int):
-    """Whether two texts link: their shared shingles counted against those of either."""
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        memory: dict[str, np.ndarray] = {}
-
-        def of(text):
-            if text not in memory:
-                if len(memory) > 100:
-                    memory.clear()
-                memory[text] = shingle_sets([text], width)[1]
-            return memory[text]
+def open_pairs(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of one block of a column that could link and are in different components: a, b, n, m."""
+    side = block["side"].to_numpy()
+    rep, n, component, place = (block[c].to_numpy(np.int64) for c in ("rep", "n", "component", "place"))
+    sketch = block["sketch"].tolist()
+    short = np.array([_folded(x) for x in sketch], _U).reshape(-1, CELLS // 64)
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    parts = []
+    for at in range(0, len(left), 64):
+        i, j = left[at : at + 64, None], right[None, :]
+        least = -(-percent * (n[i] + n[j]) // (100 + percent))  # entries that must be shared
+        near = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (component[i] != component[j])
+        near &= (1 + np.minimum(n[i] - place[i], n[j] - place[j]) >= least) & ((side[i] != 0) | (rep[i] < rep[j]))
+        x, y = np.nonzero(near)
+        most = (n[i] + n[j] - 2 * least)[x, y]
+        x, y = left[at : at + 64][x], right[y]
+        some = np.bitwise_count(short[x] ^ short[y]).sum(axis=1) <= most
+        x, y, most = x[some], y[some], most[some]
+        some = np.array([len(sketch[p]) == len(sketch[q]) == CELLS // 8 or apart(sketch[p], sketch[q]) <= k for p, q, k in zip(x.tolist(), y.tolist(), most.tolist(), strict=True)], bool)
+        x, y = x[some], y[some]
+        turned = rep[x] > rep[y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        parts.append(np.stack([rep[x], rep[y], n[x], n[y]], axis=1))
+    found = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 4), np.int64)
+    return pd.DataFrame(found, columns=["a", "b", "n", "m"])
+
+
+def _groups(batches, keys: list[str]):
+    """Rows of equal keys together, from batches sorted by the keys."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        own = pdf[keys].to_numpy()
+        cut = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+        bounds = [0, *cut.tolist()]
+        for k in range(len(bounds) - 1):
+            yield pdf.iloc[bounds[k] : bounds[k + 1]]
+        rest = pdf.iloc[bounds[-1] :]
+    if rest is not None and len(rest):
+        yield rest
 
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = of(a), of(b)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out)
 
-    return linked
+def column_blocks(n: int, slice_size: int) -> int:
+    """Slices that a row of n entries is cut into: a power of two."""
+    return 1 << max(0, (n - 1) // slice_size).bit_length()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ordered: int = ORDERED) -> DataFrame:
+def _slices(batches, width: int, percent: int, slice_size: int):
+    """Entries of each row, cut by their leading bits: once for each number of slices that a partner's size may ask for."""
+    for pdf in batches:
+        ids = pdf["id"].to_numpy(np.int64)
+        for at, to, texts in _blocks(pdf):
+            owner, s = shingle_sets(texts, width)
+            n = np.bincount(owner, minlength=to - at)
+            sig = signatures(s, n)[0]
+            rows = []
+            for k, (stop, size) in enumerate(zip(np.cumsum(n).tolist(), n.tolist(), strict=True)):
+                own, cuts = s[stop - size : stop], column_blocks(size, slice_size)
+                while size and cuts <= column_blocks(100 * size // percent, slice_size):
+                    edges = np.searchsorted(own, np.arange(1, cuts, dtype=_U) << _U(64 - cuts.bit_length() + 1)) if cuts > 1 else []
+                    for block, part in enumerate(np.split(own, edges)):
+                        rows.append((int(ids[at + k]), int(sig[k]), size, cuts, block, part.tobytes()))
+                    cuts *= 2
+            yield pd.DataFrame(rows, columns=["id", "sig", "n", "cuts", "block", "entries"])
+
+
+def _product(batches):
+    """Shared entries of a tile's rows with the row they meet, in one slice.
+
+    Batches are sorted by tile and side: the row itself (side 0) comes before those that meet it.
+    """
+    key, held = None, []
+    for pdf in batches:
+        keys = pdf[["b", "tile", "cuts", "block"]].to_numpy()
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        bounds = [0, *cut.tolist(), len(pdf)]
+        side, entries = pdf["side"].to_numpy(), pdf["entries"].tolist()
+        ids, sig, n = (pdf[c].to_numpy(np.int64) for c in ("id", "sig", "n"))
+        parts = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if low == high:
+                continue
+            if key != tuple(keys[low]):
+                key, held = tuple(keys[low]), []
+            first = low + int((side[low:high] == 0).sum())
+            held += [(sig[k], n[k], np.frombuffer(entries[k], _U)) for k in range(low, first)]
+            if first == high:
+                continue
+            size = np.array([len(x) // 8 for x in entries[first:high]])
+            column, row = np.frombuffer(b"".join(entries[first:high]), _U), np.repeat(np.arange(high - first), size)
+            for sig_b, m, own in held:
+                found = np.searchsorted(own, column) if len(own) else np.zeros(len(column), np.int64)
+                same = own[np.minimum(found, len(own) - 1)] == column if len(own) else np.zeros(len(column), bool)
+                shared = np.bincount(row[same], minlength=high - first)
+                parts.append(pd.DataFrame({"a": ids[first:high], "sig_a": sig[first:high], "n": n[first:high], "b": int(key[0]), "sig_b": int(sig_b), "m": int(m), "cuts": int(key[2]), "shared": shared}))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
+def shared_counts(pairs: DataFrame, d: DataFrame, percent: int, width: int, slice_size: int = SLICE) -> DataFrame:
+    """Linked pairs (a, b) among (a, b, n, m): shared entries summed over the slices of both rows."""
+    spark = d.sparkSession
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
+    few = ids.count() <= FEW  # otherwise both sides are dealt out
+    texts = d.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("c")).select(F.col("c").alias("id"), "text")
+    slices = materialize(texts.mapInPandas(lambda it: trimmed(_slices(it, width, percent, slice_size)), "id long, sig long, n long, cuts int, block int, entries binary").dropDuplicates(["id", "sig", "cuts", "block"]), "slices")
+    over = F.floor((F.greatest("n", "m") - 1) / slice_size)
+    cuts = F.when(over > 0, F.pow(F.lit(2), F.length(F.bin(over)))).otherwise(F.lit(1)).cast("int")
+    met = pairs.select("a", "b", cuts.alias("cuts"), F.pmod(F.xxhash64("a"), F.lit(TILES)).cast("int").alias("tile")).distinct()
+    rows = met.join(slices.withColumnRenamed("cuts", "cuts_"), (F.col("a") == F.col("id")) & (F.col("cuts") == F.col("cuts_")))
+    own = met.select("b", "cuts", "tile").distinct().join(slices.withColumnRenamed("cuts", "cuts_"), (F.col("b") == F.col("id")) & (F.col("cuts") == F.col("cuts_")))
+    columns = ["b", "tile", "cuts", "block", "id", "sig", "n", "entries"]
+    dealt = own.select(*columns, F.lit(0).alias("side")).union(rows.select(*columns, F.lit(1).alias("side")))
+    keys = ["b", "tile", "cuts", "block"]
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side")
+    counts = dealt.mapInPandas(lambda it: trimmed(_product(it)), "a long, sig_a long, n long, b long, sig_b long, m long, cuts int, shared long")
+    total = counts.groupBy("a", "sig_a", "b", "sig_b", "cuts").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return materialize(total.filter(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b").distinct(), "links")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, ordered: int = ORDERED, slice_size: int = SLICE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = materialize(d.mapInPandas(lambda it: trimmed(_summarize(it, width)), "kind int, id long, n long, sig long, sketch binary"), "sets")
-    sizes = made.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sketch")
+    made = materialize(d.mapInPandas(lambda it: trimmed(_summarize(it, width)), "kind int, id long, n long, sig long, sig2 long, sketch binary"), "sets")
+    sizes = made.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "sig", "sig2", "sketch")
     top = made.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "id").limit(ordered).toPandas()
     shingle = top["id"].to_numpy(np.int64).view(_U)
     order = np.argsort(shingle)
     shared = spark.sparkContext.broadcast((shingle[order], top["n"].to_numpy(np.int64)[order]))  # `ordered` entries at most
     # equal sets are one class, named by its smallest doc_id
     some = sizes.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
-    member = some.drop("sketch").join(classes.withColumnsRenamed({"n": "n_", "sig": "sig_"}), (F.col("n") == F.col("n_")) & (F.col("sig") == F.col("sig_")))
+    classes = some.groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep"))
+    member = some.drop("sketch").join(classes.withColumnsRenamed({"n": "n_", "sig": "sig_", "sig2": "sig2_"}), (F.col("n") == F.col("n_")) & (F.col("sig") == F.col("sig_")) & (F.col("sig2") == F.col("sig2_")))
     member = materialize(member.select("doc_id", "n", "rep").distinct(), "classes")
     # columns with two rows or more
     cells = d.filter("doc_id is not null and text is not null").mapInPandas(lambda it: trimmed(_prefixes(it, width, percent, shared)), "s long, id long, place long")
@@ -274,18 +344,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
     pairs = pairs.join(sketch.select(F.col("rep").alias("x_"), F.col("sketch").alias("x")), F.col("a") == F.col("x_")).join(sketch.select(F.col("rep").alias("y_"), F.col("sketch").alias("y")), F.col("b") == F.col("y_"))
     least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    pairs = materialize(pairs.filter(difference("x", "y") <= F.col("n") + F.col("m") - 2 * least).select("a", "b"), "pairs")
-    linked = _overlaps(percent, width)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
-        few = ids.count() <= FEW  # otherwise both sides are dealt out
-        texts = materialize(d.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("c")).select(F.col("c").alias("id"), "text"), "texts")
-        left = pairs.join(texts.withColumnsRenamed({"id": "x", "text": "left"}), F.col("b") == F.col("x")).drop("x")
-        both = left.join(texts.withColumnsRenamed({"id": "x", "text": "right"}), F.col("a") == F.col("x"))
-        return materialize(both.filter(linked("left", "right")).select("a", "b"), "links")
-
-    edges = links(pairs)
+    pairs = materialize(pairs.filter(difference("x", "y") <= F.col("n") + F.col("m") - 2 * least).select("a", "b", "n", "m"), "pairs")
+    edges = shared_counts(pairs, d, percent, width, slice_size)
+    # a doc_id that repeats with other texts joins their classes
+    several = member.groupBy(F.col("doc_id").alias("d_")).agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b <> last")
+    edges = materialize(edges.union(member.join(several, F.col("doc_id") == F.col("d_")).filter("rep <> b").select("rep", "b")), "links")
     grouped = components(edges)
     # columns that still hold rows of different components
     placed = named.filter("rep <> pivot").join(grouped, F.col("rep") == F.col("node"), "left").select("s", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
@@ -296,9 +359,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j"), F.when(part == k, 0).when(part < k, 1).otherwise(2).alias("side")))
     rows = rows.withColumn("meet", F.explode(meets)).select("s", "meet.i", "meet.j", "meet.side", "rep", "n", "place", "component", "sketch")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s", "i", "j").sortWithinPartitions("s", "i", "j")
-    more = materialize(dealt.mapInPandas(_near(percent), "a long, b long").distinct(), "pairs")
+    find = lambda it: (open_pairs(block, percent) for block in _groups(it, ["s", "i", "j"]))
+    more = materialize(dealt.mapInPandas(find, "a long, b long, n long, m long").distinct(), "pairs")
     if not more.isEmpty():
-        late = links(more)
+        late = shared_counts(more, d, percent, width, slice_size)
         if not late.isEmpty():
             grouped = components(edges.union(late))
     rep = member.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("d_"), F.coalesce("component", "rep").alias("component"))
