@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word, as the contracts define it: a run without space, tab, LF, VT, FF, CR.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch while a table is written.
+ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -26,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; elsewhere
+    executors would not see it, so the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,20 +47,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before, and lets several later plans read one result.
     """
     spark = df.sparkSession
-    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, too much text at once for two workers beside a JVM
-        spark.conf.set(_BATCH, "2000")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = spark.conf.get(_BATCH)
+    if int(batch) > ROWS:  # Spark's own default is too much text at once for two workers beside a JVM
+        spark.conf.set(_BATCH, str(ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, batch)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _sweep() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the cluster's cleaner has the folder
             return
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: every node hands its neighbours the
     smallest id it knows, so that the edges become stars around the smallest ids in
-    about log(n) rounds. A round is written to the shared folder; nothing but a
+    about log(n) rounds. A round is written to the shared folder, where it replaces the one before; nothing but a
     checksum of the edges comes to the driver. Loops and repeated edges do no harm.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -29,7 +29,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("c")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
         small = large.join(least, F.col("a") == F.col("c")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = materialize(small.select("x.*").filter("a <> b").distinct(), "edges")
+        last, e = e, materialize(small.select("x.*").filter("a <> b").distinct(), "edges")
+        release(last)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

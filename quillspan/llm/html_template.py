@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 # HTML element names by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math title select canvas object video audio".split())
+_RAW = frozenset("script style noscript template textarea iframe svg title select canvas object video audio".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
