@@ -104,19 +104,80 @@ def test_mixing(messy, empty):
     assert mixing.pareto_mix(empty).count() == 0
 
 
-def test_mixing_cells_stay_even(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(mixing, "CELL", 50)
-    for expected in (1.0, 1.000001, 1.5, 1.999999, 3.0):
-        p = min(max(expected - int(expected + 1e-12), 1e-9), 1 - 1e-9)
-        u = mixing.unit_hash(F.col("id"), seed=17)
-        place = mixing._place((u / (1 - u)) / (F.lit(p) / (1 - F.lit(p))), F.lit(expected))
-        cells = [r["count"] for r in spark.range(2000).groupBy(F.floor(place * 40).alias("cell")).count().collect()]
-        assert len(cells) == 40 and max(cells) < 100
+def mix_brute(rows, targets, most=3.0, seed=17, fill=3):
+    """Taken words of (doc_id, source, size) rows, straight from the definition: one sorted list for each source."""
+    out = []
+    for source in {s for _, s, _ in rows}:
+        own = [(d, n) for d, s, n in rows if s == source]
+        target, weight = targets[source], {n: len(f"{n:b}") for _, n in own}
+        words = Counter()
+        for _, n in own:
+            words[weight[n]] += n
+        full, level = 0, None
+        for w in sorted(words, reverse=True):
+            shared = sum(words[v] * v for v in words if v <= w)
+            level = (target - most * full) / shared if shared else 0.0
+            if level * w <= most:
+                break
+            full, level = full + words[w], None
+        ranked, sure = [], 0
+        for d, n in own:
+            expected = max(0.0, min(most, level * weight[n] if level is not None else most))
+            certain = int(expected + 1e-9)
+            p = expected - certain
+            sure += certain * n
+            if n and p > 1e-9:
+                u = (int(hashlib.md5(f"{seed}|{'~' if d is None else d}|{n}|{'~' if source is None else source}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                odds = (u / (1 - u)) / (p / (1 - p))
+                ranked.append((min(int(odds / (1 + odds) * 2**52), 2**52 - 1), d, n, certain))
+            else:
+                out.append((d, source, certain * n))
+        ranked.sort(key=lambda r: (r[0], r[2]))
+        room, takes, k = target - sure, Counter(), 0
+        while k < len(ranked) and ranked[k][2] <= room + 1e-6:
+            room -= ranked[k][2]
+            takes[k] = 1
+            k += 1
+        for _ in range(fill):
+            fits = [i for i in range(len(ranked)) if not takes[i] and ranked[i][2] <= room + 1e-6]
+            if fits:
+                i = max(fits, key=lambda i: (ranked[i][2], -ranked[i][0]))
+                takes[i] = 1
+                room -= ranked[i][2]
+        out += [(d, source, (certain + takes[i]) * n) for i, (_, d, n, certain) in enumerate(ranked)]
+    return Counter(out)
+
+
+def test_mixing_against_one_sorted_list(spark, messy, messy_rows):
+    for df, rows in ((messy, messy_rows), (None, None)):
+        if df is None:
+            import random
+
+            rng = random.Random(9)
+            rows = [(k, "w " * (7 if k % 3 == 0 else rng.randrange(0, 300)), None, rng.choice(["a", "b", "b", "b", None])) for k in range(400)]
+            rows += [(7, "same row " * 20, None, "b")] * 200 + [(8, "short", None, "tiny")]
+            df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        out = mixing.pareto_mix(df).collect()
+        got = Counter((r["doc_id"], r["source"], r["taken"]) for r in out)
+        assert got == mix_brute([(d, s, len(WORD.findall(t or ""))) for d, t, _, s, *_ in rows], {r["source"]: r["target"] for r in out})
+        copies = Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in mixing.mix_documents(df).collect())
+        want = Counter()
+        for r in out:
+            want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+        assert copies == +want
+
+
+def test_mixing_of_one_source_and_of_equal_rows(spark):
     docs = spark.createDataFrame([(k, "word " * (1 + k % 7), "one") for k in range(2000)], "doc_id long, text string, source string")
     out = mixing.pareto_mix(docs).toPandas()
-    assert len(out) == 2000 and (out.copies == 1).all()
+    assert len(out) == 2000 and abs(out.taken.sum() - out["size"].sum()) <= 1 and out[out["size"] == 7].taken.mean() / 7 > out[out["size"] == 1].taken.mean()
+    same = spark.createDataFrame([(1, "a b c", "x")] * 500 + [(2, "d", "y")] * 300, "doc_id long, text string, source string")
+    out = mixing.pareto_mix(same).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() and g.copies.max() - g.copies.min() <= 1
+    weighed = spark.createDataFrame([(k, "a b", "x", float(k % 3)) for k in range(300)], "doc_id long, text string, source string, w double")
+    out = mixing.pareto_mix(weighed, weight_col="w").toPandas()
+    assert (out[out.doc_id % 3 == 0].taken == 0).all() and out[out.doc_id % 3 == 2].taken.sum() > 1.7 * out[out.doc_id % 3 == 1].taken.sum()
 
 
 def test_packing(messy, messy_rows, empty):
@@ -146,7 +207,7 @@ def test_encoder_agrees_with_the_tokenizer():
 
     from tokenizers import Tokenizer
 
-    model, own, rng = Tokenizer.from_file(default_tokenizer()), packing.WordEncoder(default_tokenizer()), random.Random(3)
+    model, own, rng = Tokenizer.from_file(default_tokenizer()), packing.TextEncoder(default_tokenizer()), random.Random(3)
     signs = "abcABCÉéßĳİıΣσς .,..,'s 't!? \n\t\r12²٣́ 　한字<|>|_-Ǆ…"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["Don't <|endoftext|> x", ""]
     for t in texts:
@@ -194,6 +255,25 @@ def test_line_dedup(messy, messy_rows, empty):
     assert {r["doc_id"] for r in line_dedup.line_report(messy).filter("n_removed > 0").collect()} >= {20, 31, 60}
 
 
+def test_only_selected_fingerprints_are_joined(spark, messy, monkeypatch):
+    """Windows select few positions, shared runs select the same ones, and without them nothing is found."""
+    import random
+
+    rng = random.Random(4)
+    run = [" ".join(f"s{rng.randrange(90)}" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = ["\n".join([*(f"x{k} y{rng.randrange(99)}" for _ in range(30)), *run, *(f"z{k} {rng.randrange(99)}" for _ in range(30))]) for k in range(2)]
+    picks = []
+    for t in texts:
+        hashes, words, _ = line_dedup.line_hashes(t)
+        found, picked = line_dedup.select(hashes, words, 20, 50)
+        assert len(picked) < len(words) / 3 and all(i <= k < j for i, j, k in found)
+        picks.append(set(picked.values()))
+    assert len(picks[0] & picks[1]) >= 4
+    assert line_dedup.repeated_ranges(messy.select("doc_id", "text")).count() > 0
+    monkeypatch.setattr(line_dedup, "_signed", lambda x: rng.randrange(1 << 62))
+    assert line_dedup.repeated_ranges(messy.select("doc_id", "text")).count() == 0
+
+
 def shingles(text, width=5):
     ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     return frozenset(zip(*(ws[k:] for k in range(width)))) if len(ws) >= width else frozenset([tuple(ws)] if ws else [])
@@ -250,6 +330,26 @@ def test_ngram_join_chains_and_large_columns(spark, monkeypatch):
     assert out == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize("slice_size", [4, 64])
+def test_products_of_slices_add_up(spark, slice_size):
+    """Counts summed over the slices of both rows decide, whatever the slices."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(4, 200))]
+        rows.append((10 * k, " ".join(text)))
+        for j in range(1, 4):
+            for _ in range(j):
+                text[rng.randrange(len(text))] = "new"
+            rows.append((10 * k + j, " ".join(text)))
+    rows.append((10, rows[0][1]))  # a doc_id with two texts links through either
+    for percent, width in ((80, 5), (40, 2)):
+        out = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, width, slice_size=slice_size).collect()}
+        assert out == jaccard_brute(rows, percent, width)
+
+
 def test_sketch_is_a_lower_bound():
     import numpy as np
 
@@ -278,7 +378,7 @@ def suffix_brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [20_000, 2, 1])
 def test_suffix_dedup(messy, messy_rows, empty, hot):
     from pyspark.sql import functions as F
 
@@ -303,6 +403,23 @@ def test_suffix_dedup_small_alphabet(spark):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == want[r["doc_id"], dict(rows)[r["doc_id"]]][:3]
 
 
+def test_refined_buckets_are_equal_strings():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for length, q in ((100, 25), (12, 5), (7, 7), (9, 20), (30, 4)):
+        raw = bytes(rng.choice(b"ab") for _ in range(900)) * 2
+        starts = np.array(sorted(rng.sample(range(len(raw) - length + 1), 600)))
+        group = np.array([rng.randrange(3) for _ in starts])
+        got = suffix_dedup.refine(np.frombuffer(raw, np.uint8), group, starts, length, q)
+        want = {}
+        for g, at, n in zip(group.tolist(), starts.tolist(), got.tolist()):
+            assert want.setdefault((g, raw[at : at + length]), n) == n
+        assert len(set(want.values())) == len(want)
+
+
 def test_language_id(spark, messy, messy_rows, empty):
     import random
 
@@ -317,3 +434,47 @@ def test_language_id(spark, messy, messy_rows, empty):
         assert r["lang_pred"] == (x if k < 500 else "und" if k < 503 else rows[0][2])
     assert language_id.identify(messy).count() == len(messy_rows)
     assert language_id.identify(empty).count() == 0
+
+
+def test_language_filters_against_plain_sets(monkeypatch):
+    """Counts of the bit-sliced filters are those of plain sets and more only by false positives; long texts count as uncut ones."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) + " x1y'\u0130\u03a3 \u03a3a" for _ in range(4)]
+
+    def grams(text):
+        out = Counter()
+        low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for n in (2, 3, 4):
+            out.update(low[i : i + n] for i in range(len(low) - n + 1) if " " not in low[i + 1 : i + n - 1] and low[i : i + n] != "  ")
+        return out
+
+    def hashed(text):
+        return np.unique(np.concatenate([h[at < stop] for _, code, stop in language_id._blocks_of([text]) for at, h in language_id.ngram_hashes(code)]))
+
+    known = [hashed(" ".join(rng.sample(words, 40))) for _ in range(300)]
+    model = language_id.Filters([f"l{k:03}" for k in range(300)], known, [0.5] * 300)
+    n, hits = model.counts(texts)
+    assert n.tolist() == [sum(grams(t).values()) for t in texts]
+    for t, row in zip(texts, hits):
+        h = np.concatenate([h[at < stop] for _, code, stop in language_id._blocks_of([t]) for at, h in language_id.ngram_hashes(code)])
+        exact = np.array([np.isin(h, k).sum() for k in known])
+        assert (row >= exact).all() and (row - exact <= 10 + 3 * len(h) * model.false_rate).all()
+    monkeypatch.setattr(language_id, "_BLOCK", 97)
+    cut_n, cut_hits = model.counts(texts)
+    assert (cut_n == n).all() and (cut_hits == hits).all()
+
+
+def test_language_id_without_letters_to_learn_from_and_with_many_languages(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    rows = [(held, "letters stand here", "aa"), (held + 1000, None, None)] + [(k, "12 34", "aa") for k in range(200, 210)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and {(r["lang_pred"], r["score"]) for r in out} == {("und", 0.0)}
+    many = [(k, " ".join([f"{chr(0x4E00 + 7 * (k % 300))}{chr(0x4E00 + 7 * (k % 300) + 1)}"] * 30), f"x{k % 300:03}") for k in range(1200)]
+    out = language_id.identify(spark.createDataFrame(many, "doc_id long, text string, lang string")).collect()
+    learned = {r["doc_id"] % 300 for r in out if not r["held_out"]}
+    assert len(learned) > 290 and all(r["lang_pred"] == f"x{r['doc_id'] % 300:03}" for r in out if r["doc_id"] % 300 in learned)
