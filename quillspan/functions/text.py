@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _KEPT = r"0-9A-Za-z\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
+#: Signs below U+0300, where no combining marks are, that NFKC does not change.
+_PLAIN = r"\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{2af}"
 _KEPT_IN_METADATA = r"0-9a-z\x{3400}-\x{9fff}"
 
 
@@ -36,12 +38,20 @@ def _each(c, function) -> Column:
     return apply(_column(c))
 
 
+def is_plain(c) -> Column:
+    """Whether a text holds only signs that NFKC leaves as they are, wherever they stand."""
+    return _column(c).rlike(rf"\A[{_PLAIN}]*\z")
+
+
 def nfkc(c) -> Column:
-    """Unicode NFKC."""
-    return _each(c, lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t))
+    """Unicode NFKC. Plain texts stay in the JVM; only the others are sent to Python."""
+    c = _column(c)
+    other = F.when(~is_plain(c), c)
+    return F.coalesce(_each(other, lambda t: unicodedata.normalize("NFKC", t)), c)
 
 
-def _collapse(c: Column) -> Column:
+def collapse(c: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, f"[{_SPACE}]+", " "))
 
 
@@ -51,7 +61,7 @@ def sha256_text(c) -> Column:
 
 def normalize_text(c) -> Column:
     """NFKC, runs of white space as one blank, no blanks at the ends."""
-    return _collapse(nfkc(c))
+    return collapse(nfkc(c))
 
 
 def canonical_of_normalized(c) -> Column:
@@ -77,11 +87,11 @@ def segments_of_nfkc(text) -> Column:
     text = _column(text)
 
     def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(text, pattern), _collapse), lambda x: x != "")
+        return F.filter(F.transform(F.split(text, pattern), collapse), lambda x: x != "")
 
     by_blank = parts(rf"\n[{_SPACE}]*\n")
     by_line = parts(_LINE_END)
-    return F.when(F.size(by_blank) > 1, by_blank).when(F.size(by_line) > 0, by_line).otherwise(F.array(_collapse(text)))
+    return F.when(F.size(by_blank) > 1, by_blank).when(F.size(by_line) > 0, by_line).otherwise(F.array(collapse(text)))
 
 
 def substrings(c, k: int) -> Column:

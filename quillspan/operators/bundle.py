@@ -18,7 +18,10 @@ VERSION = "witness-bundle/v1"
 
 
 def build_bundles(docs: DataFrame, text: str = "text", source_json: str = "source_json", include_raw: bool = False, keep: tuple = (), events: str | None = None) -> DataFrame:
-    """keep..., source_json, normalized, segments(ordinal, segment_hash, text), manifest columns (raw too if asked)."""
+    """keep..., source_json, normalized, segments(ordinal, segment_hash, text), manifest columns (raw too if asked).
+
+    events: a column with an array of JSON texts, the bundle's semantic events.
+    """
     @F.pandas_udf("string")
     def complete(sources: pd.Series) -> pd.Series:
         def one(s):
@@ -28,7 +31,9 @@ def build_bundles(docs: DataFrame, text: str = "text", source_json: str = "sourc
         return sources.map(one)
 
     raw = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*keep, complete(F.col(source_json)).alias("source_json"), raw.alias("raw"), T.normalize_text(raw).alias("normalized"), T.segments_of(raw).alias("parts"), (F.col(events).isNotNull() if events else F.lit(False)).alias("semantic_events_included"))
+    listed = [F.col(events).alias("semantic_events")] if events else []
+    d = docs.select(*keep, complete(F.col(source_json)).alias("source_json"), raw.alias("raw"), T.nfkc(raw).alias("nfkc"), *listed, (F.col(events).isNotNull() if events else F.lit(False)).alias("semantic_events_included"))
+    d = d.withColumn("normalized", T.collapse(F.col("nfkc"))).withColumn("parts", T.segments_of_nfkc("nfkc")).drop("nfkc")
     hashes = F.transform("parts", lambda s: F.sha2(s, 256))
     d = d.withColumn("segments", F.transform("parts", lambda s, i: F.struct(i.alias("ordinal"), F.sha2(s, 256).alias("segment_hash"), s.alias("text"))))
     d = d.withColumn("doc_hash", F.sha2("normalized", 256)).withColumn("merkle_root", T.merkle_root(hashes))
@@ -77,13 +82,15 @@ def verify_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def _normalize_all(texts):
+    """Normalised texts of an array; arrays of plain texts stay in the JVM."""
     space = re.compile(r"\s+")
 
     @F.pandas_udf("array<string>")
     def each(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: [space.sub(" ", unicodedata.normalize("NFKC", t)).strip() for t in a])
+        return arrays.map(lambda a: None if a is None else [space.sub(" ", unicodedata.normalize("NFKC", t)).strip() for t in a])
 
-    return each(texts)
+    plain = T.is_plain(F.array_join(texts, " "))
+    return F.when(plain, F.transform(texts, T.collapse)).otherwise(each(F.when(~plain, texts)))
 
 
 def ingest_bundles(bundles: DataFrame, segments: str = "normalized") -> DataFrame:

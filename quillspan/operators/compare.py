@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,58 +40,70 @@ def compare_witnesses(profile: DataFrame, pairs: DataFrame, key: str) -> DataFra
     )
 
 
-def align(left: list[str], right: list[str], k: int = 8, window: int = 5, min_similarity: float = 0.15, gap_penalty: float = 0.05, hash_name: str = "blake2b64") -> list[tuple[int, int, float]]:
-    """Order-preserving alignment of canonical segments by fingerprint ratio; ties prefer a match, then skipping left."""
-
-    def sets(segments):
-        out = []
-        for s in segments:
-            h = FP.rolling_hashes(s, k, hash_name)
-            out.append(frozenset(h[FP.winnow(h, window)].tolist()))
-        return out
-
-    a, b = sets(left), sets(right)
-    places: dict[int, list[int]] = {}
-    for j, fs in enumerate(b):
-        for f in fs:
-            places.setdefault(f, []).append(j)
-    similar: list[dict[int, float]] = []
-    for fs in a:  # only segments that share a fingerprint have a ratio above 0
-        common: dict[int, int] = {}
-        for f in fs:
-            for j in places.get(f, ()):
-                common[j] = common.get(j, 0) + 1
-        similar.append({j: c / (len(fs) + len(b[j]) - c) for j, c in common.items()})
-    n, m = len(a), len(b)
-    score = [-gap_penalty * 0.0] * (m + 1)
-    for j in range(1, m + 1):
-        score[j] = score[j - 1] - gap_penalty
-    moves = [bytearray(b"L" * (m + 1))]
-    for i in range(1, n + 1):
-        last, row, move = score, [score[0] - gap_penalty] + [0.0] * m, bytearray(b"U" * (m + 1))
-        near = similar[i - 1]
-        for j in range(1, m + 1):
-            s = near.get(j - 1, 0.0)
-            diagonal = last[j - 1] + (s if s >= min_similarity else -gap_penalty)
-            up, side = last[j] - gap_penalty, row[j - 1] - gap_penalty
-            best = max(diagonal, up, side)
-            row[j] = best
-            move[j] = 68 if best == diagonal else 85 if best == up else 76
+#: Ways to step back through the table, and the unit of scores: whole numbers, so that equal paths are equal.
+MATCH, SKIP_LEFT, SKIP_RIGHT = range(3)
+UNIT = 1 << 40
+
+
+def similarities(left: list[str], right: list[str], k: int, window: int, hash_name: str) -> list[dict[int, float]]:
+    """For each left segment the right segments that share a fingerprint, with their fingerprint ratio."""
+    prints = []
+    for side in (left, right):
+        hashes = [FP.rolling_hashes(text, k, hash_name) for text in side]
+        prints.append([np.unique(h[FP.winnow(h, window)]) for h in hashes])
+    a, b = prints
+    sizes = np.array([len(x) for x in b], np.int64)
+    value, place = np.concatenate([np.zeros(0, np.uint64), *b]), np.repeat(np.arange(len(b)), sizes)
+    order = np.argsort(value, kind="stable")
+    value, place = value[order], place[order]
+    out = []
+    for own in a:
+        low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+        met = np.concatenate([np.zeros(0, np.int64), *(place[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x)])
+        common = np.bincount(met, minlength=len(b))
+        near = np.flatnonzero(common)
+        out.append(dict(zip(near.tolist(), (common[near] / (len(own) + sizes[near] - common[near])).tolist(), strict=True)))
+    return out
+
+
+def best_path(gains: list[dict[int, float]], width: int, gap_penalty: float) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the diagonal steps of the best order-preserving path.
+
+    A diagonal step earns its gain, or costs the penalty where there is none; a skipped row
+    or column costs the penalty. A row of the table is three array operations: the step
+    along the row is a running maximum, since every skip costs the same. Of equal ways a
+    diagonal is taken first, then a skipped row.
+    """
+    gap = round(gap_penalty * UNIT)
+    along = gap * np.arange(width + 1, dtype=np.int64)
+    score, moves = -along, np.full((len(gains) + 1, width + 1), SKIP_RIGHT, np.int8)
+    for i, gain in enumerate(gains, 1):
+        step = np.full(width, -gap, np.int64)
+        for j, g in gain.items():
+            step[j] = round(g * UNIT)
+        diagonal, down = np.append(score[0] - gap, score[:-1] + step), score - gap
+        row = np.maximum.accumulate(np.maximum(diagonal, down) + along) - along
+        moves[i] = np.where(row == diagonal, MATCH, np.where(row == down, SKIP_LEFT, SKIP_RIGHT))
+        moves[i, 0] = SKIP_LEFT
         score = row
-        moves.append(move)
-    out, i, j = [], n, m
-    while i > 0 or j > 0:
-        step = 85 if j == 0 else 76 if i == 0 else moves[i][j]
-        if step == 68:
-            i, j = i - 1, j - 1
-            s = similar[i].get(j, 0.0)
-            if s >= min_similarity:
-                out.append((i, j, s))
-        elif step == 85:
-            i -= 1
+    pairs, at = [], (len(gains), width)
+    while at != (0, 0):
+        move = moves[at]
+        if move == MATCH:
+            at = at[0] - 1, at[1] - 1
+            pairs.append(at)
         else:
-            j -= 1
-    return out[::-1]
+            at = (at[0] - 1, at[1]) if move == SKIP_LEFT else (at[0], at[1] - 1)
+    return pairs[::-1]
+
+
+def align(left: list[str], right: list[str], k: int = 8, window: int = 5, min_similarity: float = 0.15, gap_penalty: float = 0.05, hash_name: str = "blake2b64") -> list[tuple[int, int, float]]:
+    """Order-preserving alignment of canonical segments by fingerprint ratio: (left, right, ratio) of the matches.
+
+    The table of moves takes a byte for each pair of segments of the two documents.
+    """
+    gains = [{j: s for j, s in row.items() if s >= min_similarity} for row in similarities(left, right, k, window, hash_name)]
+    return [(i, j, gains[i][j]) for i, j in best_path(gains, len(right), gap_penalty) if j in gains[i]]
 
 
 def align_pairs(segs: DataFrame, pairs: DataFrame, key: str, **options) -> DataFrame:

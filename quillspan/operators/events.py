@@ -104,17 +104,19 @@ def semantic_diff(events: DataFrame, pairs: DataFrame, fields: tuple = FIELDS) -
 def slot_mutations(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """left, right, predicate, status, slot, left_value, right_value.
 
-    Payloads (flat JSON objects) of each witness's last event of a predicate are compared
-    slot by slot; a missing slot equals null. Predicates without a change have one row
+    Payloads (JSON objects) of each witness's last event of a predicate are compared slot by
+    slot, with the types of their values: 1 and "1" differ; a missing slot equals null. Predicates without a change have one row
     with a null slot.
     """
     last = events.groupBy("witness_id", "predicate").agg(F.max_by("payload", F.struct("ordinal", "event_id")).alias("payload"))
-    last = last.withColumn("payload", F.from_json(F.coalesce("payload", F.lit("{}")), "map<string,string>"))
-    a = pairs.join(last.withColumnRenamed("witness_id", "left"), "left").select("left", "right", "predicate", F.col("payload").alias("a"))
-    b = pairs.join(last.withColumnRenamed("witness_id", "right"), "right").select("left", "right", "predicate", F.col("payload").alias("b"))
+    text = F.coalesce("payload", F.lit("{}"))
+    typed = F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: F.nullif(F.to_json(v), F.lit("null")))
+    last = last.select("witness_id", "predicate", F.from_json(text, "map<string,string>").alias("shown"), typed.alias("typed"))
+    a = pairs.join(last.withColumnRenamed("witness_id", "left"), "left").select("left", "right", "predicate", F.col("shown").alias("a"), F.col("typed").alias("at"))
+    b = pairs.join(last.withColumnRenamed("witness_id", "right"), "right").select("left", "right", "predicate", F.col("shown").alias("b"), F.col("typed").alias("bt"))
     j = a.join(b, ["left", "right", "predicate"], "full_outer")
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("retained")
-    slots = F.filter(F.array_union(F.map_keys("a"), F.map_keys("b")), lambda k: ~F.element_at("a", k).eqNullSafe(F.element_at("b", k)))
+    slots = F.filter(F.array_union(F.map_keys("a"), F.map_keys("b")), lambda k: ~F.try_element_at("at", k).eqNullSafe(F.try_element_at("bt", k)))
     slots = F.when(status == "retained", slots)
     j = j.withColumn("status", status).withColumn("slots", slots)
     out = j.select("left", "right", "predicate", "status", "a", "b", F.explode_outer("slots").alias("slot"))
