@@ -11,7 +11,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Unicode has it, line ends as str.splitlines has them, and the
@@ -55,6 +55,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{_SPACE}]+", " "))
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows and columns, made by a generator: what follows reads columns, and no expression is computed again in each of its uses."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("x_")).select("x_.*")
+
+
 def sha256_text(c) -> Column:
     return F.sha2(_column(c), 256)
 

@@ -34,6 +34,7 @@ def build_bundles(docs: DataFrame, text: str = "text", source_json: str = "sourc
     listed = [F.col(events).alias("semantic_events")] if events else []
     d = docs.select(*keep, complete(F.col(source_json)).alias("source_json"), raw.alias("raw"), T.nfkc(raw).alias("nfkc"), *listed, (F.col(events).isNotNull() if events else F.lit(False)).alias("semantic_events_included"))
     d = d.withColumn("normalized", T.collapse(F.col("nfkc"))).withColumn("parts", T.segments_of_nfkc("nfkc")).drop("nfkc")
+    d = T.fenced(d)
     hashes = F.transform("parts", lambda s: F.sha2(s, 256))
     d = d.withColumn("segments", F.transform("parts", lambda s, i: F.struct(i.alias("ordinal"), F.sha2(s, 256).alias("segment_hash"), s.alias("text"))))
     d = d.withColumn("doc_hash", F.sha2("normalized", 256)).withColumn("merkle_root", T.merkle_root(hashes))
@@ -48,7 +49,7 @@ def verify_bundles(bundles: DataFrame) -> DataFrame:
     texts = F.transform("segments", lambda s: F.coalesce(s["text"], F.lit("")))
     # normalisation of the segments' texts happens on their explosion: one Arrow pass over a joined array
     b = b.withColumn("texts_", _normalize_all(texts))
-    b = b.withColumn("hashes_", F.transform("texts_", lambda s: F.sha2(s, 256)))
+    b = T.fenced(b.withColumn("hashes_", F.transform("texts_", lambda s: F.sha2(s, 256))))
     count = F.size("segments")
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     per_segment = F.flatten(
@@ -109,7 +110,8 @@ def ingest_bundles(bundles: DataFrame, segments: str = "normalized") -> DataFram
         return pd.Series([one(*x) for x in zip(sources, keys, roots, strict=True)])
 
     text = F.array_join(F.transform("segments", lambda s: s["text"]), "\n\n") if segments == "artifact" else F.col("normalized")
-    return add_witnesses(bundles.select(text.alias("text"), extend("source_json", "witness_key", "merkle_root").alias("metadata_json")))
+    d = T.fenced(bundles.select(text.alias("text"), "source_json", "witness_key", "merkle_root"))
+    return add_witnesses(d.select("text", extend("source_json", "witness_key", "merkle_root").alias("metadata_json")))
 
 
 def load_fixture_documents(fixtures: DataFrame) -> DataFrame:

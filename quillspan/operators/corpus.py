@@ -50,8 +50,8 @@ def gram_frequencies(posts: DataFrame) -> DataFrame:
 
 
 def witness(witnesses: DataFrame, witness_id: str) -> DataFrame:
-    """Point lookup, without the text."""
-    return witnesses.filter(F.col("witness_id") == witness_id).select("witness_id", "doc_hash", "merkle_root", "metadata_json")
+    """Point lookup, without the text; metadata is parsed."""
+    return witnesses.filter(F.col("witness_id") == witness_id).select("witness_id", "doc_hash", "merkle_root", F.parse_json("metadata_json").alias("metadata"))
 
 
 def exact_segment_hash(segs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -64,6 +64,17 @@ def repeated_segments(segs: DataFrame) -> DataFrame:
     return segs.groupBy("segment_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
+def story_families(witnesses: DataFrame, family: str, key: str = "witness_id") -> DataFrame:
+    """family, members, first_member of each story family; rows without a family are in none."""
+    named = witnesses.filter(F.col(family).isNotNull()).select(F.col(family).alias("family"), F.col(key).alias("key_"))
+    return named.groupBy("family").agg(F.count_distinct("key_").alias("members"), F.min("key_").alias("first_member"))
+
+
+def byte_totals(files: DataFrame, *key: str, text: str = "text") -> DataFrame:
+    """key..., files, bytes: how many files, and how many bytes of UTF-8 they hold."""
+    return files.groupBy(*key).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("bytes"))
+
+
 def append_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """First wins: rows of new whose key is not there yet are added."""
     fresh = new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

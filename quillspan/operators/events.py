@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.operators.corpus import orphans
 
 FIELDS = ("actor", "patient", "tags", "payload", "state_before", "state_after")
 
@@ -129,6 +130,16 @@ def with_all_predicates(events: DataFrame, predicates: list[str], key: str = "wi
     return events.filter(F.col("predicate").isin(wanted)).groupBy(key).agg(F.count_distinct("predicate").alias("n")).filter(F.col("n") == len(wanted)).select(key)
 
 
+def add_checked(events: DataFrame, witnesses: DataFrame, versions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """add_events with its references enforced: an unknown witness, version or segment raises."""
+    checks = [("witness_id", witnesses), ("semantic_version", versions), *([("segment_id", segments)] if segments is not None else [])]
+    for column, parent in checks:
+        bad = orphans(events, column, parent, column).first()
+        if bad is not None:
+            raise ValueError(f"event refers to an unknown {column}: {bad[column]}")
+    return add_events(events)
+
+
 def earliest(table: DataFrame, key: str, when: str, what: str) -> DataFrame:
     """First attestation of each key."""
     return table.groupBy(key).agg(F.min(when).alias("first_seen"), F.min_by(what, F.struct(when, what)).alias(f"first_{what}"))

@@ -27,7 +27,7 @@ def ingest_fixtures(fixtures: DataFrame) -> dict[str, DataFrame]:
     listed = listed.select("fixture_id", "semantic_version", "place", "e.*").join(witness.select("fixture_id", "witness_id"), "fixture_id")
     ids = segment.select(F.col("witness_id").alias("w_"), F.col("ordinal").alias("o_"), "segment_id")
     listed = listed.join(ids, (F.col("witness_id") == F.col("w_")) & (F.col("segment_ordinal") == F.col("o_")), "left").drop("w_", "o_", "segment_ordinal")
-    event = events.add_events(listed)
+    event = events.add_checked(listed, witness, versions, segment)
     following = F.lead("event_id").over(Window.partitionBy("fixture_id").orderBy("place"))
     edge = event.select("fixture_id", "semantic_version", F.col("event_id").alias("src"), following.alias("dst")).filter("dst is not null")
     provenance = F.to_json(F.struct("fixture_id", "semantic_version"))
@@ -56,9 +56,14 @@ def scan_exports(spark: SparkSession, input_dir: str, output_dir: str, terms: li
     files = readers.text_files(spark, input_dir)
     relative = F.substring(F.regexp_replace("path", r"^file:/+", "/"), len(root) + 2, 1 << 20)
     source = F.to_json(F.struct(relative.alias("source_path"), F.lit("LEGACY_EXPORT").alias("source_type")))
-    blocks = legacy.legacy_records(files.withColumn("source_json", source), terms=list(terms))
-    writers.legacy_bundles(blocks, output_dir, include_text)
-    return legacy.block_counts(blocks)
+    outputs = legacy.identified(files.withColumn("source_json", source)).persist()  # files are read once for the blocks and the index
+    blocks = legacy.records_of(outputs, list(terms)).persist()
+    index = legacy.index(outputs, blocks).persist()
+    writers.legacy_bundles(index, blocks, output_dir, include_text)
+    counts = spark.createDataFrame([legacy.block_counts(index).first()])
+    for df in (index, blocks, outputs):
+        df.unpersist()
+    return counts
 
 
 def _qualified(spark: SparkSession, path: str) -> str:

@@ -77,8 +77,27 @@ c2 AS (SELECT c1.k, c1.doc_id, c1.ordinal, shared, shared::DOUBLE / (nq + ns - s
 c3 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j DESC, shared DESC, doc_id, ordinal) AS n FROM c2)"""
 
 
+_VERSIONS = """vc AS (SELECT 'N' || c_nationkey || '-' || c_mktsegment AS s, 'N' || c_nationkey AS p, max(c_custkey) AS k FROM customer GROUP BY ALL),
+v0 AS (SELECT 'R' || r_regionkey AS s, NULL AS p, r_regionkey AS k, '' AS d FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_nationkey, 'nation' FROM nation UNION ALL SELECT s, p, k, 'segment' FROM vc),
+v AS (SELECT s AS semantic_version, p AS parent_version, sha256('{"a":' || k || ',"b":"x"}') AS config_hash, d AS description FROM v0)"""
+_OUTPUTS = f"""o0 AS (SELECT *, '{{"artifact_kind":"ANALYST_OUTPUT","epistemic_status":"UNVERIFIED_LEGACY_OUTPUT","lang":"' || lang || '","legacy_output_version":"legacy-output/v1","source":"' || source || '"}}' AS meta,
+  CASE WHEN doc_id % 10 <> 0 THEN text END AS t FROM documents),
+o1 AS (SELECT *, sha256({_norm("coalesce(t, '')")}) AS output_hash FROM o0), o2 AS (SELECT sha256(output_hash || '|' || meta) AS output_id, output_hash, t AS text FROM o1),
+outputs AS (SELECT DISTINCT * FROM o2)"""
+
+_FUZZY = f"""WITH {_SEG}, b AS (SELECT item_id, {_canon(_norm('text'))} AS canonical FROM benchmark),
+qg AS MATERIALIZED ({_grams('b', 'item_id')}), sg AS MATERIALIZED ({_grams('seg', 'doc_id, ordinal')}),
+qn AS (SELECT item_id, count(*) AS nq FROM qg GROUP BY 1), sn AS (SELECT doc_id, ordinal, count(*) AS ns FROM sg GROUP BY ALL),
+o AS (SELECT item_id, doc_id, ordinal, count(*) AS overlap FROM qg JOIN sg USING (gram) GROUP BY ALL),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id, ordinal) AS n FROM o),
+o2 AS (SELECT item_id, doc_id, ordinal, overlap::DOUBLE / (nq + ns - overlap) AS score FROM o1 JOIN qn USING (item_id) JOIN sn USING (doc_id, ordinal) WHERE n <= 200),
+o3 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, ordinal) AS n FROM o2)
+SELECT item_id, doc_id, ordinal, score FROM o3 WHERE n <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm_text = _norm("coalesce(text, '')")
+    fuzzy = _FUZZY
     return {
         "normalize_canonical": f"SELECT doc_id, sha256({norm_text}) AS normalized_sha256, sha256({_canon(norm_text)}) AS canonical_sha256, len({_canon(norm_text)})::BIGINT AS canonical_chars FROM documents",
         "segments": f"WITH {_SEG} SELECT doc_id, ordinal, text, canonical FROM seg",
@@ -91,17 +110,67 @@ SELECT doc_id, l[1] AS merkle_root FROM m WHERE len(l) = 1""",
         "qgram_postings": f"WITH {_SEG} {_grams('seg', 'doc_id, ordinal')}",
         "gram_df": f"WITH {_SEG}, g AS ({_grams('seg', 'doc_id, ordinal')}) SELECT gram, count(*) AS segments FROM g GROUP BY gram",
         "exact_segment_dups": f"WITH {_SEG} SELECT sha256(text) AS segment_hash, count(*) AS copies FROM seg GROUP BY 1 HAVING count(*) > 1",
-        "exact_segment_lookup": f"WITH {_SEG}, b AS (SELECT DISTINCT sha256({_norm('text')}) AS segment_hash FROM benchmark) SELECT doc_id, ordinal, segment_hash, 1.0::DOUBLE AS score FROM (SELECT *, sha256(text) AS segment_hash FROM seg) JOIN b USING (segment_hash)",
+        "exact_segment_lookup": f"WITH {_SEG}, h AS (SELECT *, sha256(text) AS segment_hash FROM seg) SELECT doc_id, ordinal, segment_hash, 1.0::DOUBLE AS score FROM h WHERE segment_hash IN (SELECT segment_hash FROM h WHERE ordinal = 0)",
+        "witness_lookup": f"WITH {_WITNESS} SELECT witness_id, w.doc_hash, lang, source FROM w JOIN documents USING (doc_id) WHERE doc_id = 0",
+        "phrase_by_index": _PHRASE.replace("{needle}", _canon(_norm("text"))),
+        "fuzzy_by_index": fuzzy,
+        "winnow_positions": f"""WITH b AS (SELECT item_id, {_canon(_norm("coalesce(text, '')"))} AS canonical FROM benchmark),
+n AS (SELECT item_id, canonical, greatest(len(canonical) - 11, 1) AS n FROM b WHERE canonical <> ''),
+h AS (SELECT item_id, n, p - 1 AS position, substr(sha256(CASE WHEN n = 1 THEN canonical ELSE substr(canonical, p::INT, 12) END), 1, 16) AS h FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM n)),
+w AS (SELECT item_id, n, position AS start, min((h, -position)) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS x FROM h)
+SELECT DISTINCT item_id, (-x[2])::INT AS position, x[1] AS fingerprint FROM w WHERE start <= greatest(n - 8, 0)""",
+        "semantic_versions": f"WITH {_VERSIONS} SELECT semantic_version, parent_version, config_hash, description FROM v",
+        "edge_upsert": """WITH c AS (SELECT 'N' || c_nationkey AS src, c_mktsegment AS dst, c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::DOUBLE END AS confidence FROM customer),
+new AS (SELECT src, dst, arg_max(coalesce(confidence, 1.0), c_custkey) AS confidence FROM c WHERE c_custkey % 2 = 0 GROUP BY src, dst), old AS (SELECT src, dst, max(confidence) AS confidence FROM c WHERE c_custkey % 2 = 1 GROUP BY src, dst)
+SELECT src, dst, 'HAS' AS edge_type, confidence, '{}' AS provenance_json FROM new UNION ALL SELECT src, dst, 'HAS', confidence, 'old' FROM old ANTI JOIN new USING (src, dst)""",
+        "cyclic_part": """WITH c AS (SELECT c_custkey, n_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0)
+SELECT 'C' || c_custkey AS src, 'R' || n_regionkey AS dst FROM c UNION SELECT 'N' || n_nationkey, 'C' || c_custkey FROM c UNION SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM c""",
+        "graph_export": f"""WITH {_EDGES}, ends AS (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges), d AS (SELECT node, count(*) AS degree FROM ends GROUP BY node)
+SELECT 'node' AS kind, node AS id, '{{"node":"' || node || CASE WHEN r_name IS NULL THEN '' ELSE '","label":"' || r_name END || '","degree":' || degree || '}}' AS record FROM d LEFT JOIN region ON node = 'R' || r_regionkey
+UNION ALL SELECT 'link', src || '>HAS>' || dst, '{{"src":"' || src || '","dst":"' || dst || '","edge_type":"HAS","confidence":1.0}}' FROM edges""",
+        "timeline_export": "SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY ALL",
+        "place_export": "SELECT lang AS place, count(*) AS n, count(DISTINCT source) AS n_source, count(DISTINCT doc_id) AS n_doc_id FROM documents WHERE lang IS NOT NULL GROUP BY lang",
+        "story_families": f"WITH {_WITNESS} SELECT source AS family, count(*) AS members, min(witness_id) AS first_member FROM w JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY source",
+        "byte_totals": "SELECT source, count(*) AS files, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM documents GROUP BY source",
+        "orphan_references": "SELECT doc_id, quality FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT page_id FROM pages)",
+        "event_rows": f"WITH {_EVENTS} SELECT ordinal, predicate, event_id FROM log WHERE witness_id = 'u1'",
+        "slot_types": f"""WITH {_EVENTS}, {_PAIRS}, o AS (SELECT witness_id, user_id, predicate, arg_max(payload, ordinal) AS payload FROM log GROUP BY ALL),
+a AS (SELECT "left", "right", predicate FROM pairs JOIN o ON witness_id = "left"), b AS (SELECT "left", "right", predicate FROM pairs JOIN o ON witness_id = "right"),
+j AS (SELECT coalesce(a."left", b."left") AS "left", coalesce(a."right", b."right") AS "right", CASE WHEN a."left" IS NULL THEN 'added' WHEN b."left" IS NULL THEN 'removed' ELSE 'retained' END AS status
+  FROM a FULL JOIN b ON a."left" = b."left" AND a."right" = b."right" AND a.predicate = b.predicate)
+SELECT "left", "right", status, count(*) FILTER (status = 'retained') AS changed, count(*) AS "rows" FROM j GROUP BY ALL""",
+        "fixture_ingest": f"""WITH t AS (SELECT conv_id, count(*) AS n, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+s AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {_norm('x')} <> '')) AS b, len(list_filter(string_split(text, chr(10)), lambda x: {_norm('x')} <> '')) AS l FROM t)
+SELECT 'f' || conv_id AS fixture_id, CASE WHEN b > 1 THEN b ELSE greatest(l, 1) END::BIGINT AS n_segments, n AS n_events, n - 1 AS n_edges FROM s""",
+        "fixture_pairs": """WITH o AS (SELECT conv_id, upper(role) AS predicate, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations), c AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT a.conv_id AS left_conv, b.conv_id AS right_conv FROM c a JOIN c b ON b.conv_id = a.conv_id + 1),
+a AS (SELECT left_conv, right_conv, predicate, k FROM p JOIN o ON conv_id = left_conv), b AS (SELECT left_conv, right_conv, predicate, k FROM p JOIN o ON conv_id = right_conv),
+j AS (SELECT coalesce(a.left_conv, b.left_conv) AS left_conv, coalesce(a.right_conv, b.right_conv) AS right_conv, CASE WHEN a.left_conv IS NULL THEN 'added' WHEN b.left_conv IS NULL THEN 'removed' ELSE 'retained' END AS status
+  FROM a FULL JOIN b ON a.left_conv = b.left_conv AND a.predicate = b.predicate AND a.k = b.k)
+SELECT left_conv, right_conv, status, count(*) AS events FROM j GROUP BY ALL""",
+        "legacy_records": f"""WITH {_OUTPUTS}, {_BLOCKS.format(key='output_id', text="coalesce(text, '')", source='outputs')}, {_TERMS},
+t AS (SELECT output_id, ordinal, coalesce(string_agg(keyword, ',' ORDER BY keyword), '') AS terms FROM (SELECT output_id, ordinal, {_canon('text')} AS canonical FROM blocks) b LEFT JOIN terms t ON t.c <> '' AND contains(b.canonical, t.c) GROUP BY output_id, ordinal),
+x AS (SELECT *, sha256(text) AS block_hash, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_LABEL}', 1), lambda v: upper(v)))) AS v FROM blocks)
+SELECT output_id, output_hash, sha256(output_id || '|' || ordinal || '|' || block_hash) AS block_id, ordinal, block_hash, CASE WHEN len(v) = 0 THEN 'IDEA_CANDIDATE' ELSE array_to_string(v, ',') END AS labels, terms
+FROM x JOIN t USING (output_id, ordinal) JOIN (SELECT DISTINCT output_id, output_hash FROM outputs) USING (output_id)""",
+        "legacy_index": f"""WITH {_OUTPUTS}, {_BLOCKS.format(key='output_id', text="coalesce(text, '')", source='outputs')}, n AS (SELECT output_id, count(*) AS n FROM blocks GROUP BY output_id)
+SELECT DISTINCT output_id, output_hash, coalesce(n, 0)::BIGINT AS block_count, substr(output_id, 1, 16) AS bundle_path FROM outputs LEFT JOIN n USING (output_id)""",
+        "legacy_counts": f"""WITH {_OUTPUTS}, {_BLOCKS.format(key='output_id', text="coalesce(text, '')", source='outputs')}
+SELECT (SELECT count(DISTINCT output_id) FROM outputs) AS files, (SELECT count(*) FROM blocks) AS blocks""",
+        "audited_resolutions": """WITH l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'CONTRADICTED' WHEN quality = 1 THEN 'SUPPORTED' ELSE 'UNRESOLVED' END AS verdict FROM labels)
+SELECT doc_id AS block_id, coalesce(verdict, 'UNRESOLVED_NO_MATCH') AS resolution_status, CASE WHEN verdict <> 'UNRESOLVED' THEN doc_id::VARCHAR END AS evidence, CASE WHEN verdict IS NOT NULL THEN '' END AS resolution_note,
+  CASE WHEN verdict IS NOT NULL THEN 'VERDICT_REQUIRES_EXPLICIT_SOURCE_SEGMENT_LINK' END AS resolution_guard FROM documents LEFT JOIN l USING (doc_id)""",
+        "bundle_ingest": f"""WITH RECURSIVE {_PARTS}, m(doc_id, l) AS (SELECT doc_id, list_transform(l, lambda x: sha256(x)) FROM parts
+UNION ALL SELECT doc_id, list_transform(range(0, ((len(l) + 1) // 2)::BIGINT), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1]))) FROM m WHERE len(l) > 1),
+b AS (SELECT doc_id, m.l[1] AS root, sha256({_norm("coalesce(text, '')")}) AS doc_hash, '"bundle_version":"witness-bundle/v1","lang":"' || lang || '","raw_source_committed":false,"source":"' || source || '"}}' AS tail FROM documents JOIN m USING (doc_id) WHERE len(m.l) = 1),
+k AS (SELECT *, sha256(doc_hash || '|{{' || tail) AS k FROM b)
+SELECT DISTINCT sha256(doc_hash || '|{{"artifact_merkle_root":"' || root || '","artifact_witness_key":"' || k || '",' || tail) AS witness_id, doc_hash, 1::BIGINT AS n_segments FROM k""",
+        "bundle_artifacts": f"SELECT doc_id::VARCHAR AS folder, 4::BIGINT AS files, sha256({norm_text} || chr(10)) AS normalized_file FROM documents",
+        "source_stubs": f"WITH {_ARCHIVE} SELECT source_id, acquisition_status, 'test' AS collection, false AS raw_source_committed, 'ARCHIVE_SOURCE' AS source_layer FROM rec",
+        "listed_targets": "SELECT page_id, url || '/' || page_id || '.PDF' AS path, len(html)::BIGINT AS size FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 2 <> 0",
         "phrase_search": _PHRASE.replace("{needle}", _canon(_norm("text"))),
         "phrase_short": _PHRASE.replace("{needle}", f"substr({_canon(_norm('text'))}, 1, 2)"),
-        "fuzzy_search": f"""WITH {_SEG}, b AS (SELECT item_id, {_canon(_norm('text'))} AS canonical FROM benchmark),
-qg AS MATERIALIZED ({_grams('b', 'item_id')}), sg AS MATERIALIZED ({_grams('seg', 'doc_id, ordinal')}),
-qn AS (SELECT item_id, count(*) AS nq FROM qg GROUP BY 1), sn AS (SELECT doc_id, ordinal, count(*) AS ns FROM sg GROUP BY ALL),
-o AS (SELECT item_id, doc_id, ordinal, count(*) AS overlap FROM qg JOIN sg USING (gram) GROUP BY ALL),
-o1 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id, ordinal) AS n FROM o),
-o2 AS (SELECT item_id, doc_id, ordinal, overlap::DOUBLE / (nq + ns - overlap) AS score FROM o1 JOIN qn USING (item_id) JOIN sn USING (doc_id, ordinal) WHERE n <= 200),
-o3 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, ordinal) AS n FROM o2)
-SELECT item_id, doc_id, ordinal, score FROM o3 WHERE n <= 20""",
+        "fuzzy_search": fuzzy,
         "dictionary_scan": f"""WITH {_SEG}, {_TERMS}, hit AS (SELECT keyword, doc_id, ordinal, row_number() OVER (PARTITION BY keyword ORDER BY doc_id, ordinal) AS n FROM terms JOIN seg ON c <> '' AND contains(canonical, c))
 SELECT terms.keyword, doc_id, ordinal FROM terms LEFT JOIN (SELECT * FROM hit WHERE n <= 100) h ON h.keyword = terms.keyword""",
         "dictionary_positions": f"""WITH {_SEG}, {_TERMS}, hit AS (SELECT doc_id, ordinal, keyword, c, canonical FROM terms JOIN seg ON c <> '' AND contains(canonical, c)),
@@ -142,8 +211,9 @@ SELECT "left", "right", predicate, status, CASE WHEN status = 'retained' AND ap
 UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 3) SELECT start, node, min(depth)::INT AS depth FROM walk GROUP BY start, node""",
         "dfs_preorder": f"""WITH RECURSIVE {_EDGES}, walk(node, path) AS (SELECT 'R0', ['R0'] UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN edges ON src = node)
 SELECT (row_number() OVER (ORDER BY path) - 1)::INT AS position, node FROM walk""",
-        "version_tree": """WITH RECURSIVE v(s, p) AS (VALUES ('v1', NULL), ('v2', 'v1'), ('h1', 'v2'), ('h2', 'v2'), ('w1', NULL)),
-t(semantic_version, root, depth, path) AS (SELECT s, s, 0, s FROM v WHERE p IS NULL UNION ALL SELECT v.s, t.root, t.depth + 1, t.path || ' > ' || v.s FROM v JOIN t ON v.p = t.semantic_version) SELECT * FROM t""",
+        "version_tree": f"""WITH RECURSIVE {_VERSIONS},
+t(semantic_version, root, depth, path) AS (SELECT semantic_version, semantic_version, 0, semantic_version FROM v WHERE parent_version IS NULL
+UNION ALL SELECT v.semantic_version, t.root, t.depth + 1, t.path || ' > ' || v.semantic_version FROM v JOIN t ON v.parent_version = t.semantic_version) SELECT * FROM t""",
         "multi_predicate": "SELECT 'u' || user_id AS witness_id FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY user_id HAVING count(DISTINCT event_type) = 3",
         "earliest_attestation": "SELECT event_type, min(ts) AS first_seen, arg_min(event_id, (ts, event_id)) AS first_event_id FROM events GROUP BY event_type",
         "event_windows": "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

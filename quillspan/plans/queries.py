@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.fingerprint import fingerprint_values
-from quillspan.operators import acquisition, bundle, compare, corpus, events, graph, legacy, provenance, search
+from quillspan.functions.fingerprint import winnow_fingerprints as winnow_fingerprints_of
+from quillspan.operators import acquisition, bundle, compare, corpus, events, exports, graph, legacy, provenance, search
+from quillspan.plans import jobs
+from quillspan.sources import writers
 from quillspan.sources.readers import table
 from quillspan.streaming.ingest import windowed_counts
 
@@ -70,9 +73,17 @@ def exact_segment_dups(spark, sf_dir):
 
 
 def exact_segment_lookup(spark, sf_dir):
-    """Benchmark passages that stand as whole segments."""
-    b = table(spark, sf_dir, "benchmark").select(F.sha2(T.normalize_text("text"), 256).alias("segment_hash"))
-    return corpus.exact_segment_hash(_segments(spark, sf_dir).withColumn("segment_hash", F.sha2("text", 256)), b).select("doc_id", "ordinal", "segment_hash", "score")
+    """All places of the segments that documents begin with."""
+    s = _segments(spark, sf_dir).withColumn("segment_hash", F.sha2("text", 256))
+    return corpus.exact_segment_hash(s, s.filter("ordinal = 0")).select("doc_id", "ordinal", "segment_hash", "score")
+
+
+def witness_lookup(spark, sf_dir):
+    """The witness of document 0, by its id."""
+    w = _witnesses(spark, sf_dir)
+    wanted = w.filter("doc_id = 0").first()["witness_id"]
+    field = lambda name: F.variant_get("metadata", f"$.{name}", "string").alias(name)
+    return corpus.witness(w, wanted).select("witness_id", "doc_hash", field("lang"), field("source"))
 
 
 def phrase_search(spark, sf_dir):
@@ -88,6 +99,15 @@ def fuzzy_search(spark, sf_dir):
     return search.search_fuzzy(_segments(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
 
 
+def phrase_by_index(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    return search.phrase_by_index(s, corpus.postings(s, *PLACE), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+
+
+def fuzzy_by_index(spark, sf_dir):
+    return search.fuzzy_by_index(corpus.postings(_segments(spark, sf_dir), *PLACE), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+
+
 def dictionary_scan(spark, sf_dir):
     return search.dictionary_scan(_segments(spark, sf_dir), KEYWORDS, place=PLACE)
 
@@ -101,6 +121,13 @@ def winnow_fingerprints(spark, sf_dir):
     return s.select(*PLACE, F.explode(fingerprint_values("canonical", hash_name="sha256_64")).alias("fingerprint"))
 
 
+def winnow_positions(spark, sf_dir):
+    """Positions and values of the fingerprints of every benchmark passage."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.canonical_text("text").alias("canonical"))
+    f = b.select("item_id", F.explode(winnow_fingerprints_of("canonical", hash_name="sha256_64")).alias("f"))
+    return f.select("item_id", "f.position", F.col("f.value").alias("fingerprint"))
+
+
 def fingerprint_stats(spark, sf_dir):
     s = _segments(spark, sf_dir).select(F.size(fingerprint_values("canonical", hash_name="sha256_64")).alias("n"))
     return s.agg(F.count("*").alias("segments"), F.sum("n").cast("long").alias("fingerprints"))
@@ -187,9 +214,69 @@ def dfs_preorder(spark, sf_dir):
     return graph.dfs_preorder(_place_edges(spark, sf_dir), "R0")
 
 
+def _versions(spark, sf_dir):
+    """Versions of three levels: regions, their nations, and each nation's last customer of a market segment."""
+    place = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    config = lambda c: F.concat(F.lit('{"b": "x", "a": '), F.col(c).cast("string"), F.lit("}")).alias("config")
+    rows = r.select(place("R", "r_regionkey").alias("semantic_version"), F.lit(None).cast("string").alias("parent_version"), config("r_regionkey"), F.lit(None).cast("string").alias("description"), F.lit(0).cast("long").alias("seq"))
+    rows = rows.union(n.select(place("N", "n_nationkey"), place("R", "n_regionkey"), config("n_nationkey"), F.lit("nation"), F.lit(0).cast("long")))
+    segment = F.concat(place("N", "c_nationkey"), F.lit("-"), F.col("c_mktsegment"))
+    return rows.union(c.select(segment, place("N", "c_nationkey"), config("c_custkey"), F.lit("segment"), F.col("c_custkey").cast("long")))
+
+
+def semantic_versions(spark, sf_dir):
+    return events.semantic_versions(_versions(spark, sf_dir), "seq")
+
+
 def version_tree(spark, sf_dir):
-    v = spark.createDataFrame([("v1", None), ("v2", "v1"), ("h1", "v2"), ("h2", "v2"), ("w1", None)], "semantic_version string, parent_version string")
-    return events.version_tree(v)
+    return events.version_tree(semantic_versions(spark, sf_dir))
+
+
+def edge_upsert(spark, sf_dir):
+    """Edges between nations and market segments: those of odd customers stand, even ones are put over them."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("src"), F.col("c_mktsegment").alias("dst"), F.lit("HAS").alias("edge_type"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey").cast("double")).alias("confidence"), F.lit(None).cast("string").alias("provenance_json"), "c_custkey")
+    old = rows.filter("c_custkey % 2 = 1").groupBy("src", "dst", "edge_type").agg(F.max("confidence").alias("confidence")).withColumn("provenance_json", F.lit("old"))
+    return graph.put_edges(old, rows.filter("c_custkey % 2 = 0"), "c_custkey")
+
+
+def cyclic_part(spark, sf_dir):
+    """The places graph with edges back from some customers to a region."""
+    back = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 50 = 0")
+    back = back.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit("HAS").alias("edge_type"), F.lit(1.0).alias("confidence"))
+    return graph.cyclic_part(_place_edges(spark, sf_dir).union(back))
+
+
+def graph_export(spark, sf_dir):
+    labels = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("label"))
+    return exports.graph(_place_edges(spark, sf_dir), labels)
+
+
+def timeline_export(spark, sf_dir):
+    return exports.timeline(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+def place_export(spark, sf_dir):
+    return exports.places(table(spark, sf_dir, "documents"), "lang", "source", "doc_id")
+
+
+def story_families(spark, sf_dir):
+    return corpus.story_families(_witnesses(spark, sf_dir).withColumn("family", F.get_json_object("metadata_json", "$.source")), "family")
+
+
+def byte_totals(spark, sf_dir):
+    return corpus.byte_totals(table(spark, sf_dir, "documents"), "source")
+
+
+def orphan_references(spark, sf_dir):
+    """Labels whose document is no page."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    return corpus.orphans(table(spark, sf_dir, "labels"), "doc_id", p, "page_id").select("doc_id", "quality")
+
+
+def event_rows(spark, sf_dir):
+    return events.event_rows(_event_log(spark, sf_dir), "u1", "v1").select("ordinal", "predicate", "event_id")
 
 
 def multi_predicate(spark, sf_dir):
@@ -205,6 +292,38 @@ def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"))
 
 
+def slot_types(spark, sf_dir):
+    """Slot changes where one side writes its numbers as texts."""
+    log = _event_log(spark, sf_dir).withColumn("payload", F.when(F.col("user_id") % 2 == 0, F.regexp_replace("payload", r":(\d+)", ':"$1"')).otherwise(F.col("payload")))
+    m = events.slot_mutations(log, _user_pairs(spark, sf_dir))
+    return m.groupBy("left", "right", "status").agg(F.count("slot").alias("changed"), F.count("*").alias("rows"))
+
+
+def _fixtures(spark, sf_dir):
+    """A fixture for each conversation: turns are segments and events."""
+    c = table(spark, sf_dir, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    event = F.to_json(F.struct(F.col("turn").cast("int").alias("ordinal"), F.lit(0).alias("segment_ordinal"), F.upper("role").alias("predicate")))
+    per = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "t", event.alias("e")))).alias("x"))
+    source = F.to_json(F.struct(F.col("conv_id").cast("string").alias("title")))
+    return per.select(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("fixture_id"), F.lit("v1").alias("semantic_version"), F.lit("{}").alias("config"), source.alias("source_json"), F.transform("x", lambda v: v["t"]).alias("derived_test_segments"), F.transform("x", lambda v: v["e"]).alias("events"))
+
+
+def fixture_ingest(spark, sf_dir):
+    t = jobs.ingest_fixtures(_fixtures(spark, sf_dir))
+    per = lambda df, name: df.groupBy("fixture_id").agg(F.count("*").alias(name))
+    edges = t["edge"].groupBy(F.get_json_object("provenance_json", "$.fixture_id").alias("fixture_id")).agg(F.count("*").alias("n_edges"))
+    return per(t["segment"], "n_segments").join(per(t["event"], "n_events"), "fixture_id", "left").join(edges, "fixture_id", "left").na.fill(0)
+
+
+def fixture_pairs(spark, sf_dir):
+    """Events of neighbouring conversations, aligned through the ingested tables."""
+    t = jobs.ingest_fixtures(_fixtures(spark, sf_dir))
+    w = t["witness"].select("witness_id", F.substring("fixture_id", 2, 20).cast("long").alias("conv_id"))
+    pairs = w.select(F.col("witness_id").alias("left"), F.col("conv_id").alias("left_conv")).join(w.select(F.col("witness_id").alias("right"), F.col("conv_id").alias("right_conv")), F.col("right_conv") == F.col("left_conv") + 1)
+    _, diff = jobs.compare_fixture_pairs(t, pairs.select("left", "right"))
+    return diff.join(pairs, ["left", "right"]).groupBy("left_conv", "right_conv", "status").agg(F.count("*").alias("events"))
+
+
 def _blocks(spark, sf_dir):
     return legacy.output_blocks(_turns(spark, sf_dir), "turn_id")
 
@@ -231,6 +350,38 @@ def review_queue(spark, sf_dir):
     return q.select("block_id", "resolution_status", F.coalesce(F.size("candidate_segments"), F.lit(0)).cast("long").alias("n_candidates"), best["doc_id"].alias("best_doc_id"), best["ordinal"].alias("best_ordinal"))
 
 
+def _outputs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("source_json", T.fixed_json("lang", "source"))
+    return legacy.identified(d.withColumn("text", F.when(F.col("doc_id") % 10 != 0, F.col("text"))))
+
+
+def legacy_records(spark, sf_dir):
+    r = legacy.records_of(_outputs(spark, sf_dir), KEYWORDS)
+    return r.select("output_id", "output_hash", "block_id", "ordinal", "block_hash", F.array_join("labels", ",").alias("labels"), F.array_join("dictionary_hits", ",").alias("terms"))
+
+
+def legacy_index(spark, sf_dir):
+    """Every output, those without a text too."""
+    o = _outputs(spark, sf_dir)
+    return legacy.index(o, legacy.records_of(o)).select("output_id", "output_hash", "block_count", "bundle_path")
+
+
+def legacy_counts(spark, sf_dir):
+    o = _outputs(spark, sf_dir)
+    return legacy.block_counts(legacy.index(o, legacy.records_of(o)))
+
+
+def audited_resolutions(spark, sf_dir):
+    """Documents as queue items, their labels as audited verdicts."""
+    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    queue = d.select(F.col("doc_id").alias("block_id"), F.lit("UNRESOLVED_NO_MATCH").alias("resolution_status"))
+    verdict = F.when(F.col("toxic") == 1, "CONTRADICTED").when(F.col("quality") == 1, "SUPPORTED").otherwise("UNRESOLVED")
+    evidence = F.when(verdict != "UNRESOLVED", F.array(F.col("doc_id").cast("string")))
+    decisions = labels.select(F.col("doc_id").alias("block_id"), verdict.alias("verdict"), evidence.alias("evidence_segment_ids"), F.lit("reviewer").alias("reviewer"), F.lit(None).cast("string").alias("note"))
+    out = legacy.apply_resolutions(queue, decisions, "block_id")
+    return out.select("block_id", "resolution_status", F.array_join("evidence_segment_ids", ",").alias("evidence"), "resolution_note", "resolution_guard")
+
+
 def _archive(spark, sf_dir):
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     key = F.col("doc_id").cast("string")
@@ -268,10 +419,38 @@ def bundle_verify(spark, sf_dir):
     return bundle.verify_bundles(b).select("doc_id", "ok", F.array_join("errors", ",").alias("errors"), F.col("segment_count").cast("long").alias("segment_count"), "merkle_root")
 
 
+def _built(spark, sf_dir):
+    return bundle.build_bundles(table(spark, sf_dir, "documents").withColumn("source_json", T.fixed_json("lang", "source")), keep=("doc_id",))
+
+
+def bundle_ingest(spark, sf_dir):
+    w = bundle.ingest_bundles(_built(spark, sf_dir))
+    return w.select("witness_id", "doc_hash", F.size("segments").cast("long").alias("n_segments"))
+
+
+def bundle_artifacts(spark, sf_dir):
+    """The files of every bundle, and the hash of the normalised text's file."""
+    f = writers.bundle_files(_built(spark, sf_dir).withColumn("folder_", F.col("doc_id").cast("string")), "folder_")
+    return f.groupBy("folder").agg(F.count("*").alias("files"), F.max(F.when(F.col("name") == "normalized.txt", F.sha2("content", 256))).alias("normalized_file"))
+
+
+def source_stubs(spark, sf_dir):
+    s = acquisition.source_stubs(_archive(spark, sf_dir), collection="test")
+    return s.select("source_id", "acquisition_status", "collection", "raw_source_committed", "source_layer")
+
+
+def listed_targets(spark, sf_dir):
+    """Pages as listed files: those that may be fetched and are not done."""
+    p = table(spark, sf_dir, "pages").select(F.concat("url", F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".txt")).alias("path"), F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.length("html")).cast("long").alias("size"), "page_id")
+    return acquisition.pending_files(acquisition.listed_files(p, [".pdf"]), p.filter("page_id % 2 = 0")).select("page_id", "path", "size")
+
+
 QUERIES = [
     normalize_canonical, segments, witness_ids, segment_ids, merkle_roots, qgram_postings, gram_df, exact_segment_dups, exact_segment_lookup,
     phrase_search, phrase_short, fuzzy_search, dictionary_scan, dictionary_positions, winnow_fingerprints, fingerprint_stats, fingerprint_candidates,
     compare_witnesses, segment_alignment, event_log, event_filter, next_event_edges, semantic_diff, slot_mutation, bfs_depth, dfs_preorder, version_tree,
+    witness_lookup, phrase_by_index, fuzzy_by_index, winnow_positions, semantic_versions, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
+    event_rows, slot_types, fixture_ingest, fixture_pairs, legacy_records, legacy_index, legacy_counts, audited_resolutions, bundle_ingest, bundle_artifacts, source_stubs, listed_targets,
     multi_predicate, earliest_attestation, event_windows, legacy_blocks, block_labels, block_terms, review_queue, archive_join, archive_summary, provenance_alerts, bundle_verify,
 ]
 

@@ -37,7 +37,7 @@ def text_files(spark: SparkSession, path: str, suffixes: tuple = (".md", ".txt")
     wanted = F.lit(False)
     for s in suffixes:
         wanted = wanted | name.endswith(s)
-    return files.filter(wanted).select("path", _decoded("content").alias("text"))
+    return files.filter(wanted).select("path", _decoded("content").alias("text")).orderBy("path")
 
 
 def _decoded(content):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import stable_json
+from quillspan.operators.legacy import BUNDLE_GUARD
 
 
 def jsonl(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
@@ -24,42 +28,67 @@ def source_stubs(stubs: DataFrame, path: str) -> None:
     stubs.select(F.col("source_id").alias("id"), body.alias("value")).write.mode("overwrite").partitionBy("id").text(path)
 
 
-def bundles(built: DataFrame, path: str, key: str = "witness_key") -> None:
-    """Exact bundle layout below path: <key>/source.json, normalized.txt, segments.jsonl, manifest.json (and raw.txt).
+# The files of a bundle and the keys of its manifest.
+BUNDLE_FILES = {"source": "source.json", "normalized": "normalized.txt", "segments": "segments.jsonl", "raw": "raw.txt", "semantic_events": "semantic-events.jsonl"}
+MANIFEST = ("bundle_version", "witness_key", "doc_hash", "merkle_root", "segment_count", "normalized_size_chars", "raw_included", "semantic_events_included")
+
+
+def bundle_files(built: DataFrame, key: str = "witness_key") -> DataFrame:
+    """folder, name, content: every file of every bundle as a row."""
+
+    @F.pandas_udf("array<struct<name:string,content:string>>")
+    def files(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([[{"name": n, "content": c} for n, c in _files_of(r).items()] for r in rows.to_dict("records")])
+
+    optional = [F.col(c) if c in built.columns else F.lit(None).cast(t).alias(c) for c, t in (("raw", "string"), ("semantic_events", "array<string>"))]
+    parts = F.struct(*MANIFEST, "source_json", "normalized", F.to_json("segments").alias("segments"), *optional)
+    return built.select(F.col(key).alias("folder"), F.explode(files(parts)).alias("f")).select("folder", "f.name", "f.content")
 
-    Files are written by the executors, so path must be a folder all of them share.
-    """
-    import json
-    import pathlib
 
-    def dump(value) -> str:
+def _files_of(r: dict) -> dict[str, str]:
+    def pretty(value) -> str:
         return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n"
 
+    def lines(values) -> str:
+        return "".join(json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n" for v in values)
+
+    content = {"source": pretty(json.loads(r["source_json"])), "normalized": r["normalized"] + "\n", "segments": lines(json.loads(r["segments"]))}
+    if r["raw_included"]:
+        content["raw"] = r["raw"]
+    if r["semantic_events_included"]:
+        content["semantic_events"] = lines(map(json.loads, r["semantic_events"]))
+    plain = {c: v.item() if hasattr(v := r[c], "item") else v for c in MANIFEST}
+    manifest = plain | {"artifacts": {k: n if k in content else None for k, n in BUNDLE_FILES.items()}}
+    return {BUNDLE_FILES[k]: v for k, v in content.items()} | {"manifest.json": pretty(manifest)}
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Rows (folder, name, content) as files path/folder/name, written by the executors: path must be a folder that all of them share."""
+    import pathlib
+
+    spark = files.sparkSession
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not spark.sparkContext.master.startswith("local") and not (shared and str(path).startswith(shared)):
+        raise ValueError("bundles are written as single files: name a path below spark.checkpoint.dir")
+
     def write(rows) -> None:
         for r in rows:
-            out = pathlib.Path(path) / r[key]
-            out.mkdir(parents=True, exist_ok=True)
-            has_raw, has_events = bool(r["raw_included"]), bool(r["semantic_events_included"])
-            names = {"source": "source.json", "normalized": "normalized.txt", "segments": "segments.jsonl", "raw": "raw.txt" if has_raw else None, "semantic_events": "semantic-events.jsonl" if has_events else None}
-            manifest = {c: r[c] for c in ("bundle_version", "witness_key", "doc_hash", "merkle_root", "segment_count", "normalized_size_chars", "raw_included", "semantic_events_included")}
-            (out / "source.json").write_text(dump(json.loads(r["source_json"])), "utf-8")
-            (out / "normalized.txt").write_text(r["normalized"] + "\n", "utf-8")
-            (out / "segments.jsonl").write_text("".join(json.dumps(s.asDict(), ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n" for s in r["segments"]), "utf-8")
-            (out / "manifest.json").write_text(dump(manifest | {"artifacts": names}), "utf-8")
-            if has_raw:
-                (out / "raw.txt").write_text(r["raw"], "utf-8")
+            folder = pathlib.Path(path) / r["folder"]
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / r["name"]).write_text(r["content"], "utf-8")
 
-    built.foreachPartition(write)
+    files.foreachPartition(write)
 
 
-def legacy_index(blocks: DataFrame) -> DataFrame:
-    """output_id, output_hash, source_json, block_count, bundle_path of each output."""
-    per = blocks.groupBy("output_id", "output_hash", "source_json").agg(F.count("*").alias("block_count"))
-    return per.withColumn("bundle_path", F.substring("output_id", 1, 16))
+def bundles(built: DataFrame, path: str, key: str = "witness_key") -> None:
+    """Bundles below path, a folder each, as readers.bundles reads them."""
+    write_files(bundle_files(built, key), path)
 
 
-def legacy_bundles(blocks: DataFrame, path: str, include_text: bool = True) -> None:
-    """Blocks as JSON lines, a folder for each output, and LEGACY_INDEX beside them; hash-only without texts."""
+def legacy_bundles(index: DataFrame, blocks: DataFrame, path: str, include_text: bool = True) -> None:
+    """Blocks as JSON lines, a folder for each output, with a manifest each, and LEGACY_INDEX beside them; hash-only without texts."""
     b = blocks if include_text else blocks.drop("text")
     b.withColumn("bundle", F.substring("output_id", 1, 16)).write.mode("overwrite").partitionBy("bundle").json(f"{path}/blocks")
-    legacy_index(blocks).coalesce(1).write.mode("overwrite").json(f"{path}/LEGACY_INDEX")
+    guarded = index.withColumn("text_included", F.lit(include_text)).withColumn("guard", F.lit(BUNDLE_GUARD))
+    guarded.withColumn("bundle", F.col("bundle_path")).write.mode("overwrite").partitionBy("bundle").json(f"{path}/manifests")
+    index.coalesce(1).write.mode("overwrite").json(f"{path}/LEGACY_INDEX")
