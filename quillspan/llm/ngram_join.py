@@ -188,47 +188,79 @@ def _folded(sketch: bytes) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, _U).reshape(-1, CELLS // 64), axis=0)
 
 
-def open_pairs(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one block of a column that could link and are in different components: a, b, n, m."""
-    side = block["side"].to_numpy()
-    rep, n, component, place = (block[c].to_numpy(np.int64) for c in ("rep", "n", "component", "place"))
-    sketch = block["sketch"].tolist()
-    short = np.array([_folded(x) for x in sketch], _U).reshape(-1, CELLS // 64)
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    parts = []
-    for at in range(0, len(left), 64):
-        i, j = left[at : at + 64, None], right[None, :]
-        least = -(-percent * (n[i] + n[j]) // (100 + percent))  # entries that must be shared
-        near = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (component[i] != component[j])
-        near &= (1 + np.minimum(n[i] - place[i], n[j] - place[j]) >= least) & ((side[i] != 0) | (rep[i] < rep[j]))
-        x, y = np.nonzero(near)
-        most = (n[i] + n[j] - 2 * least)[x, y]
-        x, y = left[at : at + 64][x], right[y]
-        some = np.bitwise_count(short[x] ^ short[y]).sum(axis=1) <= most
-        x, y, most = x[some], y[some], most[some]
-        some = np.array([len(sketch[p]) == len(sketch[q]) == CELLS // 8 or apart(sketch[p], sketch[q]) <= k for p, q, k in zip(x.tolist(), y.tolist(), most.tolist(), strict=True)], bool)
-        x, y = x[some], y[some]
-        turned = rep[x] > rep[y]
-        x, y = np.where(turned, y, x), np.where(turned, x, y)
-        parts.append(np.stack([rep[x], rep[y], n[x], n[y]], axis=1))
-    found = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 4), np.int64)
-    return pd.DataFrame(found, columns=["a", "b", "n", "m"])
-
-
-def _groups(batches, keys: list[str]):
-    """Rows of equal keys together, from batches sorted by the keys."""
+#: Rows of a small block, whose pairs are listed, and pairs that are tested at once.
+SMALL_BLOCK, AT_ONCE = 64, 1 << 19
+_TRIANGLES = [np.triu_indices(k, 1) for k in range(SMALL_BLOCK + 1)]
+
+
+class OpenPairs:
+    """Pairs of rows that share a block of a column, could link and are in different components: (a, b, n, m)."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.percent, self.side = percent, rows["side"].to_numpy()
+        self.rep, self.n, self.component, self.place = (rows[c].to_numpy(np.int64) for c in ("rep", "n", "component", "place"))
+        self.sketch = rows["sketch"].tolist()
+        self.short = np.array([_folded(x) for x in self.sketch], _U).reshape(-1, CELLS // 64)
+        keys = rows[["s", "i", "j"]].to_numpy()
+        self.bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+
+    def candidates(self, last: int):
+        """Index arrays of pairs of the blocks that end by `last`, some at once."""
+        left, right, size = [], [], 0
+        for low, high in zip(self.bounds[:-1], self.bounds[1:], strict=True):
+            if high > last or high - low < 2:
+                continue
+            if high - low <= SMALL_BLOCK and not self.side[low]:
+                x, y = _TRIANGLES[high - low]
+                left.append(low + x)
+                right.append(low + y)
+                size += len(x)
+            else:
+                side = self.side[low:high]
+                ours, theirs = low + np.flatnonzero(side != 2), low + np.flatnonzero(side != 1)
+                step = max(1, AT_ONCE // max(1, len(theirs)))
+                for at in range(0, len(ours), step):
+                    some = ours[at : at + step]
+                    x, y = np.repeat(some, len(theirs)), np.tile(theirs, len(some))
+                    once = (self.side[x] != 0) | (x < y)
+                    yield x[once], y[once]
+            if size > AT_ONCE:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+        if left:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def find(self, last: int) -> pd.DataFrame:
+        n, rep, parts = self.n, self.rep, [np.zeros((0, 4), np.int64)]
+        for x, y in self.candidates(last):
+            some = (100 * np.minimum(n[x], n[y]) >= self.percent * np.maximum(n[x], n[y])) & (self.component[x] != self.component[y])
+            x, y = x[some], y[some]
+            least = -(-self.percent * (n[x] + n[y]) // (100 + self.percent))  # entries that must be shared
+            some = 1 + np.minimum(n[x] - self.place[x], n[y] - self.place[y]) >= least
+            x, y, most = x[some], y[some], (n[x] + n[y] - 2 * least)[some]
+            some = np.bitwise_count(self.short[x] ^ self.short[y]).sum(axis=1) <= most
+            x, y, most = x[some], y[some], most[some]
+            sketch, plain = self.sketch, CELLS // 8
+            some = np.array([len(sketch[p]) == len(sketch[q]) == plain or apart(sketch[p], sketch[q]) <= k for p, q, k in zip(x.tolist(), y.tolist(), most.tolist(), strict=True)], bool)
+            x, y = x[some], y[some]
+            turned = rep[x] > rep[y]
+            x, y = np.where(turned, y, x), np.where(turned, x, y)
+            parts.append(np.stack([rep[x], rep[y], n[x], n[y]], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(parts), axis=0), columns=["a", "b", "n", "m"])
+
+
+def _open_pairs(batches, percent: int):
+    """From rows sorted by column and block; a block may begin in one batch and end in the next."""
     rest = None
     for pdf in batches:
         if rest is not None:
             pdf = pd.concat([rest, pdf], ignore_index=True)
-        own = pdf[keys].to_numpy()
-        cut = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
-        bounds = [0, *cut.tolist()]
-        for k in range(len(bounds) - 1):
-            yield pdf.iloc[bounds[k] : bounds[k + 1]]
-        rest = pdf.iloc[bounds[-1] :]
+        if len(pdf):
+            rows = OpenPairs(pdf, percent)
+            yield rows.find(rows.bounds[-2])
+            rest = pdf.iloc[rows.bounds[-2] :]
     if rest is not None and len(rest):
-        yield rest
+        yield OpenPairs(rest, percent).find(len(rest))
 
 
 def column_blocks(n: int, slice_size: int) -> int:
@@ -359,8 +391,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j"), F.when(part == k, 0).when(part < k, 1).otherwise(2).alias("side")))
     rows = rows.withColumn("meet", F.explode(meets)).select("s", "meet.i", "meet.j", "meet.side", "rep", "n", "place", "component", "sketch")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s", "i", "j").sortWithinPartitions("s", "i", "j")
-    find = lambda it: (open_pairs(block, percent) for block in _groups(it, ["s", "i", "j"]))
-    more = materialize(dealt.mapInPandas(find, "a long, b long, n long, m long").distinct(), "pairs")
+    more = materialize(dealt.mapInPandas(lambda it: _open_pairs(it, percent), "a long, b long, n long, m long").distinct(), "pairs")
     if not more.isEmpty():
         late = shared_counts(more, d, percent, width, slice_size)
         if not late.isEmpty():
