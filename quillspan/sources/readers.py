@@ -11,8 +11,23 @@ from pyspark.sql import functions as F
 from quillspan.operators.acquisition import MANIFEST_COLUMNS, RESULT_COLUMNS, check_manifest, check_results, clean_rows
 
 
+#: Tables whose rows cost far more to work on than to move.
+HEAVY = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in HEAVY else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that leaves cores idle is dealt out to all of them.
+
+    Files of one row group are one task however they are split, so a scan of fewer than
+    two splits a core is taken for such a one; larger scans stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
