@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import materialize, text_blocks
 
 #: Bounds of the training sample and the model.
 DOCS_PER_LANG, TOP, SIZES, K = 2000, 4000, (2, 3, 4), 3
@@ -138,7 +138,8 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, top: int = TOP) -
     """Fit the filters on (doc_id, text, lang) rows; bounded by docs_per_lang and top for each language."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     share = F.lit(float(docs_per_lang)) / F.col("n_docs")
-    per_lang = rows.groupBy(F.col("lang").alias("lang_")).agg(F.count("*").alias("n_docs"))
+    # written, so that Spark knows how small it is and no text is dealt out by language
+    per_lang = materialize(rows.groupBy(F.col("lang").alias("lang_")).agg(F.count("*").alias("n_docs")), "languages")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.join(per_lang, F.col("lang") == F.col("lang_")).filter(unit < share).select("lang", "text")
 
