@@ -36,13 +36,14 @@ MANIFEST = ("bundle_version", "witness_key", "doc_hash", "merkle_root", "segment
 def bundle_files(built: DataFrame, key: str = "witness_key") -> DataFrame:
     """folder, name, content: every file of every bundle as a row."""
 
-    @F.pandas_udf("array<struct<name:string,content:string>>")
-    def files(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([[{"name": n, "content": c} for n, c in _files_of(r).items()] for r in rows.to_dict("records")])
+    def files(batches):
+        for pdf in batches:
+            rows = [(r["folder"], name, content) for r in pdf.to_dict("records") for name, content in _files_of(r).items()]
+            yield pd.DataFrame(rows, columns=["folder", "name", "content"])
 
     optional = [F.col(c) if c in built.columns else F.lit(None).cast(t).alias(c) for c, t in (("raw", "string"), ("semantic_events", "array<string>"))]
-    parts = F.struct(*MANIFEST, "source_json", "normalized", F.to_json("segments").alias("segments"), *optional)
-    return built.select(F.col(key).alias("folder"), F.explode(files(parts)).alias("f")).select("folder", "f.name", "f.content")
+    parts = built.select(F.col(key).alias("folder"), *MANIFEST, "source_json", "normalized", F.to_json("segments").alias("segments"), *optional)
+    return parts.mapInPandas(files, "folder string, name string, content string")
 
 
 def _files_of(r: dict) -> dict[str, str]:

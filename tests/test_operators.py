@@ -301,3 +301,68 @@ def test_queries_match_their_sql(spark):
         assert sorted(p.columns) == sorted(r.columns), name
         rows = lambda d, c=sorted(p.columns): sorted((tuple(plain(v) for v in x) for x in d[c].astype(object).values.tolist()), key=repr)
         assert [[str(v).removesuffix(".0") for v in x] for x in rows(p)] == [[str(v).removesuffix(".0") for v in x] for x in rows(r)], name
+
+
+def test_searches_through_the_index_agree_with_the_scans(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)] + [(90, ""), (91, None)]
+    segs = corpus.document_segments(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id")
+    posts = corpus.postings(segs, "doc_id", "ordinal")
+    asked = spark.createDataFrame([(k, " ".join(docs[k][1].split()[3:6])) for k in range(10)] + [(50, "nothing like it here"), (51, "")], "q long, text string")
+    place = ("doc_id", "ordinal")
+    for rarest in (1, 3, 100):
+        assert sorted(map(tuple, search.phrase_by_index(segs, posts, asked, "q", rarest=rarest, place=place).collect())) == sorted(map(tuple, search.search_phrase(segs, asked, "q", place=place).collect()))
+    assert sorted(map(tuple, search.fuzzy_by_index(posts, asked, "q", place=place).collect())) == sorted(map(tuple, search.search_fuzzy(segs, asked, "q", place=place).select("q", *place, "score").collect()))
+
+
+def test_alignment_has_the_best_score(spark):
+    """The path's score is the best there is, by plain recursion."""
+    import functools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randrange(0, 6), rng.randrange(0, 6)
+        gains = [{j: rng.choice([0.2, 0.5, 1.0]) for j in range(m) if rng.random() < 0.4} for _ in range(n)]
+
+        @functools.cache
+        def best(i, j, gains=gains):
+            ways = []
+            if i and j:
+                ways.append(best(i - 1, j - 1) + gains[i - 1].get(j - 1, -0.05))
+            ways += [best(i - 1, j) - 0.05] if i else []
+            ways += [best(i, j - 1) - 0.05] if j else []
+            return max(ways, default=0.0)
+
+        path = compare.best_path(gains, m, 0.05)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(path, path[1:]))
+        assert abs(sum(gains[i].get(j, -0.05) for i, j in path) - 0.05 * (n + m - 2 * len(path)) - best(n, m)) < 1e-9
+
+
+def test_cycles_and_checked_events_and_typed_slots(spark):
+    edges = spark.createDataFrame([(a, b, "E", 1.0) for a, b in [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "a"), ("s", "s")]], "src string, dst string, edge_type string, confidence double")
+    assert {tuple(r) for r in graph.cyclic_part(edges).select("src", "dst").collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("s", "s")}
+    assert graph.cyclic_part(edges.filter("src in ('d', 'x')")).isEmpty()
+    schema = "witness_id string, semantic_version string, ordinal int, predicate string, actor string, patient string, segment_id string, tags array<string>, payload string, state_before string, state_after string"
+    rows = [("w1", "v1", 0, "P", None, None, None, None, '{"n": 1, "s": "x", "o": {"b": 1, "a": 2}}', None, None), ("w2", "v1", 0, "P", None, None, None, None, '{"n": "1", "s": "x", "o": {"a": 2, "b": 1}, "z": null}', None, None)]
+    e = spark.createDataFrame(rows, schema)
+    witnesses, versions = spark.createDataFrame([("w1",), ("w2",)], "witness_id string"), spark.createDataFrame([("v1",)], "semantic_version string")
+    log = events.add_checked(e, witnesses, versions)
+    assert [(r["slot"], r["left_value"], r["right_value"]) for r in events.slot_mutations(log, spark.createDataFrame([("w1", "w2")], "left string, right string")).collect()] == [("n", "1", "1")]
+    with pytest.raises(ValueError, match="unknown witness_id: w2"):
+        events.add_checked(e, witnesses.limit(1), versions)
+
+
+def test_bundles_with_events(spark, tmp_path):
+    import json
+
+    docs = spark.createDataFrame([("A text.", '{"t": 1}', ['{"predicate": "P", "ordinal": 0}']), ("Other.", "{}", None)], "text string, source_json string, ev array<string>")
+    writers.bundles(bundle.build_bundles(docs, events="ev", include_raw=True), f"{tmp_path}/b")
+    found = sorted((tmp_path / "b").iterdir(), key=lambda p: (p / "normalized.txt").read_text())
+    assert [(p / "semantic-events.jsonl").exists() for p in found] == [True, False]
+    assert (found[0] / "semantic-events.jsonl").read_text() == '{"ordinal":0,"predicate":"P"}\n' and (found[0] / "raw.txt").read_text() == "A text."
+    manifest = json.loads((found[0] / "manifest.json").read_text())
+    assert manifest["artifacts"]["semantic_events"] == "semantic-events.jsonl" and manifest["semantic_events_included"] and manifest["segment_count"] == 1
