@@ -111,6 +111,13 @@ SELECT doc_id, l[1] AS merkle_root FROM m WHERE len(l) = 1""",
         "gram_df": f"WITH {_SEG}, g AS ({_grams('seg', 'doc_id, ordinal')}) SELECT gram, count(*) AS segments FROM g GROUP BY gram",
         "exact_segment_dups": f"WITH {_SEG} SELECT sha256(text) AS segment_hash, count(*) AS copies FROM seg GROUP BY 1 HAVING count(*) > 1",
         "exact_segment_lookup": f"WITH {_SEG}, h AS (SELECT *, sha256(text) AS segment_hash FROM seg) SELECT doc_id, ordinal, segment_hash, 1.0::DOUBLE AS score FROM h WHERE segment_hash IN (SELECT segment_hash FROM h WHERE ordinal = 0)",
+        "file_scan": "SELECT 'n' || n_nationkey AS folder, sha256('# ' || n_name || chr(10) || chr(10) || 'FACT: ' || n_name) AS text_hash FROM nation WHERE n_nationkey % 3 <> 0",
+        "bundle_read": "SELECT sha256(n_name || ' region ' || n_regionkey) AS doc_hash, true AS ok, 2::BIGINT AS segment_count, true AS semantic_events_included, n_nationkey::VARCHAR AS nation FROM nation",
+        "manifest_read": """WITH j AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'FETCH_NOT_RUN_OR_RESULT_MISSING' WHEN c_custkey % 2 = 1 THEN 'ACQUIRED_VERIFIED_BY_BRIDGE' ELSE 'SOURCE_KIND_MISMATCH' END AS acquisition_status FROM customer)
+SELECT acquisition_status, count(*) AS records, sum(CASE WHEN acquisition_status = 'ACQUIRED_VERIFIED_BY_BRIDGE' THEN c_custkey END)::BIGINT AS bytes FROM j GROUP BY 1""",
+        "segments_read": "SELECT turn::INT AS ordinal, count(*) AS segments, count(text) AS intact FROM conversations GROUP BY 1",
+        "unknown_edge_types": f"WITH {_EDGES} SELECT 'HAS' AS edge_type, count(*) AS edges FROM edges",
+        "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS \"rows\" FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "witness_lookup": f"WITH {_WITNESS} SELECT witness_id, w.doc_hash, lang, source FROM w JOIN documents USING (doc_id) WHERE doc_id = 0",
         "phrase_by_index": _PHRASE.replace("{needle}", _canon(_norm("text"))),
         "fuzzy_by_index": fuzzy,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from quillspan.functions.fingerprint import fingerprint_values
 from quillspan.functions.fingerprint import winnow_fingerprints as winnow_fingerprints_of
 from quillspan.operators import acquisition, bundle, compare, corpus, events, exports, graph, legacy, provenance, search
 from quillspan.plans import jobs
-from quillspan.sources import writers
+from quillspan.sources import readers, writers
 from quillspan.sources.readers import table
 from quillspan.streaming.ingest import windowed_counts
 
@@ -445,12 +448,73 @@ def listed_targets(spark, sf_dir):
     return acquisition.pending_files(acquisition.listed_files(p, [".pdf"]), p.filter("page_id % 2 = 0")).select("page_id", "path", "size")
 
 
+def _folder(spark, name):
+    """A new path in the folder that all executors share; on local mode without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="quillspan-files-")
+    return f"{base.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_scan(spark, sf_dir):
+    """Nations as text files, written and scanned; other endings are left out."""
+    n, path = table(spark, sf_dir, "nation"), _folder(spark, "files")
+    name = F.when(F.col("n_nationkey") % 3 == 0, "a.pdf").when(F.col("n_nationkey") % 3 == 1, "b.MD").otherwise("c.txt")
+    files = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder"), name.alias("name"), F.concat(F.lit("# "), "n_name", F.lit("\n\nFACT: "), "n_name").alias("content"))
+    writers.write_files(files, path)
+    found = readers.text_files(spark, f"file://{path}")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.sha2("text", 256).alias("text_hash"))
+
+
+def bundle_read(spark, sf_dir):
+    """Bundles of nations, written, found by their manifests, read and checked."""
+    n, path = table(spark, sf_dir, "nation"), _folder(spark, "bundles")
+    key = F.col("n_nationkey").cast("string")
+    d = n.select(F.concat("n_name", F.lit("\n\n region  "), F.col("n_regionkey").cast("string")).alias("text"), F.to_json(F.struct(key.alias("nation"))).alias("source_json"), F.array(F.to_json(F.struct(key.alias("seen")))).alias("ev"))
+    writers.bundles(bundle.build_bundles(d, events="ev"), path)
+    checked = bundle.verify_bundles(readers.bundles(spark, f"file://{path}"))
+    return checked.select("doc_hash", "ok", F.col("segment_count").cast("long").alias("segment_count"), "semantic_events_included", F.get_json_object("source_json", "$.nation").alias("nation"))
+
+
+def manifest_read(spark, sf_dir):
+    """Customers as a manifest and results in tab-separated files, read and joined."""
+    c, m, r = table(spark, sf_dir, "customer"), _folder(spark, "manifest"), _folder(spark, "results")
+    key = F.col("c_custkey").cast("string")
+    manifest = c.select(F.concat(F.lit(" "), key).alias("source_id"), F.concat(F.lit("u"), key).alias("url"), F.concat(key, F.lit(".pdf")).alias("filename"), F.when(F.col("c_custkey") % 2 == 0, "TEXT").otherwise("PDF").alias("expected_kind"))
+    results = c.filter("c_custkey % 3 <> 0").select(key.alias("source_id"), F.lit("OK_PDF").alias("status"), F.concat(key, F.lit(".pdf")).alias("filename"), key.alias("size_bytes"), F.sha2(key, 256).alias("sha256"), F.concat(F.lit("u"), key).alias("source_url"))
+    manifest.write.csv(f"file://{m}", sep="\t", header=True)
+    results.write.csv(f"file://{r}", sep="\t", header=True)
+    found = acquisition.join_records(readers.archive_manifest(spark, f"file://{m}"), readers.archive_results(spark, f"file://{r}"))
+    return found.groupBy("acquisition_status").agg(F.count("*").alias("records"), F.sum("source_size_bytes").cast("long").alias("bytes"))
+
+
+def segments_read(spark, sf_dir):
+    """Segments of conversations as lines of JSON, written and read."""
+    path = _folder(spark, "segments")
+    t = table(spark, sf_dir, "conversations").select(F.col("turn").cast("int").alias("ordinal"), F.sha2("text", 256).alias("segment_hash"), "text")
+    writers.jsonl(t, f"file://{path}")
+    s = readers.segments_jsonl(spark, f"file://{path}")
+    return s.groupBy("ordinal").agg(F.count("*").alias("segments"), F.count_if(F.sha2("text", 256) == F.col("segment_hash")).alias("intact"))
+
+
+def unknown_edge_types(spark, sf_dir):
+    return graph.unknown_edge_types(_place_edges(spark, sf_dir))
+
+
+def repeated_texts(spark, sf_dir):
+    """Texts that more than one document has: what a unique key over them would refuse."""
+    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"))
+    return corpus.uniqueness_violations(d.filter("text_hash is not null"), "text_hash")
+
+
 QUERIES = [
     normalize_canonical, segments, witness_ids, segment_ids, merkle_roots, qgram_postings, gram_df, exact_segment_dups, exact_segment_lookup,
     phrase_search, phrase_short, fuzzy_search, dictionary_scan, dictionary_positions, winnow_fingerprints, fingerprint_stats, fingerprint_candidates,
     compare_witnesses, segment_alignment, event_log, event_filter, next_event_edges, semantic_diff, slot_mutation, bfs_depth, dfs_preorder, version_tree,
     witness_lookup, phrase_by_index, fuzzy_by_index, winnow_positions, semantic_versions, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
-    event_rows, slot_types, fixture_ingest, fixture_pairs, legacy_records, legacy_index, legacy_counts, audited_resolutions, bundle_ingest, bundle_artifacts, source_stubs, listed_targets,
+    event_rows, slot_types, fixture_ingest, fixture_pairs, legacy_records, legacy_index, legacy_counts, audited_resolutions, bundle_ingest, bundle_artifacts, source_stubs, listed_targets, file_scan, bundle_read, manifest_read, segments_read, unknown_edge_types, repeated_texts,
     multi_predicate, earliest_attestation, event_windows, legacy_blocks, block_labels, block_terms, review_queue, archive_join, archive_summary, provenance_alerts, bundle_verify,
 ]
 

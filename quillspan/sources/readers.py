@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan that leaves cores idle is dealt out to all of them.
 
-    Files of one row group are one task however they are split, so a scan of fewer than
-    two splits a core is taken for such a one; larger scans stay as they are.
+    Files of one row group are one task however they are split, so a scan of fewer
+    splits than cores is taken for such a one; larger scans stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
