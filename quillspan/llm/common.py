@@ -22,9 +22,9 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer than two splits a core (a file of one row group is one task) is dealt out to all cores."""
+    """A table; one of fewer splits than cores (a file of one row group is one task) is dealt out to all cores."""
     found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if found.rdd.getNumPartitions() < 2 * cores else found
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def shared_dir(spark: SparkSession) -> str:

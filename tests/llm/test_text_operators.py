@@ -74,6 +74,38 @@ def test_bands_look_at_the_last_partial_chunk():
     assert bands.chunks(0) == [] and bands.chunks(4100) == [(0, 4100)] and bands.chunks(8192 + 64) == [(0, 4096), (4096, 8192), (8192, 8256)]
 
 
+def test_verdicts_of_bands_against_plain_compression(spark):
+    """kept, told again from the limits: the whole text, then its chunks one by one."""
+    import random
+
+    import zstandard
+
+    rng = random.Random(21)
+    z, bands = zstandard.ZstdCompressor(level=3), compression_rules.Bands()
+    words = ["".join(rng.choice("aeioubcdfglmnprstv") for _ in range(rng.randrange(2, 9))) for _ in range(2500)]
+    prose = lambda n: " ".join(words[int(2500 * rng.random() ** 2)] for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(rng.randrange(33, 126)) for _ in range(10)) for _ in range(n))
+    texts = [f(n) for n in (60, 300, 700, 2000) for f in (prose, noise)] + [prose(400) + " " + noise(k) for k in (20, 80, 200, 700)] + [" ".join([prose(30)] * k) for k in (2, 4, 40)] + [prose(700) + " " + "same words again " * 300, "", None]
+    got = {r["doc_id"]: r for r in compression_rules.quality_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def limit(table, n):
+        size = min(max(n.bit_length() - 1, table[0][0]), table[-1][0])
+        return next(v for k, v in table if k == size)
+
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        cuts = list(range(0, len(raw), 4096)) + [len(raw)]
+        if len(cuts) > 2 and cuts[-1] - cuts[-2] < 64:
+            del cuts[-2]
+        bad = 0
+        for a, b in zip(cuts, cuts[1:]):
+            low, high = (1.4, 2.6) if b - a >= 4096 else (limit(bands.lowest, b - a), limit(bands.highest, b - a))
+            bad += 0 if low <= (b - a) / len(z.compress(raw[a:b])) <= high else b - a
+        good = bool(raw) and limit(bands.lowest, len(raw)) <= len(raw) / len(z.compress(raw)) <= limit(bands.highest, len(raw)) and bad <= 0.25 * len(raw)
+        assert got[k]["kept"] == (good and not got[k]["base_failed"])
+    assert {r["kept"] for r in got.values()} == {True, False}
+
+
 def test_mixing(messy, empty):
     out = mixing.pareto_mix(messy).toPandas()
     assert len(out) == messy.count()
