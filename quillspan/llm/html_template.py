@@ -3,17 +3,21 @@
 Tokens of a page are its element paths (tags with their first class) and its text
 blocks. Over all pages of a host, tokens with the same occurrence vector (how often in
 which page) form an equivalence class; a class is valid if it stands in at least half
-of the host's pages and in two or more. Valid classes, in the order of their positions
-and nested by their paths, are the host's template. What the template leaves open are
-slots: text that lies directly in a container. Inside an article or main element, or on
+of the host's pages and in two or more. Valid classes, numbered in the order of their
+positions, are the host's template; a class is nested in the class of the nearest container
+around its first token that is not of the class itself (-1: in none). What the template
+leaves open are slots: text that lies directly in a container. Inside an article or main element, or on
 pages without one everywhere, slots of any size are kept; fixed text, named boilerplate
 and, outside these elements, link lists are not. A container is a link list if it has two
 links or more and links hold `LIST_SHARE` of its letters, in the mean over the pages of a
 template, or on the page itself where its host has none.
 
 Inside an article or main element a text is fixed if it lies in a container nested in
-that element and shares a valid class with a container: it stands exactly where a part
-of the template stands. Text directly in the article element itself always stays.
+that element and is of one class with a container around it: it stands exactly as often as
+that part of the template, on every page. A text whose class is nested in those of all the
+containers around it is what fills a slot, whichever other parts of the template it meets
+by chance. Where pages hold a text at several places, the containers around all of them
+count. Text directly in the article element itself always stays.
 
 The vectors are never gathered: a vector is the sum of hash(page, count) over pages, so
 hosts of any size are summed with map-side combine. Whether the pages of a text differ
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -196,6 +201,7 @@ def _tokens(host: str, page_id, page: str | None) -> Iterator[tuple]:
     paths, blocks = parse(page)
     content = int(_hash("\n".join(b.text for b in blocks if not b.chrome)), 16) % CONTENTS
     seen: dict[str, list] = {}
+    places: dict[str, list[str]] = {}
     for at, p in enumerate(paths):
         seen.setdefault(p, [0, at, 0, 0, 0])[0] += 1
     for b in blocks:
@@ -206,8 +212,10 @@ def _tokens(host: str, page_id, page: str | None) -> Iterator[tuple]:
         key = None if b.chrome else _fixed_key(b)
         if key:
             seen.setdefault("=" + key, [0, len(paths), 0, 0, 0])[0] += 1
+            places.setdefault("=" + key, []).append(b.path)
     for token, (n, at, letters, link, links) in seen.items():
-        yield host, page_id, token, n, at, letters, link, links, content
+        own = places.get(token, [token])
+        yield host, page_id, token, n, at, letters, link, links, content, min(own), max(own)
 
 
 def host_of(url) -> F.Column:
@@ -215,15 +223,15 @@ def host_of(url) -> F.Column:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """host, template: array of (token, class_id, letters, link, links) in page order."""
+    """host, template: array of (token, class_id, parent_id, fixed, letters, link, links), class after class in page order."""
 
     def scan(batches):
-        names = ["host", "page", "token", "n", "at", "letters", "link", "links", "content"]
+        names = ["host", "page", "token", "n", "at", "letters", "link", "links", "content", "low", "high"]
         for pdf in batches:
             yield pd.DataFrame([t for row in zip(pdf["host"], pdf["page"], pdf["html"], strict=True) for t in _tokens(*row)], columns=names)
 
     own = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
-    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, letters long, link long, links long, content long")
+    rows = own.mapInPandas(scan, "host string, page long, token string, n int, at int, letters long, link long, links long, content long, low string, high string")
     tokens = rows.groupBy("host", "token").agg(
         F.expr("sum(cast(xxhash64(page, n) as decimal(20,0)))").alias("vector"),
         F.count("*").alias("support"),
@@ -235,6 +243,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.avg("letters").alias("letters"),
         F.avg("link").alias("link"),
         F.avg("links").alias("links"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
     n = own.groupBy("host").agg(F.count("*").alias("pages"))
     valid = tokens.filter(F.col("support") >= 2).join(n, "host").filter(2 * F.col("support") >= F.col("pages"))
@@ -242,11 +252,37 @@ def host_templates(pages: DataFrame) -> DataFrame:
     third = F.col("sum_2") - (F.col("a") + F.col("b")) * F.col("sum_1") + F.col("a") * F.col("b") * F.col("support") != 0
     valid = valid.filter(~text | third)
     # tokens with one vector are one class; classes are numbered by where they begin
-    own_class = Window.partitionBy("host", "vector")
-    classes = valid.withColumn("class_at", F.min("at").over(own_class)).withColumn("built", F.max(~text).over(own_class))
-    classes = classes.filter(~F.col("token").startswith("=m") | F.col("built"))
-    made = F.sort_array(F.collect_list(F.struct("class_at", "at", "token", "letters", "link", "links")))
-    return classes.groupBy("host").agg(F.transform(made, lambda x: F.struct(x["token"].alias("token"), x["class_at"].alias("class_id"), x["letters"].alias("letters"), x["link"].alias("link"), x["links"].alias("links"))).alias("template"))
+    classes = valid.withColumn("class_at", F.min("at").over(Window.partitionBy("host", "vector")))
+    made = F.sort_array(F.collect_list(F.struct("class_at", "vector", "at", "token", "letters", "link", "links", "low", "high")))
+    found = classes.groupBy("host").agg(made.alias("tokens"))
+
+    @F.pandas_udf("array<struct<token:string,class_id:int,parent_id:int,fixed:boolean,letters:double,link:double,links:double>>")
+    def nest(tokens: pd.Series) -> pd.Series:
+        return pd.Series([nested(t) for t in tokens], dtype=object)
+
+    return found.select("host", nest("tokens").alias("template"))
+
+
+def ancestors(low: str, high: str) -> list[str]:
+    """The containers around every path from low to high (in code point order), innermost first; a path is one of its own."""
+    common = os.path.commonprefix([low + "/", high + "/"])
+    parts = common[: common.rfind("/") + 1].split("/")[1:-1]
+    return ["/" + "/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+
+
+def nested(tokens) -> list[dict]:
+    """The template of one host, from its tokens in the order of their classes: each with its class, the class around it and whether it is fixed."""
+    numbers: dict = {}
+    own = {t["token"]: numbers.setdefault(t["vector"], len(numbers)) for t in tokens}
+    parents: dict[int, int] = {}
+    out = []
+    for t in tokens:
+        token, mine = t["token"], own[t["token"]]
+        around = [own.get(p, -1) for p in ancestors(t["low"], t["high"]) if p != token]
+        parents.setdefault(mine, next((c for c in around if c not in (mine, -1)), -1))
+        fixed = token.startswith("=") and (not token.startswith("=m") or mine in around)
+        out.append({"token": token, "class_id": mine, "parent_id": parents[mine], "fixed": fixed, **{k: t[k] for k in ("letters", "link", "links")}})
+    return out
 
 
 def _is_list(letters: float, link: float, links: float) -> bool:
@@ -256,7 +292,7 @@ def _is_list(letters: float, link: float, links: float) -> bool:
 def content_slots(template) -> tuple[dict[str, bool], set[str]]:
     """Of a host's template: its containers, with whether their slots are open, and the fixed texts."""
     slots = {t["token"]: not _is_list(t["letters"], t["link"], t["links"]) for t in template if not t["token"].startswith("=")}
-    return slots, {t["token"][1:] for t in template if t["token"].startswith("=")}
+    return slots, {t["token"][1:] for t in template if t["fixed"]}
 
 
 def own_slots(blocks: list[Block]) -> dict[str, bool]:

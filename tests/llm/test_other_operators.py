@@ -137,7 +137,8 @@ def test_html_classes_against_occurrence_vectors(spark):
         parts = [f"<div class=c{rng.randrange(3)}>{rng.choice(['same', 'other', f'own {k}'])}</div>" for _ in range(rng.randrange(2, 7))]
         pages.append(f"<body><table><tr><td>{k}</td></tr></table>{''.join(parts)}<div class=foot-line>fixed words</div></body>")
     rows = [(k, f"http://v.example/{k}", p) for k, p in enumerate(pages)]
-    got = {t["token"]: t["class_id"] for r in html_template.host_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() for t in r["template"]}
+    template = [t for r in html_template.host_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() for t in r["template"]]
+    got = {t["token"]: t["class_id"] for t in template}
     vectors, texts = defaultdict(lambda: [0] * 9), defaultdict(set)
     for k, p in enumerate(pages):
         paths, blocks = html_template.parse(p)
@@ -154,7 +155,42 @@ def test_html_classes_against_occurrence_vectors(spark):
     assert set(got) == valid
     for a in valid:
         for b in valid:
-            assert vectors[a] != vectors[b] or got[a] == got[b]
+            assert (vectors[a] == vectors[b]) == (got[a] == got[b])
+    # a class is nested in the class of the nearest container around its first token that is of another one
+    first = {}
+    for t in template:
+        first.setdefault(t["class_id"], t)
+    for n, t in first.items():
+        if not t["token"].startswith("="):
+            steps = t["token"].split("/")
+            around = [got["/".join(steps[:k])] for k in range(len(steps) - 1, 1, -1)]
+            assert t["parent_id"] == next((c for c in around if c != n), -1)
+
+
+def test_html_classes_nest_by_the_containers_around_them(spark):
+    """A passage fills a slot, though it meets another optional part of the template on the same pages."""
+    page = "<html><body>{2}<article><h1>Title {0}</h1><div class=x1>{1}</div><div class=x2>Printed by us</div></article></body></html>"
+    extra = "<section class=box><b>{0} box</b></section>"
+    passage = "Shared passage of several documents"
+    rows = [(k, f"http://n.example/{k}", page.replace("{1}", passage if k < 5 else f"Own {k}").replace("{2}", extra if k < 5 else "").replace("{0}", str(k))) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    template = {t["token"]: t for t in html_template.host_templates(df).first()["template"]}
+    key = lambda text, path: "=" + html_template._fixed_key(html_template.Block(text, path, True, False, 0, 0))
+    root, box = template["/html"]["class_id"], template["/html/body/section.box"]
+    shared, printed = template[key(passage, "/html/body/article/div.x1")], template[key("Printed by us", "/html/body/article/div.x2")]
+    assert template["/html"]["parent_id"] == -1 and box["parent_id"] == root
+    assert shared["class_id"] == box["class_id"] != root and not shared["fixed"]
+    assert printed["class_id"] == root and printed["fixed"]
+    by = {r["page_id"]: r["text"] for r in html_template.extract(df).collect()}
+    for k in range(8):
+        kept = f"Title {k}\n\n{passage if k < 5 else f'Own {k}'}"
+        assert by[k] == kept, by[k]
+
+
+def test_html_ancestors():
+    assert html_template.ancestors("/a/b/c", "/a/b/c") == ["/a/b/c", "/a/b", "/a"]
+    assert html_template.ancestors("/a/b", "/a/bc/d") == ["/a"] and html_template.ancestors("/a/b", "/a/b/c") == ["/a/b", "/a"]
+    assert html_template.ancestors("", "") == html_template.ancestors("/a", "/b") == []
 
 
 def test_html_slots_of_any_size_stay(spark):
