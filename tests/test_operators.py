@@ -132,6 +132,9 @@ def test_graph(spark):
     assert walk(g, "a", "T") == ["a", "b", "c", "d", "e", "f"]
     assert walk(edges(("a", "c"), ("a", "b"), ("b", "c"), ("c", "d")), "a") == ["a", "b", "c", "d"]
     assert walk(g, "nowhere") == ["nowhere"]
+    fan = edges(*[("r", f"n{k:02}") for k in range(40)], *[(f"n{k:02}", f"n{k:02}x") for k in range(40)])
+    assert walk(fan, "r") == ["r", *[n for k in range(40) for n in (f"n{k:02}", f"n{k:02}x")]]
+    assert [r["position"] for r in graph.dfs_preorder(fan, "r").orderBy("position").collect()] == list(range(81))
     old = g.withColumns({"confidence": F.lit(1.0), "provenance_json": F.lit("{}")})
     new = spark.createDataFrame([("a", "b", "T", 0.5, None, 1), ("q", "r", "T", None, None, 1)], "src string, dst string, edge_type string, confidence double, provenance_json string, seq int")
     put = {(r["src"], r["dst"]): r["confidence"] for r in graph.put_edges(old, new, "seq").collect()}
