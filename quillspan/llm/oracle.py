@@ -78,5 +78,41 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
   sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE kept || substr(h, (2 * stop + 1)::BIGINT) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
 
 
+#: Places of matches: the lengths of the matches and of the pieces between them.
+_OP11_RULE = """SELECT doc_id, uid, {order} AS k, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, {group} AS long, b FROM (SELECT doc_id, uid, regexp_extract_all(t, $re${pattern}$re$) AS m, {groups} AS g, regexp_split_to_array(t, $re${pattern}$re$) AS b FROM d)"""
+
+
+def _op11() -> str:
+    from .secret_scan import BASE_KINDS, RULES
+
+    rules = " UNION ALL ".join(
+        _OP11_RULE.format(order=k, kind=r.kind, pattern=r.pattern, groups=f"regexp_extract_all(t, $re${r.pattern}$re$, {r.group})", group="list_transform(g, lambda x: length(x))") for k, r in enumerate(RULES)
+    )
+    least = "[" + ", ".join(str(r.least) for r in RULES) + "]"
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    name = "kind || ':' || start || ':' || stop"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS uid, coalesce(text, '') AS t FROM documents),
+r AS ({rules}),
+p AS (SELECT doc_id, uid, k, kind, list_sum(list_transform(b[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start, length(m[i]) AS n FROM r WHERE long[i] >= ({least})[k + 1]),
+s AS (SELECT *, start + n AS stop FROM p),
+o AS (SELECT uid, {counts}, string_agg({name}, ',' ORDER BY start, k) FILTER (kind IN ({base})) AS base, string_agg({name}, ',' ORDER BY start, k) AS spans FROM s GROUP BY uid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (uid)"""
+
+
+_P = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * v)::HUGEINT"
+OP12 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+x AS MATERIALIZED (SELECT uid, lang, source, term, count(*) AS n FROM (SELECT uid, lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM x GROUP BY ALL HAVING count(*) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, sum(x.n)::BIGINT AS n FROM x JOIN k USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT a.lang, a.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total, coalesce(sum(c.n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN l USING (lang) LEFT JOIN c ON c.lang = a.lang AND c.source = a.source GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, ({_P.format(n="coalesce(c.n, 0)", total="g.total")})::BIGINT AS p, ({_P.format(n="k.n", total="g.lang_total")})::BIGINT AS q, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_dedup": OP9}
+    return {"op2_mixing": OP2, "op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_suffix_dedup": OP9, "op11_secret_scan": _op11(), "op12_source_divergence": OP12}

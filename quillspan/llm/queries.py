@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_rules, embedding_join, html_template, language_id, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup
+from . import compression_rules, embedding_join, html_template, language_id, license_scan, line_dedup, mixing, ngram_join, packing, periodic_runs, secret_scan, source_divergence, suffix_dedup
 from .common import table
 from .oracle import oracle_sql as oracle_sql
 
@@ -66,6 +66,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.quality_table(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -78,4 +93,7 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_periodic_runs": op13_periodic_runs,
     }
