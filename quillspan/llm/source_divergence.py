@@ -39,6 +39,7 @@ from .common import materialize, trimmed
 LEAST_DOCS, TOP, PRIOR = 10, 10, 2
 #: Terms of a chunk, sources of a block, chunks of a span, terms held by a counting task.
 CHUNK, BLOCK, SPAN, HELD = 4096, 64, 4, 400_000
+SALTS = 64
 
 #: Bytes of terms: A-Z become a-z; letters and all bytes from 0x80 stay, everything else parts terms.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -163,7 +164,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, ch
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     sizes = langs.join(sizes, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
     sizes = sizes.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("v") / chunk)).cast("int"))
-    place = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
+    # a language's terms meet its sizes in SALTS tasks, not in one
+    salted = sizes.select("lang", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    place = kept.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(salted, ["lang", "salt"])
+    place = place.withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
     place = place.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     place = materialize(place.select("lang", "term", "lang_n", "chunk", "at"), "places")
 
