@@ -18,6 +18,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch while a table is written.
 ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_temporary: dict[str, str] = {}  # by application: folders of local sessions without a shared one
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -37,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        found = _temporary.setdefault(application, "") or "file://" + tempfile.mkdtemp(prefix="quillspan-")
+        _temporary[application] = found
     return found.rstrip("/")
 
 
