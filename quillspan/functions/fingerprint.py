@@ -44,6 +44,17 @@ def winnow(hashes: np.ndarray, window: int = 8) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])]
 
 
+def window_minima(hashes: np.ndarray, window: int = 8) -> np.ndarray:
+    """The distinct values that winnow selects, sorted: minima of all windows, by doubling."""
+    if window <= 0:
+        raise ValueError("window must be positive")
+    least, size = hashes, 1
+    while size < min(window, len(hashes)):
+        step = min(size, min(window, len(hashes)) - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    return np.unique(least)
+
+
 def winnow_fingerprints(canonical, k: int = 12, window: int = 8, hash_name: str = "blake2b64") -> Column:
     """array<struct<position, value>>; values as 16 hex digits, which sort as the unsigned number does."""
 
@@ -66,7 +77,7 @@ def fingerprint_values(canonical, k: int = 12, window: int = 8, hash_name: str =
         out = []
         for t in texts:
             h = rolling_hashes(t or "", k, hash_name)
-            out.append([f"{v:016x}" for v in np.unique(h[winnow(h, window)]).tolist()])
+            out.append([f"{v:016x}" for v in window_minima(h, window).tolist()])
         return pd.Series(out)
 
     return values(canonical)

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 # White space as Unicode has it, line ends as str.splitlines has them, and the
 # characters that the canonical form keeps (digits, ASCII letters, CJK, Kana, Hangul).
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space that is not one plain blank: a run that begins with another sign, or with a blank and goes on.
+_RUN = rf"[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _KEPT = r"0-9A-Za-z\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
 #: Signs below U+0300, where no combining marks are, that NFKC does not change.
 _PLAIN = r"\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{2af}"
+_ASCII_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _KEPT_IN_METADATA = r"0-9a-z\x{3400}-\x{9fff}"
 
 
@@ -39,8 +42,9 @@ def _each(c, function) -> Column:
 
 
 def is_plain(c) -> Column:
-    """Whether a text holds only signs that NFKC leaves as they are, wherever they stand."""
-    return _column(c).rlike(rf"\A[{_PLAIN}]*\z")
+    """Whether a text holds only signs that NFKC leaves as they are, wherever they stand; a text of one byte a sign is told by its length."""
+    c = _column(c)
+    return (F.octet_length(c) == F.char_length(c)) | ~c.rlike(f"[^{_PLAIN}]")
 
 
 def nfkc(c) -> Column:
@@ -51,8 +55,8 @@ def nfkc(c) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{_SPACE}]+", " "))
+    """Runs of white space as one blank, none at the ends. Single blanks are not touched."""
+    return F.trim(F.regexp_replace(c, _RUN, " "))
 
 
 def fenced(df: DataFrame) -> DataFrame:
@@ -70,7 +74,8 @@ def normalize_text(c) -> Column:
 
 
 def canonical_of_normalized(c) -> Column:
-    return F.regexp_replace(F.lower(_column(c)), f"[^{_KEPT}]+", "")
+    """Lower case without what is not kept: ASCII signs go by a table, the few others by a pattern."""
+    return F.regexp_replace(F.translate(F.lower(_column(c)), _ASCII_SIGNS, ""), f"[^{_KEPT}]+", "")
 
 
 def canonical_text(c) -> Column:
@@ -88,15 +93,25 @@ def segments_of(c) -> Column:
     return segments_of_nfkc(nfkc(c))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def segments_of_nfkc(text) -> Column:
+    """segments_of for a text in NFKC: split first, then only what has content is collapsed."""
     text = _column(text)
 
-    def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(text, pattern), collapse), lambda x: x != "")
+    def filled(parts: Column) -> Column:
+        return F.filter(parts, lambda x: x.rlike(f"[^{_SPACE}]"))
+
+    def chosen(x: Column) -> Column:
+        raw = F.when(F.size(x["by_blank"]) > 1, x["by_blank"]).otherwise(x["by_line"])
+        return F.when(F.size(raw) > 0, F.transform(raw, collapse)).otherwise(F.array(F.lit("")))
 
-    by_blank = parts(rf"\n[{_SPACE}]*\n")
-    by_line = parts(_LINE_END)
-    return F.when(F.size(by_blank) > 1, by_blank).when(F.size(by_line) > 0, by_line).otherwise(F.array(collapse(text)))
+    blank = rf"\n[{_SPACE}]*\n"
+    by_blank = F.when(text.rlike(blank), filled(F.split(text, blank))).otherwise(F.array().cast("array<string>"))
+    return _let(F.struct(by_blank.alias("by_blank"), filled(F.split(text, _LINE_END)).alias("by_line")), chosen)
 
 
 def substrings(c, k: int) -> Column:

@@ -3,7 +3,8 @@
 Searches take a table of queries. Phrase, dictionary and fuzzy search send the queries to
 the segments, in blocks of at most `QUERY_BLOCK` (the block is what is broadcast, so its
 size is bounded), scan each segment once, and keep the top rows of each query in every
-partition before the ranking shuffles. Fingerprint search joins postings.
+partition before the ranking shuffles. Fingerprint search joins postings. Searches of a stored index
+are in `overlap_index`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import fingerprint as FP
-from quillspan.functions.text import canonical_plain, canonical_text, qgrams
+from quillspan.functions.text import canonical_plain, canonical_text
 
 QUERY_BLOCK = 5000
 FUZZY_BLOCK = 500
@@ -149,42 +150,6 @@ def search_fuzzy(segs: DataFrame, queries: DataFrame, key: str, text: str = "tex
     return first.withColumn("n_", _row_number([key], F.desc("score"), *place)).filter(F.col("n_") <= limit).drop("n_", "overlap")
 
 
-def _query_grams(queries: DataFrame, key: str, text: str, q: int) -> DataFrame:
-    own = queries.select(key, canonical_text(text).alias("needle")).filter(F.col("needle") != "")
-    return own.withColumn("grams", qgrams("needle", q))
-
-
-def phrase_by_index(segs: DataFrame, posts: DataFrame, queries: DataFrame, key: str, text: str = "text", limit: int = 50, q: int = 3, rarest: int = 4, place: tuple = ("witness_id", "ordinal")) -> DataFrame:
-    """As search_phrase, through the gram index: segments that hold a query's rarest grams, then the phrase itself.
-
-    posts: place..., gram. All of a query's grams must stand in a segment, so any choice of
-    them gives the candidates (a relational division); the `rarest` ones by segment count
-    keep common grams' long lists out of the join. Queries shorter than q have no gram of
-    their own and need the scan of search_phrase.
-    """
-    own = _query_grams(queries, key, text, q).filter(F.char_length("needle") >= q)
-    grams = own.select(key, F.explode("grams").alias("gram"))
-    counts = posts.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("segments_"))
-    order = Window.partitionBy(key).orderBy(F.coalesce("segments_", F.lit(0)), "gram")
-    chosen = grams.join(counts, "gram", "left").withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= rarest).select(key, "gram")
-    asked = chosen.groupBy(key).agg(F.count("*").alias("asked_"))
-    found = chosen.join(posts, "gram").groupBy(key, *place).agg(F.count("*").alias("has_")).join(asked, key).filter("has_ = asked_").select(key, *place)
-    hits = found.join(own.select(key, "needle"), key).join(segs.select(*place, "canonical"), list(place)).filter(F.contains("canonical", "needle"))
-    ranked = hits.select(key, *place).withColumn("n_", _row_number([key], *place)).filter(F.col("n_") <= limit)
-    return ranked.drop("n_").withColumn("score", F.lit(1.0))
-
-
-def fuzzy_by_index(posts: DataFrame, queries: DataFrame, key: str, text: str = "text", limit: int = 20, candidate_limit: int = 200, q: int = 3, place: tuple = ("witness_id", "ordinal")) -> DataFrame:
-    """As search_fuzzy, through the gram index: overlaps are counts of shared postings."""
-    own = _query_grams(queries, key, text, q)
-    grams = own.select(key, F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
-    overlap = grams.join(posts, "gram").groupBy(key, *place).agg(F.count("*").alias("overlap"), F.first("n_query").alias("n_query"))
-    first = overlap.withColumn("n_", _row_number([key], F.desc("overlap"), *place)).filter(F.col("n_") <= candidate_limit)
-    sizes = posts.groupBy(*place).agg(F.count("*").alias("n_segment"))
-    scored = first.join(sizes, list(place)).withColumn("score", F.col("overlap") / (F.col("n_query") + F.col("n_segment") - F.col("overlap")))
-    return scored.withColumn("n_", _row_number([key], F.desc("score"), *place)).filter(F.col("n_") <= limit).select(key, *place, "score")
-
-
 def keyword_positions(segs: DataFrame, keywords: list[str], place: tuple = ("witness_id", "ordinal")) -> DataFrame:
     """place..., keyword, end_index of every occurrence (overlapping ones too) in the canonical text."""
     types = ", ".join(f"{c} {t}" for c, t in segs.select(*place).dtypes)

@@ -119,6 +119,8 @@ SELECT acquisition_status, count(*) AS records, sum(CASE WHEN acquisition_status
         "unknown_edge_types": f"WITH {_EDGES} SELECT 'HAS' AS edge_type, count(*) AS edges FROM edges",
         "repeated_texts": "SELECT sha256(text) AS text_hash, count(*) AS \"rows\" FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "witness_lookup": f"WITH {_WITNESS} SELECT witness_id, w.doc_hash, lang, source FROM w JOIN documents USING (doc_id) WHERE doc_id = 0",
+        "gram_index": f"WITH {_SEG}, g AS ({_grams('seg', 'doc_id, ordinal')}) SELECT gram, count(*) AS segments FROM g GROUP BY gram",
+        "appended_index": _PHRASE.replace("{needle}", _canon(_norm("text"))),
         "phrase_by_index": _PHRASE.replace("{needle}", _canon(_norm("text"))),
         "fuzzy_by_index": fuzzy,
         "winnow_positions": f"""WITH b AS (SELECT item_id, {_canon(_norm("coalesce(text, '')"))} AS canonical FROM benchmark),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,11 @@ from quillspan.functions import text as T
 from quillspan.functions.fingerprint import fingerprint_values
 from quillspan.functions.fingerprint import winnow_fingerprints as winnow_fingerprints_of
 from quillspan.operators import acquisition, bundle, compare, corpus, events, exports, graph, legacy, provenance, search
+from quillspan.operators.overlap_index import OverlapIndex
 from quillspan.plans import jobs
 from quillspan.sources import readers, writers
 from quillspan.sources.readers import table
+from quillspan.sources.snapshots import children, file_system, shared_folder
 from quillspan.streaming.ingest import windowed_counts
 
 KEYWORDS = ["GNU", "Licensed under", "license", "MIT License", "rights reserved", "Apache", "Öl", "zzqx", "mit license"]
@@ -102,13 +105,42 @@ def fuzzy_search(spark, sf_dir):
     return search.search_fuzzy(_segments(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
 
 
+def _stored_index(spark, sf_dir, kind, **options):
+    """The index of the documents' segments in the shared folder; made by the first query that asks for it, and anew where the files have changed."""
+    _, files = file_system(spark, f"{sf_dir}/documents.parquet")
+    state = [(s[0], s[1], s[2]) for s in children(spark, files.getParent().toString()) if s[0] == "documents.parquet"] + children(spark, files.toString())
+    name = hashlib.sha256(json.dumps([sf_dir, kind, options, state]).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/index-{kind}-{name}"
+    try:
+        found = OverlapIndex(spark, path)
+    except ValueError:
+        found = OverlapIndex.create(spark, path, {"doc_id": "long", "ordinal": "int"}, kind, texts=kind == "grams", **options)
+    return found if found.meta["parts"] else found.append(_segments(spark, sf_dir))
+
+
+def _gram_index(spark, sf_dir):
+    return _stored_index(spark, sf_dir, "grams", q=3)
+
+
+def gram_index(spark, sf_dir):
+    """In how many segments each gram stands, from the stored index."""
+    return _gram_index(spark, sf_dir).frequencies().groupBy("token").agg(F.sum("n").alias("segments")).select(F.col("token").alias("gram"), "segments")
+
+
 def phrase_by_index(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    return search.phrase_by_index(s, corpus.postings(s, *PLACE), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+    return _gram_index(spark, sf_dir).phrases(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 def fuzzy_by_index(spark, sf_dir):
-    return search.fuzzy_by_index(corpus.postings(_segments(spark, sf_dir), *PLACE), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+    return _gram_index(spark, sf_dir).similar(table(spark, sf_dir, "benchmark"), "item_id").drop("shared")
+
+
+def appended_index(spark, sf_dir):
+    """Passages through an index that was built in two parts."""
+    s = _segments(spark, sf_dir)
+    index = OverlapIndex.create(spark, _folder(spark, "index"), {"doc_id": "long", "ordinal": "int"}, "grams", shard_chars=1_000_000, q=3)
+    index = index.append(s.filter("doc_id % 2 = 0")).append(s.filter("doc_id % 2 = 1"))
+    return index.phrases(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 def dictionary_scan(spark, sf_dir):
@@ -137,11 +169,12 @@ def fingerprint_stats(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return search.build_fingerprint_index(_segments(spark, sf_dir), *PLACE, hash_name="sha256_64")
+    return _stored_index(spark, sf_dir, "fingerprints", k=12, window=8, hash="sha256_64")
 
 
 def fingerprint_candidates(spark, sf_dir):
-    return search.search_fingerprints(_index(spark, sf_dir), _turns(spark, sf_dir), "turn_id", place=PLACE)
+    found = _index(spark, sf_dir).similar(_turns(spark, sf_dir), "turn_id")
+    return found.withColumnsRenamed({"shared": "shared_fingerprints", "score": "fingerprint_jaccard"})
 
 
 def compare_witnesses(spark, sf_dir):
@@ -449,13 +482,8 @@ def listed_targets(spark, sf_dir):
 
 
 def _folder(spark, name):
-    """A new path in the folder that all executors share; on local mode without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        base = tempfile.mkdtemp(prefix="quillspan-files-")
-    return f"{base.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def file_scan(spark, sf_dir):
@@ -464,7 +492,7 @@ def file_scan(spark, sf_dir):
     name = F.when(F.col("n_nationkey") % 3 == 0, "a.pdf").when(F.col("n_nationkey") % 3 == 1, "b.MD").otherwise("c.txt")
     files = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder"), name.alias("name"), F.concat(F.lit("# "), "n_name", F.lit("\n\nFACT: "), "n_name").alias("content"))
     writers.write_files(files, path)
-    found = readers.text_files(spark, f"file://{path}")
+    found = readers.text_files(spark, path)
     return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.sha2("text", 256).alias("text_hash"))
 
 
@@ -474,7 +502,7 @@ def bundle_read(spark, sf_dir):
     key = F.col("n_nationkey").cast("string")
     d = n.select(F.concat("n_name", F.lit("\n\n region  "), F.col("n_regionkey").cast("string")).alias("text"), F.to_json(F.struct(key.alias("nation"))).alias("source_json"), F.array(F.to_json(F.struct(key.alias("seen")))).alias("ev"))
     writers.bundles(bundle.build_bundles(d, events="ev"), path)
-    checked = bundle.verify_bundles(readers.bundles(spark, f"file://{path}"))
+    checked = bundle.verify_bundles(readers.bundles(spark, path))
     return checked.select("doc_hash", "ok", F.col("segment_count").cast("long").alias("segment_count"), "semantic_events_included", F.get_json_object("source_json", "$.nation").alias("nation"))
 
 
@@ -484,9 +512,9 @@ def manifest_read(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     manifest = c.select(F.concat(F.lit(" "), key).alias("source_id"), F.concat(F.lit("u"), key).alias("url"), F.concat(key, F.lit(".pdf")).alias("filename"), F.when(F.col("c_custkey") % 2 == 0, "TEXT").otherwise("PDF").alias("expected_kind"))
     results = c.filter("c_custkey % 3 <> 0").select(key.alias("source_id"), F.lit("OK_PDF").alias("status"), F.concat(key, F.lit(".pdf")).alias("filename"), key.alias("size_bytes"), F.sha2(key, 256).alias("sha256"), F.concat(F.lit("u"), key).alias("source_url"))
-    manifest.write.csv(f"file://{m}", sep="\t", header=True)
-    results.write.csv(f"file://{r}", sep="\t", header=True)
-    found = acquisition.join_records(readers.archive_manifest(spark, f"file://{m}"), readers.archive_results(spark, f"file://{r}"))
+    manifest.write.csv(m, sep="\t", header=True)
+    results.write.csv(r, sep="\t", header=True)
+    found = acquisition.join_records(readers.archive_manifest(spark, m), readers.archive_results(spark, r))
     return found.groupBy("acquisition_status").agg(F.count("*").alias("records"), F.sum("source_size_bytes").cast("long").alias("bytes"))
 
 
@@ -494,8 +522,8 @@ def segments_read(spark, sf_dir):
     """Segments of conversations as lines of JSON, written and read."""
     path = _folder(spark, "segments")
     t = table(spark, sf_dir, "conversations").select(F.col("turn").cast("int").alias("ordinal"), F.sha2("text", 256).alias("segment_hash"), "text")
-    writers.jsonl(t, f"file://{path}")
-    s = readers.segments_jsonl(spark, f"file://{path}")
+    writers.jsonl(t, path)
+    s = readers.segments_jsonl(spark, path)
     return s.groupBy("ordinal").agg(F.count("*").alias("segments"), F.count_if(F.sha2("text", 256) == F.col("segment_hash")).alias("intact"))
 
 
@@ -513,7 +541,7 @@ QUERIES = [
     normalize_canonical, segments, witness_ids, segment_ids, merkle_roots, qgram_postings, gram_df, exact_segment_dups, exact_segment_lookup,
     phrase_search, phrase_short, fuzzy_search, dictionary_scan, dictionary_positions, winnow_fingerprints, fingerprint_stats, fingerprint_candidates,
     compare_witnesses, segment_alignment, event_log, event_filter, next_event_edges, semantic_diff, slot_mutation, bfs_depth, dfs_preorder, version_tree,
-    witness_lookup, phrase_by_index, fuzzy_by_index, winnow_positions, semantic_versions, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
+    witness_lookup, gram_index, phrase_by_index, fuzzy_by_index, appended_index, winnow_positions, semantic_versions, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
     event_rows, slot_types, fixture_ingest, fixture_pairs, legacy_records, legacy_index, legacy_counts, audited_resolutions, bundle_ingest, bundle_artifacts, source_stubs, listed_targets, file_scan, bundle_read, manifest_read, segments_read, unknown_edge_types, repeated_texts,
     multi_predicate, earliest_attestation, event_windows, legacy_blocks, block_labels, block_terms, review_queue, archive_join, archive_summary, provenance_alerts, bundle_verify,
 ]

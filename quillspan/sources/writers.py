@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import stable_json
 from quillspan.operators.legacy import BUNDLE_GUARD
+from quillspan.sources.snapshots import file_system
 
 
 def jsonl(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
@@ -64,19 +65,32 @@ def _files_of(r: dict) -> dict[str, str]:
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Rows (folder, name, content) as files path/folder/name, written by the executors: path must be a folder that all of them share."""
-    import pathlib
+    """Rows (folder, name, content) as files path/folder/name, written by the executors, on any file system that Arrow knows.
+
+    A file is written under another name and then moved, so a task that is run again leaves the same files.
+    On a cluster a local path must be one that all executors share: below spark.checkpoint.dir.
+    """
+    import posixpath
+    import uuid
+
+    from pyarrow.fs import FileSystem
 
     spark = files.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    if not spark.sparkContext.master.startswith("local") and not (shared and str(path).startswith(shared)):
+    fs, target = file_system(spark, path)
+    uri = fs.makeQualified(target).toString().replace("file:/", "file:///").replace("file:////", "file:///")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if uri.startswith("file:") and not spark.sparkContext.master.startswith("local") and not (shared and path.startswith(shared)):
         raise ValueError("bundles are written as single files: name a path below spark.checkpoint.dir")
 
     def write(rows) -> None:
+        store, base = FileSystem.from_uri(uri)
         for r in rows:
-            folder = pathlib.Path(path) / r["folder"]
-            folder.mkdir(parents=True, exist_ok=True)
-            (folder / r["name"]).write_text(r["content"], "utf-8")
+            folder = posixpath.join(base, r["folder"])
+            store.create_dir(folder, recursive=True)
+            draft = posixpath.join(folder, f".{uuid.uuid4().hex}")
+            with store.open_output_stream(draft) as out:
+                out.write(r["content"].encode("utf-8"))
+            store.move(draft, posixpath.join(folder, r["name"]))
 
     files.foreachPartition(write)
 

@@ -306,21 +306,6 @@ def test_queries_match_their_sql(spark):
         assert [[str(v).removesuffix(".0") for v in x] for x in rows(p)] == [[str(v).removesuffix(".0") for v in x] for x in rows(r)], name
 
 
-def test_searches_through_the_index_agree_with_the_scans(spark):
-    import random
-
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7))) for _ in range(40)]
-    docs = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)] + [(90, ""), (91, None)]
-    segs = corpus.document_segments(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id")
-    posts = corpus.postings(segs, "doc_id", "ordinal")
-    asked = spark.createDataFrame([(k, " ".join(docs[k][1].split()[3:6])) for k in range(10)] + [(50, "nothing like it here"), (51, "")], "q long, text string")
-    place = ("doc_id", "ordinal")
-    for rarest in (1, 3, 100):
-        assert sorted(map(tuple, search.phrase_by_index(segs, posts, asked, "q", rarest=rarest, place=place).collect())) == sorted(map(tuple, search.search_phrase(segs, asked, "q", place=place).collect()))
-    assert sorted(map(tuple, search.fuzzy_by_index(posts, asked, "q", place=place).collect())) == sorted(map(tuple, search.search_fuzzy(segs, asked, "q", place=place).select("q", *place, "score").collect()))
-
-
 def test_alignment_has_the_best_score(spark):
     """The path's score is the best there is, by plain recursion."""
     import functools
