@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.operators.graph import pointers
 from quillspan.operators.corpus import orphans
 
 FIELDS = ("actor", "patient", "tags", "payload", "state_before", "state_after")
@@ -51,18 +52,29 @@ def semantic_versions(versions: DataFrame, seq: str) -> DataFrame:
     return v.groupBy("semantic_version").agg(F.max_by(F.struct("parent_version", "config_hash", "description"), seq).alias("r")).select("semantic_version", "r.*")
 
 
-def version_tree(versions: DataFrame, most_depth: int = 100) -> DataFrame:
-    """semantic_version, root, depth, path along the parents; broken or cyclic chains stop at most_depth."""
-    known = versions.select("semantic_version", "parent_version")
-    known.createOrReplaceTempView("quillspan_versions")
-    return versions.sparkSession.sql(
-        f"""WITH RECURSIVE tree(semantic_version, root, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-              SELECT semantic_version, semantic_version, 0, semantic_version FROM quillspan_versions WHERE parent_version IS NULL
-              UNION ALL
-              SELECT v.semantic_version, t.root, t.depth + 1, concat(t.path, ' > ', v.semantic_version)
-              FROM quillspan_versions v JOIN tree t ON v.parent_version = t.semantic_version)
-            SELECT * FROM tree"""
-    )
+def version_tree(versions: DataFrame, paths: bool = True) -> DataFrame:
+    """semantic_version, root, depth (and path) along the parents, at any depth, by parent doubling.
+
+    A path names all versions above one, so in deep trees paths=False keeps the rows short. Versions that hang
+    below a cycle or an unknown parent are left out; version_faults lists them.
+    """
+    known = versions.select(F.col("semantic_version").alias("node"), F.col("parent_version").alias("parent"))
+    found = pointers(known.filter("parent is not null"), ways=paths)
+    top = known.filter("parent is null").select(F.col("node").alias("top"))
+    under = found.filter("steps > 0").join(top, F.col("root") == F.col("top"), "left_semi")
+    cols = [F.col("node").alias("semantic_version"), "root", F.col("steps").cast("int").alias("depth")]
+    own = top.select(F.col("top").alias("semantic_version"), F.col("top").alias("root"), F.lit(0).alias("depth"), *([F.col("top").alias("path")] if paths else []))
+    return own.union(under.select(*cols, *([F.array_join(F.reverse(F.array_append("way", F.col("root"))), " > ").alias("path")] if paths else [])))
+
+
+def version_faults(versions: DataFrame) -> DataFrame:
+    """semantic_version, fault of every version without a root: CYCLE on or below a cycle, MISSING_PARENT below an unknown version."""
+    known = versions.select(F.col("semantic_version").alias("node"), F.col("parent_version").alias("parent"))
+    found = pointers(known.filter("parent is not null")).join(known.select("node"), "node", "left_semi")
+    top = known.filter("parent is null").select(F.col("node").alias("root"))
+    lost = found.filter("root is null").select("node", F.lit("CYCLE").alias("fault"))
+    missing = found.filter("steps > 0").join(top, "root", "left_anti").select("node", F.lit("MISSING_PARENT").alias("fault"))
+    return lost.union(missing).withColumnRenamed("node", "semantic_version")
 
 
 def search_events(events: DataFrame, predicate: str | None = None, semantic_version: str | None = None) -> DataFrame:

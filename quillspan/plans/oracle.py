@@ -220,6 +220,15 @@ SELECT "left", "right", predicate, status, CASE WHEN status = 'retained' AND ap
 UNION SELECT start, dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 3) SELECT start, node, min(depth)::INT AS depth FROM walk GROUP BY start, node""",
         "dfs_preorder": f"""WITH RECURSIVE {_EDGES}, walk(node, path) AS (SELECT 'R0', ['R0'] UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN edges ON src = node)
 SELECT (row_number() OVER (ORDER BY path) - 1)::INT AS position, node FROM walk""",
+        "version_faults": f"""WITH RECURSIVE {_VERSIONS},
+a AS (SELECT semantic_version AS s, CASE WHEN semantic_version LIKE '%-BUILDING' THEN 'none' WHEN semantic_version = 'N1' THEN 'N2' WHEN semantic_version = 'N2' THEN 'N1' ELSE parent_version END AS p FROM v),
+up(s, p, n) AS (SELECT s, p, 1 FROM a UNION ALL SELECT up.s, a.p, n + 1 FROM up JOIN a ON a.s = up.p WHERE n < 10)
+SELECT s AS semantic_version, CASE WHEN bool_or(p IS NOT NULL AND p NOT IN (SELECT s FROM a)) THEN 'MISSING_PARENT' ELSE 'CYCLE' END AS fault FROM up GROUP BY s HAVING NOT bool_or(p IS NULL)""",
+        "strong_components": f"""WITH RECURSIVE {_EDGES}, back AS (SELECT 'C' || c_custkey AS src, 'R' || n_regionkey AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
+e AS (SELECT * FROM edges UNION SELECT * FROM back), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, e.dst FROM reach JOIN e ON e.src = reach.b),
+mutual AS (SELECT x.a, min(x.b) AS least_node, count(*) AS nodes FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT least_node, any_value(nodes) AS nodes FROM mutual GROUP BY least_node""",
         "version_tree": f"""WITH RECURSIVE {_VERSIONS},
 t(semantic_version, root, depth, path) AS (SELECT semantic_version, semantic_version, 0, semantic_version FROM v WHERE parent_version IS NULL
 UNION ALL SELECT v.semantic_version, t.root, t.depth + 1, t.path || ' > ' || v.semantic_version FROM v JOIN t ON v.parent_version = t.semantic_version) SELECT * FROM t""",

@@ -269,6 +269,20 @@ def version_tree(spark, sf_dir):
     return events.version_tree(semantic_versions(spark, sf_dir))
 
 
+def version_faults(spark, sf_dir):
+    """The versions with some parents astray: those of market segment BUILDING name no version, nations 1 and 2 each other."""
+    v = semantic_versions(spark, sf_dir)
+    name = F.col("semantic_version")
+    astray = F.when(name.endswith("-BUILDING"), "none").when(name == "N1", "N2").when(name == "N2", "N1").otherwise(F.col("parent_version"))
+    return events.version_faults(v.withColumn("parent_version", astray))
+
+
+def strong_components(spark, sf_dir):
+    """Components of the places graph with edges back from some customers: how many nodes each has, by its least node."""
+    part = graph.components(_cyclic_edges(spark, sf_dir))
+    return part.groupBy("component").agg(F.min("node").alias("least_node"), F.count("*").alias("nodes")).drop("component")
+
+
 def edge_upsert(spark, sf_dir):
     """Edges between nations and market segments: those of odd customers stand, even ones are put over them."""
     c = table(spark, sf_dir, "customer")
@@ -277,11 +291,15 @@ def edge_upsert(spark, sf_dir):
     return graph.put_edges(old, rows.filter("c_custkey % 2 = 0"), "c_custkey")
 
 
-def cyclic_part(spark, sf_dir):
+def _cyclic_edges(spark, sf_dir):
     """The places graph with edges back from some customers to a region."""
     back = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 50 = 0")
     back = back.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit("HAS").alias("edge_type"), F.lit(1.0).alias("confidence"))
-    return graph.cyclic_part(_place_edges(spark, sf_dir).union(back))
+    return _place_edges(spark, sf_dir).union(back)
+
+
+def cyclic_part(spark, sf_dir):
+    return graph.cyclic_part(_cyclic_edges(spark, sf_dir))
 
 
 def graph_export(spark, sf_dir):
@@ -541,7 +559,7 @@ QUERIES = [
     normalize_canonical, segments, witness_ids, segment_ids, merkle_roots, qgram_postings, gram_df, exact_segment_dups, exact_segment_lookup,
     phrase_search, phrase_short, fuzzy_search, dictionary_scan, dictionary_positions, winnow_fingerprints, fingerprint_stats, fingerprint_candidates,
     compare_witnesses, segment_alignment, event_log, event_filter, next_event_edges, semantic_diff, slot_mutation, bfs_depth, dfs_preorder, version_tree,
-    witness_lookup, gram_index, phrase_by_index, fuzzy_by_index, appended_index, winnow_positions, semantic_versions, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
+    witness_lookup, gram_index, phrase_by_index, fuzzy_by_index, appended_index, winnow_positions, semantic_versions, version_faults, strong_components, edge_upsert, cyclic_part, graph_export, timeline_export, place_export, story_families, byte_totals, orphan_references,
     event_rows, slot_types, fixture_ingest, fixture_pairs, legacy_records, legacy_index, legacy_counts, audited_resolutions, bundle_ingest, bundle_artifacts, source_stubs, listed_targets, file_scan, bundle_read, manifest_read, segments_read, unknown_edge_types, repeated_texts,
     multi_predicate, earliest_attestation, event_windows, legacy_blocks, block_labels, block_terms, review_queue, archive_join, archive_summary, provenance_alerts, bundle_verify,
 ]
