@@ -45,6 +45,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # HTML element names by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg title select canvas object video audio".split())
@@ -53,20 +55,24 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("article aside body center div fieldset figure footer form header html main menu nav ol section table td ul".split())
-_CHROME = frozenset("head nav footer aside form button menu dialog".split())
+_CHROME = frozenset("head nav footer aside button menu dialog".split())
 _MAIN = frozenset(("article", "main"))
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div main body html td th".split())
 _NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|sidebar|menu|nav\w*|"
-    r"breadcrumbs?|footer|comments?|disqus|repl(?:y|ies)|social|share|sharing|related|recommend\w*|popup|modal|widget|toolbar|pagination|pager|skip)(?:$|[-_\s])",
+    r"(?:(?:site|page|global|main|primary|top|bottom|left|right|user|reader|social|post|article|cookie|email|mobile)[-_]?)?"
+    r"(?:ads?|advert(?:s|isement|isements|ising)?|banner|sponsor(?:s|ed)?|promos?|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|sidebar|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|comments?|disqus|reply|replies|social|share|sharing|related|recommended|popup|modal|widget|toolbar|pagination|pager|skip)"
+    r"(?:[-_]?(?:bar|box|block|slot|unit|list|section|thread|area|wrap|wrapper|container|form|links?|buttons?|icons?|menu|nav|notice|banner|message|popup|posts|articles|stories|items?|top|bottom|left|right|\d+))?",
     re.I,
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
-#: Tasks that the pages of one host may be dealt to.
-SALTS = 64
-#: Numbers that the open texts of pages are hashed to; their squares are summed, so that 2^27 pages of a host fit a long.
-CONTENTS = 1 << 18
+#: Tasks that the pages of one host are dealt to if it has more than one in SALTED of all pages; there are fewer such hosts than SALTED.
+SALTS, SALTED = 64, 1024
+#: Numbers that the open texts of pages are hashed to; sums of their squares are decimals.
+CONTENTS = 1 << 40
+#: Share of a page's letters beyond which a container is the page, whatever its name.
+MOST = 0.5
 #: Letters in links, of a link list's letters.
 LIST_SHARE = 0.8
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -74,10 +80,10 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Block:
-    __slots__ = ("chrome", "letters", "link", "links", "main", "path", "text")
+    __slots__ = ("chrome", "letters", "link", "links", "main", "path", "suspects", "text")
 
-    def __init__(self, text: str, path: str, main: bool, chrome: bool, link: int, links: int):
-        self.text, self.path, self.main, self.chrome, self.link, self.links = text, path, main, chrome, link, links
+    def __init__(self, text: str, path: str, main: bool, chrome: bool, link: int, links: int, suspects: tuple = ()):
+        self.text, self.path, self.main, self.chrome, self.link, self.links, self.suspects = text, path, main, chrome, link, links, suspects
         self.letters = _letters(text) if links else len(text)
 
 
@@ -85,16 +91,34 @@ def _letters(text: str) -> int:
     return sum(map(str.isalnum, text))
 
 
-def _chrome(tag: str, attrs: str, in_main: bool) -> bool:
+def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is none of the article by what it is, and whether it is so by its name, or as a form, unless it holds the article."""
     if tag in _CHROME or tag == "header" and not in_main:
-        return True
+        return True, False
+    if tag == "form":
+        return False, True
     if not attrs.strip():
-        return False
+        return False, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "") == "true" or found.get("role", "") in _ROLES:
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return tag not in ("html", "body", "article", "main") and bool(_NAMED.search(names))
+        return True, False
+    if tag in ("html", "body", "article", "main"):
+        return False, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return False, any(_NAMED.fullmatch(x) for x in names)
+
+
+def _judge(blocks: list[Block], holds_main: set[int]) -> None:
+    """Blocks below a named container or a form are none of the article, unless that holds an article, or most of the page's letters."""
+    sums: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.chrome:
+            total += b.letters
+            for k in b.suspects:
+                sums[k] = sums.get(k, 0) + b.letters
+    for b in blocks:
+        b.chrome = b.chrome or any(k not in holds_main and sums[k] <= MOST * total for k in b.suspects)
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -106,7 +130,8 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     """Paths of the containers in page order, and the text blocks in page order."""
     paths: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path of the container, in main, in chrome, end of the tag of a link or 0
+    stack: list[tuple[str, str, bool, bool, int, tuple]] = []  # tag, path of the container, in main, in chrome, end of the tag of a link or 0, named containers
+    holds_main: set[int] = set()  # named containers around an article
     parts: list[str] = []
     linked = 0
     links: set[int] = set()
@@ -114,15 +139,15 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     page = page or ""
 
     def top():
-        return stack[-1] if stack else ("", "", False, False, 0)
+        return stack[-1] if stack else ("", "", False, False, 0, ())
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, path, main, chrome, _ = top()
-                blocks.append(Block(text, path, main, chrome, linked, len(links)))
+                _, path, main, chrome, _, suspects = top()
+                blocks.append(Block(text, path, main, chrome, linked, len(links), suspects))
             parts.clear()
         linked = 0
         links.clear()
@@ -176,13 +201,18 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                     break
         if tag in _VOID or attrs.endswith("/"):
             continue
-        _, path, main, chrome, link = top()
+        _, path, main, chrome, link, suspects = top()
         if tag in _CONTAINER:
             path = f"{path}/{_label(tag, attrs)}"
             paths.append(path)
-        chrome = chrome or _chrome(tag, attrs, main)
-        stack.append((tag, path, main or tag in _MAIN, chrome, link or (at if tag == "a" else 0)))
+        sure, named = _chrome(tag, attrs, main)
+        if tag in _MAIN:
+            holds_main.update(suspects)
+        if named:
+            suspects = (*suspects, at)
+        stack.append((tag, path, main or tag in _MAIN, chrome or sure, link or (at if tag == "a" else 0), suspects))
     flush()
+    _judge(blocks, holds_main)
     return paths, blocks
 
 
@@ -235,10 +265,10 @@ def host_templates(pages: DataFrame) -> DataFrame:
     tokens = rows.groupBy("host", "token").agg(
         F.expr("sum(cast(xxhash64(page, n) as decimal(20,0)))").alias("vector"),
         F.count("*").alias("support"),
-        F.min("content").alias("a"),
-        F.max("content").alias("b"),
-        F.sum("content").alias("sum_1"),
-        F.sum(F.col("content") * F.col("content")).alias("sum_2"),
+        F.min("content").cast("decimal(13,0)").alias("a"),
+        F.max("content").cast("decimal(13,0)").alias("b"),
+        F.sum(F.col("content").cast("decimal(13,0)")).alias("sum_1"),
+        F.sum(F.col("content").cast("decimal(13,0)") * F.col("content").cast("decimal(13,0)")).alias("sum_2"),
         F.avg("at").alias("at"),
         F.avg("letters").alias("letters"),
         F.avg("link").alias("link"),
@@ -249,18 +279,19 @@ def host_templates(pages: DataFrame) -> DataFrame:
     n = own.groupBy("host").agg(F.count("*").alias("pages"))
     valid = tokens.filter(F.col("support") >= 2).join(n, "host").filter(2 * F.col("support") >= F.col("pages"))
     text = F.col("token").startswith("=")
-    third = F.col("sum_2") - (F.col("a") + F.col("b")) * F.col("sum_1") + F.col("a") * F.col("b") * F.col("support") != 0
+    # whether any page's number is neither the least nor the greatest: sum (x - a)(x - b) is not 0
+    third = F.col("sum_2") + F.col("a") * F.col("b") * F.col("support").cast("decimal(11,0)") != (F.col("a") + F.col("b")) * F.col("sum_1")
     valid = valid.filter(~text | third)
     # tokens with one vector are one class; classes are numbered by where they begin
     classes = valid.withColumn("class_at", F.min("at").over(Window.partitionBy("host", "vector")))
     made = F.sort_array(F.collect_list(F.struct("class_at", "vector", "at", "token", "letters", "link", "links", "low", "high")))
-    found = classes.groupBy("host").agg(made.alias("tokens"))
+    found = classes.groupBy("host").agg(made.alias("tokens"), F.first("pages").alias("pages"))
 
     @F.pandas_udf("array<struct<token:string,class_id:int,parent_id:int,fixed:boolean,letters:double,link:double,links:double>>")
     def nest(tokens: pd.Series) -> pd.Series:
         return pd.Series([nested(t) for t in tokens], dtype=object)
 
-    return found.select("host", nest("tokens").alias("template"))
+    return found.select("host", "pages", nest("tokens").alias("template"))
 
 
 def ancestors(low: str, high: str) -> list[str]:
@@ -322,11 +353,14 @@ def main_text(page: str | None, template) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    # pages of one host are dealt out by a salt; its template, one small row, is repeated for each
-    templates = host_templates(pages).select(F.col("host").alias("host_"), "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), salt.alias("salt"))
-    joined = joined.join(templates, (F.col("host") == F.col("host_")) & (F.col("salt") == F.col("salt_")), "left")
+    # pages of a host that has more than one in SALTED of all are dealt out by a salt; its template, one small row, is repeated for each
+    templates = materialize(host_templates(pages), "templates")
+    hot = templates.filter(SALTED * F.col("pages") > pages.count()).select(F.col("host").alias("hot_"))  # below SALTED rows
+    made = templates.withColumnRenamed("host", "host_").join(F.broadcast(hot), F.col("host_") == F.col("hot_"), "left")
+    made = made.select("host_", "template", F.explode(F.sequence(F.lit(0), F.when(F.col("hot_").isNotNull(), SALTS - 1).otherwise(0))).alias("salt_"))
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(F.broadcast(hot), F.col("host") == F.col("hot_"), "left")
+    salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0).cast("int")
+    joined = own.withColumn("salt", salt).join(made, (F.col("host") == F.col("host_")) & (F.col("salt") == F.col("salt_")), "left")
 
     @F.pandas_udf("string")
     def article(pages: pd.Series, found: pd.Series) -> pd.Series:

@@ -306,3 +306,35 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+LAYOUTS = [
+    '<article><div class="elementor-widget-container"><p>{0}</p></div></article>',
+    '<div id="page" class="site has-sidebar"><p>{0}</p></div>',
+    '<div class="layout right-sidebar"><article><p>{0}</p></article></div>',
+    '<form action=/ method=post><div><p>{0}</p></div><input name=state></form>',
+    '<form action=/><article><p>{0}</p></article></form>',
+    '<article><div class="navy-history"><p>{0}</p></div></article>',
+    '<article><section id="promontory"><p>{0}</p></section></article>',
+    '<article><p>First.</p><section id="recommendations"><p>{0}</p></section></article>',
+    '<main><section id="related-work"><p>{0}</p></section></main>',
+    '<div class="widget"><p>{0}</p></div><div class="share-bar">Tell all</div>',
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_names_do_not_hide_an_article(layout):
+    body = "The ship left the harbour before dawn and did not come back that year."
+    page = f"<html><body><nav>Home</nav>{LAYOUTS[layout].format(body)}<div class='cookie-notice'>We use cookies.</div><form>Sign up</form><div class='ad'>Buy now</div></body></html>"
+    text = html_template.main_text(page, None)
+    assert body in text
+    assert not any(x in text for x in ("Home", "cookies", "Sign up", "Buy now", "Tell all"))
+
+
+def test_templates_are_repeated_for_hot_hosts_only(spark, monkeypatch):
+    rows = [(k, f"http://{'hot' if k % 3 else f'h{k}'}.org/{k}", f"<body><div class=top>Same line</div><div class=s><p>Story {k} of many words.</p></div></body>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = {r["page_id"]: r["text"] for r in html_template.extract(df).collect()}
+    monkeypatch.setattr(html_template, "SALTED", 2)  # only the host of two thirds is hot
+    assert {r["page_id"]: r["text"] for r in html_template.extract(df).collect()} == plain
+    assert plain[1] == "Story 1 of many words."
