@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import fresh, materialize, trimmed
 
 GRAM_WORDS, RUN_WORDS = 20, 50
 _BLANKS = b" \t\n\r\x0b\x0c"
@@ -133,19 +133,27 @@ def drop_ranges(text: str | None, ranges) -> tuple[str | None, int, int]:
 
 
 def remove_repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """All rows and columns of docs, text without repeated runs, and a struct column dedup_ (n_lines, n_removed, n_runs)."""
-    ranges = repeated_ranges(docs, gram_words, run_words).select(F.col("doc_id").alias("doc_id__"), F.col("text_hash").alias("text_hash__"), F.col("ranges").alias("ranges__"))
-    joined = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("doc_id__")) & (F.xxhash64("text") == F.col("text_hash__")), "left")
+    """All rows and columns of docs, text without repeated runs, and as last column a struct (n_lines, n_removed, n_runs).
+
+    It is named dedup_, with more underscores if docs has such a column.
+    """
+    doc, digest, found, made, report = fresh(docs, "doc_id__", "text_hash__", "ranges__", "cut__", "dedup_")
+    ranges = repeated_ranges(docs, gram_words, run_words).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest), F.col("ranges").alias(found))
+    joined = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(digest)), "left")
 
     @F.pandas_udf("text string, n_removed long, n_runs long")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([drop_ranges(t, r) for t, r in zip(texts, found, strict=True)], columns=["text", "n_removed", "n_runs"])
 
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    def own(text) -> list:
+        return [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    none = F.lit(0).cast("long")
     # rows without a range skip Python
-    kept = joined.filter(F.col("ranges__").isNull()).select(*docs.columns, F.struct(lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs")).alias("dedup_"))
-    changed = joined.filter(F.col("ranges__").isNotNull()).withColumn("cut__", cut("text", "ranges__"))
-    changed = changed.select(*[F.col("cut__.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.struct(lines.alias("n_lines"), F.col("cut__.n_removed").alias("n_removed"), F.col("cut__.n_runs").alias("n_runs")).alias("dedup_"))
+    kept = joined.filter(F.col(found).isNull()).select(*own(F.col("text")), F.struct(lines, none.alias("n_removed"), none.alias("n_runs")).alias(report))
+    changed = joined.filter(F.col(found).isNotNull()).withColumn(made, cut("text", found))
+    changed = changed.select(*own(F.col(f"{made}.text")), F.struct(lines, F.col(f"{made}.n_removed").alias("n_removed"), F.col(f"{made}.n_runs").alias("n_runs")).alias(report))
     return kept.union(changed)
 
 

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed
+from .common import fresh, materialize, trimmed
 from .components import components
 from .suffix_dedup import Hashes, _mix
 
@@ -403,8 +403,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows whose doc_id is their component's smallest, one for each doc_id; rows without doc_id stay."""
+    (name,) = fresh(docs, "doc_id__")
     total, different = docs.filter("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if total != different:
         docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
-    gone = jaccard_components(docs, percent, width).filter("component_id <> doc_id").select(F.col("doc_id").alias("doc_id__")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("doc_id__"), "left_anti")
+    gone = jaccard_components(docs, percent, width).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

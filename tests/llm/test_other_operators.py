@@ -338,3 +338,36 @@ def test_templates_are_repeated_for_hot_hosts_only(spark, monkeypatch):
     monkeypatch.setattr(html_template, "SALTED", 2)  # only the host of two thirds is hot
     assert {r["page_id"]: r["text"] for r in html_template.extract(df).collect()} == plain
     assert plain[1] == "Story 1 of many words."
+
+
+def test_random_letters_are_noise_and_prose_is_not():
+    import random
+
+    import zstandard
+
+    from quillspan.llm import compression_rules
+
+    rng = random.Random(6)
+    zstd = zstandard.ZstdCompressor(level=3)
+    verdict = lambda t: compression_rules.judge(t, compression_rules.Bands(), zstd)[6]
+    for n in (600, 1500, 6000):
+        assert not verdict(" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11))) for _ in range(n)))
+    # the lower limits take no document of the test table
+    import pandas as pd
+
+    low = compression_rules.Bands(lowest=((6, 0.0),), chunk_lowest=0.0)
+    for text in pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"]:
+        assert compression_rules.judge(text, compression_rules.Bands(), zstd)[6] == compression_rules.judge(text, low, zstd)[6]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    from quillspan.llm import line_dedup, ngram_join
+
+    line = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, line, 5, "x", 7, 8, 9, 1.5), (2, f"{line}\nown words", 5, "x", 7, 8, 9, 1.5), (3, "quite another text of some words", 5, "x", 7, 8, 9, 1.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc_id__ long, ranges__ string, cut__ long, dedup_ long, text_hash__ long, `a.b` double")
+    out = line_dedup.remove_repeated_lines(df)
+    assert out.columns[:-1] == df.columns and out.columns[-1] == "dedup__"
+    assert {r["doc_id"]: (r["text"], r["dedup__"]["n_removed"], r["dedup_"]) for r in out.collect()} == {1: (line, 0, 8), 2: ("own words", 1, 8), 3: (rows[2][1], 0, 8)}
+    kept = ngram_join.keep_first(df.union(df.filter("doc_id = 3").selectExpr("cast(9 as long)", "text", "doc_id__", "ranges__", "cut__", "dedup_", "text_hash__", "`a.b`")))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
