@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that stand earlier; documents that lose all their words go."""
     out = line_dedup.remove_repeated_lines(docs)
-    left = (F.col("dedup_.n_removed") == 0) | F.col("text").rlike(WORD_RE)
-    n_chars = F.when(F.col("dedup_.n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.filter(left).select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    n_removed = F.col(f"{out.columns[-1]}.n_removed")
+    left = (n_removed == 0) | F.col("text").rlike(WORD_RE)
+    n_chars = F.when(n_removed > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.filter(left).select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
