@@ -233,7 +233,7 @@ def test_license_scan_of_everyday_words(spark):
 
 
 def license_brute(text, model):
-    """(family, p, share, evident) of each paragraph, by plain sums over n-grams."""
+    """(family, p, licence, share, evident) of each paragraph, by plain sums over n-grams."""
     import re
 
     out = []
@@ -245,42 +245,96 @@ def license_brute(text, model):
         z = z / model.temperature
         e = np.exp(z - z.max())
         k = int(z.argmax())
-        own = {g for g in grams if " " in g}
-        shares = [len(own & x) / max(1, min(len(own), len(x))) for t in license_scan.TEMPLATES.get(model.classes[k], ()) for x in [{g for g in license_scan._grams(t) if " " in g}]]
-        out.append((model.classes[k], e[k] / e.sum(), max(shares, default=0.0), bool(grams & set(model.evidence))))
+        own, share = {g for g in grams if " " in g}, 0.0
+        for t in license_scan.notices(model.classes[k]) if model.classes[k] in license_scan.TEMPLATES else ():
+            theirs = {g for g in license_scan._grams(t) if " " in g}
+            shorter = min(len(own), len(theirs))
+            common = len(own & theirs) / max(1, shorter)
+            share = max(share, common if shorter >= license_scan.SHORT or (common == 1 and e[k] / e.sum() >= license_scan.LEAST_LICENCE) else 0.0)
+        out.append((model.classes[k], e[k] / e.sum(), 1 - e[model.classes.index("none")] / e.sum(), share, bool(grams & evident_grams(model))))
     return out
 
 
+def evident_grams(model):
+    none = model.classes.index("none")
+    return {g for g, v in model.weights.items() if max(v) > v[none]}
+
+
+def license_verdict(text, model):
+    """Family of a text of one paragraph."""
+    ((family, p, licence, share, _),) = license_brute(text, model)
+    if family not in ("unknown", "none") and p >= license_scan.LEAST_P and share >= license_scan.LEAST_SHARE:
+        return family
+    return "unknown" if licence >= license_scan.LEAST_LICENCE else "none"
+
+
+LICENSE_PROBES = {
+    "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+    "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "// SPDX-License-Identifier: Apache-2.0 */": "apache-2.0",
+    "This code is MIT.": "mit",
+    "thing | other |\nAll rights reserved.": "proprietary",
+    "Veröffentlicht unter der MIT-Lizenz.": "mit",
+    "Licensed under the EUPL 1.2.": "unknown",
+    "This program is under the Microsoft Public License.": "unknown",
+    "Licensed under WTFPL.": "unknown",
+    "Released under the Academic Free License.": "unknown",
+    "This font is licensed under the SIL Open Font License 1.1.": "unknown",
+    "Use of this software is governed by the Business Source License 1.1.": "unknown",
+    "Licensed under the Foobar Community License 3.1": "unknown",
+    "SPDX-License-Identifier: Foo-1.0": "unknown",
+    "The judge said that all rights reserved to the tribe by treaty remain in force.": "none",
+    "mit der und das ist mit": "none",
+    "He used the source of the river as a public place and the work was published under his own name.": "none",
+    "To the public it was free of charge.": "none",
+}
+
+
 def test_license_paragraphs_against_plain_sums(spark):
     model = license_scan.train()
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including"
-    texts = [wrapped, "Licensed under the Eclipse Public License 2.0", "Use of this is under the GNU Affero General Public License v3.\nNext.", "Prose first.\n\nReleased under the MIT License.\nAll rights reserved.", "The committee reserved all copyright and License rights under the MIT License", "Licensed under the Foobar Community License 3.1", *license_scan.NEGATIVES[:8]]
-    texts += [notices[-1] for notices in license_scan.TEMPLATES.values()]
+    texts = [wrapped, "Licensed under the Eclipse Public License 2.0", "Use of this is under the GNU Affero General Public License v3.\nNext.", "Prose first.\n\nReleased under the MIT License.\nAll rights reserved.", "The committee reserved all copyright and License rights under the MIT License", *license_scan.NEGATIVES[:8]]
+    texts += [own[-1] for own in license_scan.TEMPLATES.values()] + list(LICENSE_PROBES)
     rows = [(k, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[:4] * 2, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["line_no"], r["family"], round(r["p"], 9), round(r["share"], 9), r["confirmed"]) for r in license_scan.scan_paragraphs(df).collect())
-    want = []
+    got = {(r["doc_id"], r["line_no"]): (r["family"], round(r["p"], 9), round(r["licence"], 9), round(r["share"], 9)) for r in license_scan.scan_paragraphs(df).collect()}
     for k, t in rows:
-        for i, (family, p, share, evident) in enumerate(license_brute(t, model)):
-            confirmed = family != "unknown" and p >= license_scan.LEAST_P and share >= license_scan.LEAST_SHARE
-            assert evident or not confirmed
-            if evident:
-                want.append((k, i, family, round(p, 9), round(share, 9), confirmed))
-    assert got == sorted(want)
+        for i, (family, p, licence, share, evident) in enumerate(license_brute(t, model)):
+            if (k, i) in got:
+                assert got.pop((k, i)) == (family, round(p, 9), round(licence, 9), round(share, 9))
+            else:  # the regular expression loses none
+                assert not evident and family == "none"
+    assert not got
     family = {r["doc_id"]: r["family"] for r in license_scan.scan_documents(df).collect()}
-    assert [family[k] for k in range(4)] == ["mit", "epl", "agpl", "proprietary"] and family[4] == "unknown" and family[5] in ("unknown", "none")
+    assert [family[k] for k in range(3)] == ["mit", "epl", "agpl"] and family[3] in ("mit", "proprietary")
+    for k, t in rows[-len(LICENSE_PROBES) :]:
+        assert family[k] == LICENSE_PROBES[t] == license_verdict(t, model), t
+
+
+def test_license_paragraphs_without_evidence_are_none():
+    """Nothing but the bias speaks for them at best, and the bias is for `none`."""
+    model = license_scan.train()
+    bias = np.array(model.bias) / model.temperature
+    none = model.classes.index("none")
+    assert bias.argmax() == none or bias.max() == bias[none]
+    e = np.exp(bias - bias.max())
+    assert 1 - e[none] / e.sum() < license_scan.LEAST_LICENCE
+    assert all(g in model.evidence or set(g.split()) & set(model.evidence) for g in evident_grams(model))
+    shown = [g for t, _, out in license_scan.examples() if not out for g in license_scan._grams(t)]
+    assert set(model.evidence) <= set(shown) | {g for t in license_scan._BESIDE for g in license_scan._grams(t)} | set(model.weights)
 
 
 def test_license_model_on_held_out_notices():
-    """Notices that were neither trained on nor in a framing that was."""
+    """Notices and other licences that were not trained on, by the verdict on each."""
     model = license_scan.train()
-    right = 0
-    for name, notices in license_scan.TEMPLATES.items():
-        (found,) = license_brute(f"please note that {notices[-1].rstrip('.').lower()}", model)
-        right += found[0] == name
-    assert right >= 0.85 * len(license_scan.TEMPLATES)
-    wrong = [t for t in license_scan.NEGATIVES[3::4] for f in license_brute(t, model) if f[0] != "unknown" and f[1] >= license_scan.LEAST_P and f[2] >= license_scan.LEAST_SHARE]
-    assert not wrong
+    held = [(license_verdict(t, model), c) for t, c, out in license_scan.examples() if out]
+    fit = {t for t, _, out in license_scan.examples() if not out}
+    assert not fit & {t for t, _, out in license_scan.examples() if out}
+    families = [found == c for found, c in held if c not in ("unknown", "none")]
+    assert sum(families) >= 0.85 * len(families)
+    assert sum(found == c for found, c in held) >= 0.9 * len(held)
+    assert not [c for found, c in held if c == "none" and found not in ("unknown", "none")]
 
 
 def test_pipeline_runs_stage_by_stage(spark, messy, tmp_path):
