@@ -197,8 +197,9 @@ def refine(data: np.ndarray, group: np.ndarray, starts: np.ndarray, length: int
     for span, wide in zip(spans[-2::-1], spans[:0:-1], strict=True):
         places.append(np.unique(np.concatenate([places[-1], places[-1] + (wide - span)])))
     places.reverse()
-    # initial buckets
-    bucket = np.unique(Hashes(data, _B1).of(places[0], places[0] + spans[0]), return_inverse=True)[1].astype(np.int64)
+    # initial buckets: strings equal in two hashes
+    one, two = (np.unique(Hashes(data, base).of(places[0], places[0] + spans[0]), return_inverse=True)[1].astype(np.int64) for base in (_B1, _B2))
+    bucket = np.unique(one * (len(two) + 1) + two, return_inverse=True)[1].astype(np.int64)
     for k in range(1, len(spans)):
         # refine: sort by the pair of a place's number and the number, as refined by now, at the later offset
         here = np.searchsorted(places[k - 1], places[k])
@@ -214,9 +215,33 @@ def refine(data: np.ndarray, group: np.ndarray, starts: np.ndarray, length: int
     return np.unique(own * (int(number.max(initial=0)) + 1) + number, return_inverse=True)[1].astype(np.int64)
 
 
+class Seen:
+    """Windows of an anchor that earlier batches held, told apart by two hashes."""
+
+    def __init__(self):
+        self.one, self.two = np.zeros(0, _U), np.zeros(0, _U)
+
+    def add(self, one: np.ndarray, two: np.ndarray) -> None:
+        one, two = np.concatenate([self.one, one]), np.concatenate([self.two, two])
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.one, self.two = one[new], two[new]
+
+    def has(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.one, one, "left"), np.searchsorted(self.one, one, "right")
+        found = np.zeros(len(one), bool)
+        for step in range(int((high - low).max(initial=0))):  # more than one only where the first hash collides
+            at = low + step
+            mine = np.flatnonzero(at < high)
+            found[mine] |= self.two[at[mine]] == two[mine]
+        return found
+
+
 def _refine(batches, length: int):
     """From open contexts sorted by anchor, salt and place: runs of windows that start earlier too."""
-    last, seen = None, np.zeros(0, _U)
+    last, seen = None, Seen()
     for pdf in _grown(batches):
         raw = pdf["context"].tolist()
         sizes = np.array([len(x) for x in raw])
@@ -226,16 +251,19 @@ def _refine(batches, length: int):
         row = np.repeat(np.arange(len(raw)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = (ends - sizes)[row] + within
-        h = Hashes(data, _B2).of(at, at + length)
+        h, h2 = (Hashes(data, base).of(at, at + length) for base in (_B2, _B1))
         key = _mix(pdf["g"].to_numpy(np.int64).view(_U)) + pdf["salt"].to_numpy(np.int64).astype(_U)
         bucket = refine(data, key[row], at, length)
         order = np.argsort(bucket, kind="stable")
         again = np.zeros(len(row), bool)
         again[order[1:]] = bucket[order[1:]] == bucket[order[:-1]]
         if last is not None:
-            again |= (key[row] == last) & np.isin(h, seen)
+            old = np.flatnonzero(key[row] == last)
+            again[old] |= seen.has(h[old], h2[old])
+        if key[-1] != last:
+            seen = Seen()
         tail = key[row] == key[-1]
-        seen = np.unique(np.concatenate([seen, h[tail]])) if key[-1] == last else np.unique(h[tail])
+        seen.add(h[tail], h2[tail])
         last = key[-1]
         # neighbouring windows as one range
         row, within = row[again], within[again]

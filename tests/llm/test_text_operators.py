@@ -435,6 +435,21 @@ def test_suffix_dedup_small_alphabet(spark):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == want[r["doc_id"], dict(rows)[r["doc_id"]]][:3]
 
 
+def test_windows_seen_are_told_by_two_hashes():
+    """Equal first hashes with different second ones are different windows."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    one, two = rng.integers(0, 20, 300).astype(np.uint64), rng.integers(0, 20, 300).astype(np.uint64)
+    seen, pairs = suffix_dedup.Seen(), set()
+    for at in range(0, 300, 50):
+        a, b = one[at : at + 50], two[at : at + 50]
+        assert seen.has(a, b).tolist() == [(x, y) in pairs for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        seen.add(a, b)
+        pairs |= set(zip(a.tolist(), b.tolist(), strict=True))
+    assert list(zip(seen.one.tolist(), seen.two.tolist(), strict=True)) == sorted(pairs)
+
+
 def test_refined_buckets_are_equal_strings():
     import random
 
