@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,47 +62,63 @@ def similarities(left: list[str], right: list[str], k: int, window: int, hash_na
     for own in a:
         low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
         met = np.concatenate([np.zeros(0, np.int64), *(place[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x)])
-        common = np.bincount(met, minlength=len(b))
-        near = np.flatnonzero(common)
-        out.append(dict(zip(near.tolist(), (common[near] / (len(own) + sizes[near] - common[near])).tolist(), strict=True)))
+        near, common = np.unique(met, return_counts=True)
+        out.append(dict(zip(near.tolist(), (common / (len(own) + sizes[near] - common)).tolist(), strict=True)))
     return out
 
 
-def best_path(gains: list[dict[int, float]], width: int, gap_penalty: float) -> list[tuple[int, int]]:
+def _next_row(score: np.ndarray, gain: dict[int, float], gap: int, along: np.ndarray):
+    """The row of scores after `score`, with the two ways into each cell that do not come along the row."""
+    step = np.full(len(score) - 1, -gap, np.int64)
+    for j, g in gain.items():
+        if j < len(step):
+            step[j] = round(g * UNIT)
+    diagonal, down = np.append(score[0] - gap, score[:-1] + step), score - gap
+    return np.maximum.accumulate(np.maximum(diagonal, down) + along) - along, diagonal, down
+
+
+def best_path(gains: list[dict[int, float]], width: int, gap_penalty: float, block: int | None = None) -> list[tuple[int, int]]:
     """Pairs (row, column) of the diagonal steps of the best order-preserving path.
 
     A diagonal step earns its gain, or costs the penalty where there is none; a skipped row
     or column costs the penalty. A row of the table is three array operations: the step
     along the row is a running maximum, since every skip costs the same. Of equal ways a
     diagonal is taken first, then a skipped row.
+
+    Only each `block`-th row of scores is kept. The way back computes the rows between two
+    of them again, up to the column it has come to, and holds moves for those alone: memory
+    grows with columns times the root of the rows, and the path is that of the whole table.
     """
     gap = round(gap_penalty * UNIT)
     along = gap * np.arange(width + 1, dtype=np.int64)
-    score, moves = -along, np.full((len(gains) + 1, width + 1), SKIP_RIGHT, np.int8)
-    for i, gain in enumerate(gains, 1):
-        step = np.full(width, -gap, np.int64)
-        for j, g in gain.items():
-            step[j] = round(g * UNIT)
-        diagonal, down = np.append(score[0] - gap, score[:-1] + step), score - gap
-        row = np.maximum.accumulate(np.maximum(diagonal, down) + along) - along
-        moves[i] = np.where(row == diagonal, MATCH, np.where(row == down, SKIP_LEFT, SKIP_RIGHT))
-        moves[i, 0] = SKIP_LEFT
-        score = row
-    pairs, at = [], (len(gains), width)
-    while at != (0, 0):
-        move = moves[at]
-        if move == MATCH:
-            at = at[0] - 1, at[1] - 1
-            pairs.append(at)
-        else:
-            at = (at[0] - 1, at[1]) if move == SKIP_LEFT else (at[0], at[1] - 1)
+    block = block or max(1, math.isqrt(8 * len(gains)))  # kept scores take 8 bytes, moves one
+    score, kept = -along, []
+    for i, gain in enumerate(gains):
+        if i % block == 0:
+            kept.append(score)
+        score = _next_row(score, gain, gap, along)[0]
+    pairs, row, column = [], len(gains), width
+    while kept:
+        low = (len(kept) - 1) * block
+        score, here = kept.pop()[: column + 1], along[: column + 1]
+        moves = np.empty((row - low, column + 1), np.int8)
+        for i in range(low, row):
+            score, diagonal, down = _next_row(score, gains[i], gap, here)
+            moves[i - low] = np.where(score == diagonal, MATCH, np.where(score == down, SKIP_LEFT, SKIP_RIGHT))
+            moves[i - low, 0] = SKIP_LEFT
+        while row > low:
+            move = moves[row - 1 - low, column]
+            row -= move != SKIP_RIGHT
+            column -= move != SKIP_LEFT
+            if move == MATCH:
+                pairs.append((row, column))
     return pairs[::-1]
 
 
 def align(left: list[str], right: list[str], k: int = 8, window: int = 5, min_similarity: float = 0.15, gap_penalty: float = 0.05, hash_name: str = "blake2b64") -> list[tuple[int, int, float]]:
     """Order-preserving alignment of canonical segments by fingerprint ratio: (left, right, ratio) of the matches.
 
-    The table of moves takes a byte for each pair of segments of the two documents.
+    Memory grows with the segments of one document times the root of the other's.
     """
     gains = [{j: s for j, s in row.items() if s >= min_similarity} for row in similarities(left, right, k, window, hash_name)]
     return [(i, j, gains[i][j]) for i, j in best_path(gains, len(right), gap_penalty) if j in gains[i]]

@@ -330,6 +330,27 @@ def test_alignment_has_the_best_score(spark):
         assert abs(sum(gains[i].get(j, -0.05) for i, j in path) - 0.05 * (n + m - 2 * len(path)) - best(n, m)) < 1e-9
 
 
+def test_alignment_in_blocks_is_that_of_the_whole_table():
+    """Any block size gives the same path, ties included, and moves of one block alone are held."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(21)
+    for _ in range(150):
+        n, m = rng.randrange(0, 24), rng.randrange(0, 24)
+        gains = [{j: rng.choice([0.2, 0.5, 1.0]) for j in range(m) if rng.random() < 0.2} for _ in range(n)]
+        whole = compare.best_path(gains, m, 0.05, block=n + 1)
+        assert all(compare.best_path(gains, m, 0.05, block=b) == whole for b in (1, 2, 5, None))
+        assert all(0 <= i < n and 0 <= j < m for i, j in whole)
+    n = 5000
+    gains = [{(i * 7919) % n: 0.3, i: 0.9} for i in range(n)]
+    tracemalloc.start()
+    path = compare.best_path(gains, n, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert path == [(i, i) for i in range(n)] and peak < n * n / 4
+
+
 def test_cycles_and_checked_events_and_typed_slots(spark):
     edges = spark.createDataFrame([(a, b, "E", 1.0) for a, b in [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "a"), ("s", "s")]], "src string, dst string, edge_type string, confidence double")
     assert {tuple(r) for r in graph.cyclic_part(edges).select("src", "dst").collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("s", "s")}
