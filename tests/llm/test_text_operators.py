@@ -420,6 +420,31 @@ def test_suffix_dedup(messy, messy_rows, empty, hot):
     assert suffix_dedup.repeat_report(empty).count() == 0
 
 
+def test_suffix_dedup_works_on_bounded_pieces(monkeypatch):
+    """A task's Python objects do not grow with the batch it is given, null lists and empty texts included."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    texts = [chr(97 + i % 26) * (i % 5 * 150) for i in range(60)]
+    spans = [None if i % 4 == 3 or i % 5 == 0 else [{"low": 0, "high": i % 5 * 10}] for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(60), pa.int64()), "text": pa.array(texts), "ranges": pa.array(spans, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))})
+    out = list(suffix_dedup._cut(iter([batch, batch.slice(0, 0)]), 100))
+    assert len(out) > 10 and all(sum(b.column("n_bytes").to_pylist()) <= 1000 + 600 for b in out)
+    got = [row for b in out for row in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(60))
+    for r, text, span in zip(got, texts, spans, strict=True):
+        gone = 0 if span is None else span[0]["high"] + 100
+        assert (r["text_bytes"], r["n_removed"], r["n_spans"]) == (text.encode()[gone:], gone, int(gone > 0))
+    runs = [None if s is None else [{"g": 7, "salts": 3 if i % 2 else 1, **s[0]}] for i, s in enumerate(spans)]
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("salts", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
+    ids = pa.array(range(60), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "th": ids, "text": pa.array(texts), "open": pa.array(runs, kind)})
+    out = list(suffix_dedup._contexts(iter([batch]), 100))
+    assert len(out) > 10 and all(sum(map(len, b.column("context").to_pylist())) <= 1000 + 5000 for b in out)
+    want = sorted((i, at, t[at : at + (100 if i % 2 else s[0]["high"] + 100)].encode()) for i, (t, s) in enumerate(zip(texts, spans, strict=True)) if s for at in (range(s[0]["high"] + 1) if i % 2 else [0]))
+    assert sorted((r["doc_id"], r["low"], r["context"]) for b in out for r in b.to_pylist()) == want
+
+
 def test_suffix_dedup_small_alphabet(spark):
     """Few letters make many overlapping repeats and shared anchors."""
     import random
