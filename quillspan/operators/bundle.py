@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,8 +30,7 @@ def build_bundles(docs: DataFrame, text: str = "text", source_json: str = "sourc
 
     raw = F.coalesce(F.col(text), F.lit(""))
     listed = [F.col(events).alias("semantic_events")] if events else []
-    d = docs.select(*keep, complete(F.col(source_json)).alias("source_json"), raw.alias("raw"), T.nfkc(raw).alias("nfkc"), *listed, (F.col(events).isNotNull() if events else F.lit(False)).alias("semantic_events_included"))
-    d = d.withColumn("normalized", T.collapse(F.col("nfkc"))).withColumn("parts", T.segments_of_nfkc("nfkc")).drop("nfkc")
+    d = docs.select(*keep, complete(F.col(source_json)).alias("source_json"), raw.alias("raw"), T.normalize_text(raw).alias("normalized"), T.segments_of(raw).alias("parts"), *listed, (F.col(events).isNotNull() if events else F.lit(False)).alias("semantic_events_included"))
     d = T.fenced(d)
     hashes = F.transform("parts", lambda s: F.sha2(s, 256))
     d = d.withColumn("segments", F.transform("parts", lambda s, i: F.struct(i.alias("ordinal"), F.sha2(s, 256).alias("segment_hash"), s.alias("text"))))
@@ -47,7 +44,6 @@ def verify_bundles(bundles: DataFrame) -> DataFrame:
     """bundles with errors (codes, in checking order) and ok. Source JSON is brought to canonical form first."""
     b = bundles.withColumn("source_", T.stable_json("source_json"))
     texts = F.transform("segments", lambda s: F.coalesce(s["text"], F.lit("")))
-    # normalisation of the segments' texts happens on their explosion: one Arrow pass over a joined array
     b = b.withColumn("texts_", _normalize_all(texts))
     b = T.fenced(b.withColumn("hashes_", F.transform("texts_", lambda s: F.sha2(s, 256))))
     count = F.size("segments")
@@ -83,15 +79,13 @@ def verify_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def _normalize_all(texts):
-    """Normalised texts of an array; arrays of plain texts stay in the JVM."""
-    space = re.compile(r"\s+")
+    """Normalised texts of an array."""
 
     @F.pandas_udf("array<string>")
     def each(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else [space.sub(" ", unicodedata.normalize("NFKC", t)).strip() for t in a])
+        return arrays.map(lambda a: None if a is None else [T.normalize_plain(t) for t in a])
 
-    plain = T.is_plain(F.array_join(texts, " "))
-    return F.when(plain, F.transform(texts, T.collapse)).otherwise(each(F.when(~plain, texts)))
+    return each(texts)
 
 
 def ingest_bundles(bundles: DataFrame, segments: str = "normalized") -> DataFrame:
