@@ -144,3 +144,15 @@ def test_snapshots(spark, tmp_path):
         table.commit(1, {"a": 3})
     assert table.read() == (2, {"a": "ü"})
     assert [name for name, _, _ in children(spark, f"{table.path}/_snapshots") if "draft" in name] == []
+
+
+def test_fingerprint_rows_are_made_once(spark):
+    """The plan makes each text's fingerprints once; texts without any, and copies, keep their results."""
+    from quillspan.operators import search
+
+    segs = spark.createDataFrame([(1, 0, "abcdefghijklmnopqrstuvwxyz"), (1, 1, ""), (2, 0, "abcdefghijklmnopqrstuvwxyz"), (3, 0, None)], "doc_id long, ordinal int, canonical string")
+    index = search.build_fingerprint_index(segs, "doc_id", "ordinal")
+    assert index._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    queries = spark.createDataFrame([("a", "abcdefghijklmnopqrstuvwxyz"), ("b", ""), ("c", None)], "q string, text string")
+    got = search.search_fingerprints(index, queries, "q", place=("doc_id", "ordinal")).collect()
+    assert sorted((r["q"], r["doc_id"], r["ordinal"], r["fingerprint_jaccard"]) for r in got) == [("a", 1, 0, 1.0), ("a", 2, 0, 1.0)]
