@@ -83,10 +83,13 @@ def search_phrase(segs: DataFrame, queries: DataFrame, key: str, text: str = "te
         def scan(batches, needles=needles):
             machine = KeywordAutomaton(needles)
             for pdf in batches:
-                rows = []
-                for row in pdf.itertuples(index=False):
+                # a batch's hits beyond the first `limit` of a needle, by place, cannot be among the first of all
+                rows, met = [], dict.fromkeys(needles, 0)
+                for row in pdf.sort_values(list(place), na_position="first", kind="stable").itertuples(index=False):
                     for needle in {raw for _, raw in machine.scan_canonical(row[-1] or "")}:
-                        rows += [(k, *row[:-1]) for k in needles[needle]]
+                        if met[needle] < limit:
+                            met[needle] += 1
+                            rows += [(k, *row[:-1]) for k in needles[needle]]
                 yield pd.DataFrame(rows, columns=[key, *place])
 
         parts.append(segs.select(*place, "canonical").mapInPandas(scan, f"{key} {kind}, {types}"))

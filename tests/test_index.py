@@ -156,3 +156,17 @@ def test_fingerprint_rows_are_made_once(spark):
     queries = spark.createDataFrame([("a", "abcdefghijklmnopqrstuvwxyz"), ("b", ""), ("c", None)], "q string, text string")
     got = search.search_fingerprints(index, queries, "q", place=("doc_id", "ordinal")).collect()
     assert sorted((r["q"], r["doc_id"], r["ordinal"], r["fingerprint_jaccard"]) for r in got) == [("a", 1, 0, 1.0), ("a", 2, 0, 1.0)]
+
+
+def test_a_batch_sends_on_no_more_hits_than_the_limit(spark):
+    """Hits of a common phrase are cut where they are found; the first by place stay, whatever the order of rows."""
+    from quillspan.operators import search
+
+    segs = spark.createDataFrame([(i * 37 % 500, 0, "abcabc") for i in range(500)], "doc_id long, ordinal int, canonical string").coalesce(1)
+    queries = spark.createDataFrame([("a", "ab"), ("b", "ab"), ("c", "zz")], "q string, text string")
+    hits = search.search_phrase(segs, queries, "q", limit=5, place=("doc_id", "ordinal"))
+    assert sorted((r["q"], r["doc_id"]) for r in hits.collect()) == [(q, i) for q in "ab" for i in range(5)]
+    kept = []
+    segs_ = type("Rows", (), {"select": lambda self, *c: self, "dtypes": segs.select("doc_id", "ordinal").dtypes, "sparkSession": spark, "mapInPandas": lambda self, scan, schema: kept.append(scan) or spark.createDataFrame([], schema)})()
+    search.search_phrase(segs_, queries, "q", limit=5, place=("doc_id", "ordinal"))
+    assert sum(map(len, kept[0](iter([segs.toPandas()])))) == 10
