@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import corpus, legacy, search
-from quillspan.operators.overlap_index import OverlapIndex, best, size_of
+from quillspan.operators.overlap_index import OverlapIndex, best, gram_lists, size_of
 from quillspan.sources.snapshots import Conflict, Snapshots, children
 
 PLACE = ("doc_id", "ordinal")
@@ -63,6 +63,21 @@ def test_common_lists_are_only_looked_up(monkeypatch):
     assert max(added) < n
 
 
+def test_gram_lists_are_what_single_texts_give():
+    """Also for alphabets whose grams do not fit one number, and for texts shorter than a gram."""
+    rng = random.Random(11)
+    for q, letters in ((1, "ab"), (3, "abcdef"), (3, "".join(map(chr, range(0x4E00, 0x5200))) + "\U0001f600"), (9, "".join(map(chr, range(1, 2000))))):
+        for _ in range(20):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 3, 9, 40]))) for _ in range(rng.randrange(0, 30))]
+            expected: dict[str, list] = {}
+            for i, t in enumerate(texts):
+                for g in {t[j : j + q] for j in range(max(1, len(t) - q + 1))} if t else ():
+                    expected.setdefault(g, []).append(i)
+            tokens, ends, owners, sizes = gram_lists(texts, q)
+            assert {t: owners[a:b].tolist() for t, a, b in zip(tokens, ends, ends[1:], strict=False)} == expected
+            assert len(tokens) == len(expected) and sizes.tolist() == [sum(i in x for x in expected.values()) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("shard_chars,folder_postings", [(4_000_000, 400_000), (1500, 300)])
 def test_index_agrees_with_the_scans(spark, tmp_path, segs, asked, shard_chars, folder_postings):
     path = f"file://{tmp_path}/grams"
