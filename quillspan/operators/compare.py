@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,21 +50,26 @@ UNIT = 1 << 40
 
 def similarities(left: list[str], right: list[str], k: int, window: int, hash_name: str) -> list[dict[int, float]]:
     """For each left segment the right segments that share a fingerprint, with their fingerprint ratio."""
-    prints = []
-    for side in (left, right):
-        hashes = [FP.rolling_hashes(text, k, hash_name) for text in side]
-        prints.append([np.unique(h[FP.winnow(h, window)]) for h in hashes])
-    a, b = prints
+    prints = FP.window_sets(FP.GramHashes(k, hash_name).rolling([*left, *right]), window)
+    return ratios(prints[: len(left)], prints[len(left) :])
+
+
+def ratios(a: list[np.ndarray], b: list[np.ndarray]) -> list[dict[int, float]]:
+    """similarities of segments given as sorted distinct fingerprints."""
     sizes = np.array([len(x) for x in b], np.int64)
     value, place = np.concatenate([np.zeros(0, np.uint64), *b]), np.repeat(np.arange(len(b)), sizes)
     order = np.argsort(value, kind="stable")
     value, place = value[order], place[order]
-    out = []
-    for own in a:
-        low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+    ends = np.cumsum([0, *map(len, a)])
+    every = np.concatenate([np.zeros(0, np.uint64), *a])
+    lows, highs = np.searchsorted(value, every, "left"), np.searchsorted(value, every, "right")
+    shared = np.append(0, np.cumsum(highs > lows))[ends]  # most segments share nothing with the other side
+    out = [{} for _ in a]
+    for i in np.flatnonzero(shared[1:] > shared[:-1]).tolist():
+        own, low, high = a[i], lows[ends[i] : ends[i + 1]], highs[ends[i] : ends[i + 1]]
         met = np.concatenate([np.zeros(0, np.int64), *(place[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x)])
         near, common = np.unique(met, return_counts=True)
-        out.append(dict(zip(near.tolist(), (common / (len(own) + sizes[near] - common)).tolist(), strict=True)))
+        out[i] = dict(zip(near.tolist(), (common / (len(own) + sizes[near] - common)).tolist(), strict=True))
     return out
 
 
@@ -120,17 +126,37 @@ def align(left: list[str], right: list[str], k: int = 8, window: int = 5, min_si
 
     Memory grows with the segments of one document times the root of the other's.
     """
-    gains = [{j: s for j, s in row.items() if s >= min_similarity} for row in similarities(left, right, k, window, hash_name)]
-    return [(i, j, gains[i][j]) for i, j in best_path(gains, len(right), gap_penalty) if j in gains[i]]
+    return _matches(similarities(left, right, k, window, hash_name), len(right), min_similarity, gap_penalty)
+
 
+def _matches(similar: list[dict[int, float]], width: int, min_similarity: float = 0.15, gap_penalty: float = 0.05) -> list[tuple[int, int, float]]:
+    gains = [{j: s for j, s in row.items() if s >= min_similarity} for row in similar]
+    if not any(gains):
+        return []
+    return [(i, j, gains[i][j]) for i, j in best_path(gains, width, gap_penalty) if j in gains[i]]
 
-def align_pairs(segs: DataFrame, pairs: DataFrame, key: str, **options) -> DataFrame:
-    """left, right, left_ordinal, right_ordinal, score of the matched segments of each pair."""
+
+def align_pairs(segs: DataFrame, pairs: DataFrame, key: str, k: int = 8, window: int = 5, hash_name: str = "blake2b64", **options) -> DataFrame:
+    """left, right, left_ordinal, right_ordinal, score of the matched segments of each pair.
+
+    Hashing takes most of the time, so the pairs of some million signs are hashed together, and a gram of theirs once.
+    """
     ordered = segs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "canonical"))), lambda x: x["canonical"]).alias("c"))
     p = pairs.join(ordered.select(F.col(key).alias("left"), F.col("c").alias("a")), "left").join(ordered.select(F.col(key).alias("right"), F.col("c").alias("b")), "right")
 
     @F.pandas_udf("array<struct<left_ordinal:int,right_ordinal:int,score:double>>")
-    def match(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"left_ordinal": i, "right_ordinal": j, "score": s} for i, j, s in align(list(x), list(y), **options)] for x, y in zip(a, b, strict=True)])
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hashes = FP.GramHashes(k, hash_name)
+        for a, b in batches:
+            rows, out = list(zip(a, b, strict=True)), []
+            for low, high in T.pieces([sum(map(len, x)) + sum(map(len, y)) for x, y in rows]):
+                texts = [t for row in rows[low:high] for side in row for t in side]
+                prints, at = FP.window_sets(hashes.rolling(texts), window), 0
+                for x, y in rows[low:high]:
+                    mid, end = at + len(x), at + len(x) + len(y)
+                    found = _matches(ratios(prints[at:mid], prints[mid:end]), len(y), **options)
+                    out.append([{"left_ordinal": i, "right_ordinal": j, "score": s} for i, j, s in found])
+                    at = end
+            yield pd.Series(out, dtype=object)
 
     return p.select("left", "right", F.explode(match("a", "b")).alias("m")).select("left", "right", "m.*")
