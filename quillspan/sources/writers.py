@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import stable_json
+from quillspan.functions.text import pieces, stable_json
 from quillspan.operators.legacy import BUNDLE_GUARD
 from quillspan.sources.snapshots import file_system
 
@@ -35,16 +36,17 @@ MANIFEST = ("bundle_version", "witness_key", "doc_hash", "merkle_root", "segment
 
 
 def bundle_files(built: DataFrame, key: str = "witness_key") -> DataFrame:
-    """folder, name, content: every file of every bundle as a row."""
+    """folder, name, content: every file of every bundle as a row; the bundles of some million signs are Python objects at once."""
 
     def files(batches):
-        for pdf in batches:
-            rows = [(r["folder"], name, content) for r in pdf.to_dict("records") for name, content in _files_of(r).items()]
-            yield pd.DataFrame(rows, columns=["folder", "name", "content"])
+        for batch in batches:
+            for low, high in pieces(pc.binary_length(batch.column("segments")).to_pylist()):
+                rows = [(r["folder"], name, content) for r in batch.slice(low, high - low).to_pylist() for name, content in _files_of(r).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["folder", "name", "content"])
 
     optional = [F.col(c) if c in built.columns else F.lit(None).cast(t).alias(c) for c, t in (("raw", "string"), ("semantic_events", "array<string>"))]
     parts = built.select(F.col(key).alias("folder"), *MANIFEST, "source_json", "normalized", F.to_json("segments").alias("segments"), *optional)
-    return parts.mapInPandas(files, "folder string, name string, content string")
+    return parts.mapInArrow(files, "folder string, name string, content string")
 
 
 def _files_of(r: dict) -> dict[str, str]:
@@ -59,8 +61,7 @@ def _files_of(r: dict) -> dict[str, str]:
         content["raw"] = r["raw"]
     if r["semantic_events_included"]:
         content["semantic_events"] = lines(map(json.loads, r["semantic_events"]))
-    plain = {c: v.item() if hasattr(v := r[c], "item") else v for c in MANIFEST}
-    manifest = plain | {"artifacts": {k: n if k in content else None for k, n in BUNDLE_FILES.items()}}
+    manifest = {c: r[c] for c in MANIFEST} | {"artifacts": {k: n if k in content else None for k, n in BUNDLE_FILES.items()}}
     return {BUNDLE_FILES[k]: v for k, v in content.items()} | {"manifest.json": pretty(manifest)}
 
 
