@@ -185,3 +185,40 @@ def test_a_batch_sends_on_no_more_hits_than_the_limit(spark):
     segs_ = type("Rows", (), {"select": lambda self, *c: self, "dtypes": segs.select("doc_id", "ordinal").dtypes, "sparkSession": spark, "mapInPandas": lambda self, scan, schema: kept.append(scan) or spark.createDataFrame([], schema)})()
     search.search_phrase(segs_, queries, "q", limit=5, place=("doc_id", "ordinal"))
     assert sum(map(len, kept[0](iter([segs.toPandas()])))) == 10
+
+
+def test_packed_lists_keep_their_numbers():
+    """Gaps take one, two or four bytes; common tokens take one byte a segment."""
+    from quillspan.operators.overlap_index import packed, unpacked
+
+    rng = random.Random(4)
+    lists = [sorted(rng.sample(range(top), rng.randrange(1, min(top, 300)))) for top in (2, 200, 60_000, 5_000_000) for _ in range(20)] + [[0], [255], [256], [65_535], [65_536], list(range(40_000))]
+    rng.shuffle(lists)
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    order, sizes, data = packed(ends, np.concatenate(lists).astype(np.int32))
+    got = [unpacked(b, int(n)).tolist() for b, n in zip(data.to_pylist(), sizes, strict=True)]
+    assert got == [lists[i] for i in order] and sorted(order) == list(range(len(lists)))
+    assert len(data[order.tolist().index(lists.index(list(range(40_000))))].as_py()) == 40_000
+    assert len(packed(np.zeros(1, np.int32), np.zeros(0, np.int32))[2]) == 0
+
+
+def test_lists_are_stored_as_bytes(spark, tmp_path, segs):
+    index = OverlapIndex.create(spark, f"file://{tmp_path}/grams", TYPES, "grams", 1500, 300, q=3).append(segs)
+    assert dict(spark.read.parquet(f"{index.path}/lists").dtypes)["ids"] == "binary"
+    assert {r["token"]: r["n"] for r in index.frequencies().groupBy("token").agg(F.sum("n").alias("n")).collect()} == {r["token"]: r["n"] for r in index.lists().groupBy("token").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    meta = index.meta | {"format": 1}
+    Snapshots(spark, index.path).commit(index.version, meta)
+    with pytest.raises(ValueError, match="another format"):
+        OverlapIndex(spark, index.path)
+
+
+def test_many_candidates_are_added_up_and_not_looked_up(monkeypatch):
+    """Where nearly every segment can still win, one pass over the lists costs less than a look at each list for each segment."""
+    rng = np.random.default_rng(2)
+    lists = [np.flatnonzero(rng.random(4000) < 0.4) for _ in range(120)]
+    looked, search_in = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **k: looked.append(np.size(v)) or search_in(a, v, **k))
+    some, shared = best(lists, 4000, 50)
+    counts = np.bincount(np.concatenate(lists), minlength=4000)
+    assert sorted(zip((-shared).tolist(), some.tolist(), strict=True)) == sorted(zip((-counts).tolist(), range(4000), strict=True))[:50]
+    assert sum(looked) < 4000
