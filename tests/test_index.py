@@ -222,3 +222,9 @@ def test_many_candidates_are_added_up_and_not_looked_up(monkeypatch):
     counts = np.bincount(np.concatenate(lists), minlength=4000)
     assert sorted(zip((-shared).tolist(), some.tolist(), strict=True)) == sorted(zip((-counts).tolist(), range(4000), strict=True))[:50]
     assert sum(looked) < 4000
+
+
+def test_texts_stay_where_they_are_when_phrases_have_few_candidates(spark, tmp_path, segs, asked):
+    index = OverlapIndex.create(spark, f"file://{tmp_path}/grams", TYPES, "grams", 1500, 300, q=3).append(segs)
+    plan = index.phrases(asked.filter("char_length(text) > 3"), "q")._jdf.queryExecution().executedPlan().toString()
+    assert "canonical" in plan and "hashpartitioning(part" not in plan
