@@ -33,9 +33,9 @@ def segments(witnesses: DataFrame, *keep: str) -> DataFrame:
     return s.select(segment_id.alias("segment_id"), "witness_id", *keep, "ordinal", "segment_hash", "text", T.canonical_of_normalized("text").alias("canonical"))
 
 
-def document_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, ordinal, text, canonical of plain rows, without witness ids."""
-    return T.exploded_segments(docs, key, text)
+def document_segments(docs: DataFrame, key: str, text: str = "text", columns: tuple = ("text", "canonical"), first: bool = False) -> DataFrame:
+    """key, ordinal, text, canonical (or the columns named, see exploded_segments) of plain rows, without witness ids; first: only what stands first."""
+    return T.exploded_segments(docs, key, text, columns, first)
 
 
 def postings(segs: DataFrame, *key: str, q: int = 3) -> DataFrame:

@@ -24,8 +24,9 @@ KEYWORDS = ["GNU", "Licensed under", "license", "MIT License", "rights reserved"
 PLACE = ("doc_id", "ordinal")
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_segments(table(spark, sf_dir, "documents"), "doc_id")
+def _segments(spark: SparkSession, sf_dir: str, *columns: str, first: bool = False) -> DataFrame:
+    """The documents' segments with the columns named, else text and canonical."""
+    return corpus.document_segments(table(spark, sf_dir, "documents"), "doc_id", columns=columns or ("text", "canonical"), first=first)
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def merkle_roots(spark, sf_dir):
 
 
 def qgram_postings(spark, sf_dir):
-    return corpus.postings(_segments(spark, sf_dir), *PLACE)
+    return corpus.postings(_segments(spark, sf_dir, "canonical"), *PLACE)
 
 
 def gram_df(spark, sf_dir):
@@ -74,14 +75,13 @@ def gram_df(spark, sf_dir):
 
 
 def exact_segment_dups(spark, sf_dir):
-    s = _segments(spark, sf_dir).select(F.sha2("text", 256).alias("segment_hash"))
-    return corpus.repeated_segments(s)
+    return corpus.repeated_segments(_segments(spark, sf_dir, "segment_hash"))
 
 
 def exact_segment_lookup(spark, sf_dir):
     """All places of the segments that documents begin with."""
-    s = _segments(spark, sf_dir).withColumn("segment_hash", F.sha2("text", 256))
-    return corpus.exact_segment_hash(s, s.filter("ordinal = 0")).select("doc_id", "ordinal", "segment_hash", "score")
+    first = _segments(spark, sf_dir, "segment_hash", first=True)
+    return corpus.exact_segment_hash(_segments(spark, sf_dir, "segment_hash"), first).select("doc_id", "ordinal", "segment_hash", "score")
 
 
 def witness_lookup(spark, sf_dir):
@@ -93,16 +93,16 @@ def witness_lookup(spark, sf_dir):
 
 
 def phrase_search(spark, sf_dir):
-    return search.search_phrase(_segments(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+    return search.search_phrase(_segments(spark, sf_dir, "canonical"), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
 
 
 def phrase_short(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.substring(T.canonical_text("text"), 1, 2).alias("text"))
-    return search.search_phrase(_segments(spark, sf_dir), q, "item_id", place=PLACE)
+    return search.search_phrase(_segments(spark, sf_dir, "canonical"), q, "item_id", place=PLACE)
 
 
 def fuzzy_search(spark, sf_dir):
-    return search.search_fuzzy(_segments(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
+    return search.search_fuzzy(_segments(spark, sf_dir, "canonical"), table(spark, sf_dir, "benchmark"), "item_id", place=PLACE)
 
 
 def _stored_index(spark, sf_dir, kind, **options):
@@ -115,7 +115,7 @@ def _stored_index(spark, sf_dir, kind, **options):
         found = OverlapIndex(spark, path)
     except ValueError:
         found = OverlapIndex.create(spark, path, {"doc_id": "long", "ordinal": "int"}, kind, texts=kind == "grams", **options)
-    return found if found.meta["parts"] else found.append(_segments(spark, sf_dir))
+    return found if found.meta["parts"] else found.append(_segments(spark, sf_dir, "canonical"))
 
 
 def _gram_index(spark, sf_dir):
@@ -137,22 +137,22 @@ def fuzzy_by_index(spark, sf_dir):
 
 def appended_index(spark, sf_dir):
     """Passages through an index that was built in two parts."""
-    s = _segments(spark, sf_dir)
+    s = _segments(spark, sf_dir, "canonical")
     index = OverlapIndex.create(spark, _folder(spark, "index"), {"doc_id": "long", "ordinal": "int"}, "grams", shard_chars=1_000_000, q=3)
     index = index.append(s.filter("doc_id % 2 = 0")).append(s.filter("doc_id % 2 = 1"))
     return index.phrases(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 def dictionary_scan(spark, sf_dir):
-    return search.dictionary_scan(_segments(spark, sf_dir), KEYWORDS, place=PLACE)
+    return search.dictionary_scan(_segments(spark, sf_dir, "canonical"), KEYWORDS, place=PLACE)
 
 
 def dictionary_positions(spark, sf_dir):
-    return search.keyword_positions(_segments(spark, sf_dir), KEYWORDS, place=PLACE)
+    return search.keyword_positions(_segments(spark, sf_dir, "canonical"), KEYWORDS, place=PLACE)
 
 
 def winnow_fingerprints(spark, sf_dir):
-    s = _segments(spark, sf_dir)
+    s = _segments(spark, sf_dir, "canonical")
     return s.select(*PLACE, F.explode(fingerprint_values("canonical", hash_name="sha256_64")).alias("fingerprint"))
 
 
@@ -164,13 +164,13 @@ def winnow_positions(spark, sf_dir):
 
 
 def fingerprint_stats(spark, sf_dir):
-    s = _segments(spark, sf_dir).select(F.size(fingerprint_values("canonical", hash_name="sha256_64")).alias("n"))
+    s = _segments(spark, sf_dir, "canonical").select(F.size(fingerprint_values("canonical", hash_name="sha256_64")).alias("n"))
     return s.agg(F.count("*").alias("segments"), F.sum("n").cast("long").alias("fingerprints"))
 
 
 def _fingerprint_index(spark, sf_dir):
     """The fingerprints of all segments as rows: most stand in one segment, so lists by shard would cost more than the rows."""
-    return search.build_fingerprint_index(_segments(spark, sf_dir), *PLACE, hash_name="sha256_64")
+    return search.build_fingerprint_index(_segments(spark, sf_dir, "canonical"), *PLACE, hash_name="sha256_64")
 
 
 def fingerprint_candidates(spark, sf_dir):
@@ -178,7 +178,7 @@ def fingerprint_candidates(spark, sf_dir):
 
 
 def compare_witnesses(spark, sf_dir):
-    s = _segments(spark, sf_dir).withColumn("segment_hash", F.sha2("text", 256))
+    s = _segments(spark, sf_dir, "canonical", "segment_hash")
     return compare.compare_witnesses(compare.profiles(s, "doc_id"), _neighbours(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
 
