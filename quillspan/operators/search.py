@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillspan.functions import fingerprint as FP
-from quillspan.functions.text import canonical_plain, canonical_text
+from quillspan.functions.text import canonical_plain, canonical_text, pieces
 
 QUERY_BLOCK = 5000
 FUZZY_BLOCK = 500
@@ -33,17 +37,35 @@ class KeywordAutomaton:
             if canonical:
                 self._given.setdefault(canonical, []).append(raw)
         self._machine = ahocorasick.Automaton()
-        for canonical in self._given:
-            self._machine.add_word(canonical, canonical)
+        self._raws = list(self._given.values())
+        for number, canonical in enumerate(self._given):
+            self._machine.add_word(canonical, number)
         if self._given:
             self._machine.make_automaton()
 
     def scan_canonical(self, canonical: str):
         if self._given and canonical:
             for end, found in self._machine.iter(canonical):
-                for raw in self._given[found]:
+                for raw in self._raws[found]:
                     yield end, raw
 
+    def scan_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(text numbers, end indexes, keywords) of all hits in some canonical texts, which are read as one text.
+
+        They are joined by a sign that no keyword has, so no hit goes over an end.
+        """
+        joined = "\n".join(texts)
+        hits = np.fromiter(self._machine.iter(joined) if self._given and joined else (), [("end", np.int64), ("found", np.int64)])
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        owner = np.searchsorted(first, hits["end"], side="right") - 1
+        ends, found = hits["end"] - first[owner], hits["found"]
+        # a hit counts for every keyword of its canonical form
+        sizes = np.array([len(x) for x in self._raws], np.int64)
+        at = np.repeat(np.arange(len(found)), sizes[found])
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(sizes[found]) - sizes[found], sizes[found])
+        raws = pa.array([x for own in self._raws for x in own], pa.string()).take(pa.array((np.cumsum(sizes) - sizes)[found[at]] + nth))
+        return owner[at], ends[at], raws
+
     def scan(self, text: str) -> list[tuple[int, str]]:
         return list(self.scan_canonical(canonical_plain(text)))
 
@@ -155,15 +177,19 @@ def search_fuzzy(segs: DataFrame, queries: DataFrame, key: str, text: str = "tex
 
 def keyword_positions(segs: DataFrame, keywords: list[str], place: tuple = ("witness_id", "ordinal")) -> DataFrame:
     """place..., keyword, end_index of every occurrence (overlapping ones too) in the canonical text."""
-    types = ", ".join(f"{c} {t}" for c, t in segs.select(*place).dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in segs.select(*place).dtypes) + ", keyword string, end_index int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def scan(batches):
         machine = KeywordAutomaton(keywords)
-        for pdf in batches:
-            rows = [(*row[:-1], raw, end) for row in pdf.itertuples(index=False) for end, raw in machine.scan_canonical(row[-1] or "")]
-            yield pd.DataFrame(rows, columns=[*place, "keyword", "end_index"])
-
-    return segs.select(*place, "canonical").mapInPandas(scan, f"{types}, keyword string, end_index int")
+        for batch in batches:
+            texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+            for low, high in pieces(pc.binary_length(texts).to_pylist()):
+                owner, ends, raws = machine.scan_all(texts.slice(low, high - low).to_pylist())
+                at = pa.array(owner + low)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(place))), raws, pa.array(ends, pa.int32())], schema=arrow)
+
+    return segs.select(*place, "canonical").mapInArrow(scan, schema)
 
 
 def dictionary_scan(segs: DataFrame, keywords: list[str], limit_per_keyword: int = 100, place: tuple = ("witness_id", "ordinal")) -> DataFrame:

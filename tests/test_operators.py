@@ -375,3 +375,20 @@ def test_bundles_with_events(spark, tmp_path):
     assert (found[0] / "semantic-events.jsonl").read_text() == '{"ordinal":0,"predicate":"P"}\n' and (found[0] / "raw.txt").read_text() == "A text."
     manifest = json.loads((found[0] / "manifest.json").read_text())
     assert manifest["artifacts"]["semantic_events"] == "semantic-events.jsonl" and manifest["semantic_events_included"] and manifest["segment_count"] == 1
+
+
+def test_keywords_are_found_in_many_texts_at_once(spark):
+    """Hits of joined texts are those of single ones: none over an end, overlapping ones and keywords of one form each."""
+    import random
+
+    rng = random.Random(3)
+    for keywords in (["ab", "A b", "ba", "aba", "bb"], ["zz"], ["", "-"], []):
+        machine = search.KeywordAutomaton(keywords)
+        texts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 2, 9]))) for _ in range(200)]
+        owner, ends, raws = machine.scan_all(texts)
+        assert sorted(zip(owner.tolist(), ends.tolist(), raws.to_pylist(), strict=True)) == sorted((i, e, r) for i, t in enumerate(texts) for e, r in machine.scan_canonical(t))
+    assert len(machine.scan_all([])[0]) == 0
+    segs = spark.createDataFrame([(1, 0, "xab"), (1, 1, None), (2, 0, "ba"), (3, 0, "")], "doc_id long, ordinal int, canonical string").coalesce(1)
+    hits = search.keyword_positions(segs, ["ab", "a", "zz"], ("doc_id", "ordinal"))
+    assert sorted(map(tuple, hits.collect())) == [(1, 0, "a", 1), (1, 0, "ab", 2), (2, 0, "a", 1)]
+    assert "MapInPandas" not in hits._jdf.queryExecution().executedPlan().toString()
