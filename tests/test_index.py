@@ -225,6 +225,13 @@ def test_many_candidates_are_added_up_and_not_looked_up(monkeypatch):
 
 
 def test_texts_stay_where_they_are_when_phrases_have_few_candidates(spark, tmp_path, segs, asked):
-    index = OverlapIndex.create(spark, f"file://{tmp_path}/grams", TYPES, "grams", 1500, 300, q=3).append(segs)
-    plan = index.phrases(asked.filter("char_length(text) > 3"), "q")._jdf.queryExecution().executedPlan().toString()
+    """Texts too large to be sent whole are not shuffled either, if the candidates are small enough to be sent."""
+    index = OverlapIndex.create(spark, f"file://{tmp_path}/grams", TYPES, "grams", 800, 300, q=3).append(segs)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size_of(spark, [f"{index.path}/texts"]) // 2))
+    try:
+        plan = index.phrases(asked.filter("char_length(text) > 3"), "q")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
     assert "canonical" in plan and "hashpartitioning(part" not in plan
