@@ -235,3 +235,37 @@ def test_texts_stay_where_they_are_when_phrases_have_few_candidates(spark, tmp_p
     finally:
         spark.conf.set(name, before)
     assert "canonical" in plan and "hashpartitioning(part" not in plan
+
+
+def test_similar_segments_are_what_the_index_finds(spark, segs, asked, tmp_path):
+    """Copies on both sides, limits that fall among copies and among equal counts, and keys given twice."""
+    plain = search.build_fingerprint_index(segs, *PLACE, k=4, window=3)
+    many = segs
+    for i in range(1, 5):
+        many = many.unionByName(segs.withColumn("doc_id", (F.col("doc_id") * 7 + i * 10_000).cast("long")))
+    double = asked.unionByName(asked.withColumn("q", (F.col("q") + 100).cast("long")))
+    whole = search.build_fingerprint_index(many, *PLACE, k=4, window=3)
+    for s, index in ((segs, plain), (many, whole)):
+        for most, limit, least in ((200, 20, 1), (7, 5, 1), (3, 3, 2)):
+            expected = search.search_fingerprints(index, double, "q", limit=limit, candidate_limit=most, min_shared=least, place=PLACE)
+            got = search.search_similar(s, double, "q", limit=limit, candidate_limit=most, min_shared=least, place=PLACE, k=4, window=3)
+            assert rows(got) == rows(expected) and got.columns == expected.columns
+    again = search.search_similar(many, asked.unionByName(asked), "q", place=PLACE, k=4, window=3)
+    assert rows(again) == rows(search.search_fingerprints(whole, asked, "q", place=PLACE))
+
+
+def test_pairs_do_not_grow_with_the_square_of_copies(spark, segs, asked, monkeypatch):
+    """What is kept of segments and queries is a row a class; segments without a query's fingerprint do not leave the scan."""
+    kept = []
+    write = search.cut
+    monkeypatch.setattr(search, "cut", lambda df: kept.append(write(df)) or kept[-1])
+    counts = []
+    for copies in (1, 6):
+        s, q = segs, asked
+        for i in range(1, copies):
+            s = s.unionByName(segs.withColumn("doc_id", F.col("doc_id") + i * 10_000))
+            q = q.unionByName(asked.withColumn("q", F.col("q") + i * 10_000))
+        del kept[:]
+        search.search_similar(s, q, "q", place=PLACE, k=4, window=3)
+        counts.append([df.count() for df in kept[1:]])
+    assert counts[0] == counts[1] and counts[0][1] < segs.count()
