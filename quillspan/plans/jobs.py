@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators import acquisition, bundle, compare, corpus, events, legacy, search
+from quillspan.operators import acquisition, bundle, compare, corpus, events, legacy
 from quillspan.sources import readers, writers
 
 _EVENT = "struct<ordinal:int,segment_ordinal:int,predicate:string,actor:string,patient:string,tags:array<string>,payload:string,state_before:string,state_after:string>"
@@ -76,6 +76,5 @@ def _local(path: str) -> str:
 
 
 def review(segments: DataFrame, blocks: DataFrame, min_score: float = 0.12, limit_per_block: int = 5) -> DataFrame:
-    """Review queue of blocks over a fresh fingerprint index of the segments."""
-    index = search.build_fingerprint_index(segments, "witness_id", "ordinal", "segment_id")
-    return legacy.review_queue(blocks, index, "block_id", min_score, limit_per_block, place=("witness_id", "ordinal", "segment_id"), last="segment_id")
+    """Review queue of blocks over the fingerprints of the segments."""
+    return legacy.review_queue(blocks, segments, "block_id", min_score, limit_per_block, place=("witness_id", "ordinal", "segment_id"), last="segment_id")

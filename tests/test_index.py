@@ -252,6 +252,9 @@ def test_similar_segments_are_what_the_index_finds(spark, segs, asked, tmp_path)
             assert rows(got) == rows(expected) and got.columns == expected.columns
     again = search.search_similar(many, asked.unionByName(asked), "q", place=PLACE, k=4, window=3)
     assert rows(again) == rows(search.search_fingerprints(whole, asked, "q", place=PLACE))
+    blocks = double.select(F.col("q").alias("block_id"), "text")
+    queue = [legacy.review_queue(blocks, i, "block_id", place=PLACE).select("block_id", "resolution_status", "candidate_segments") for i in (many, search.build_fingerprint_index(many, *PLACE))]
+    assert rows(queue[0]) == rows(queue[1])
 
 
 def test_pairs_do_not_grow_with_the_square_of_copies(spark, segs, asked, monkeypatch):
